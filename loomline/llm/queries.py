@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, simhash
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": line_dedup.op6_line_dedup,
 }
 ORACLES = {**line_dedup.ORACLE}
