@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash
+from . import line_dedup, packing, simhash, token_counts
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_packing": packing.op8_packing,
 }
 ORACLES = {**line_dedup.ORACLE}

@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-#: Entries kept by a worker: memory stays bounded whatever the number of different words.
-MAX_ENTRIES = 300_000
+#: Entries of each of two generations that a worker keeps: memory stays bounded whatever the number of different words.
+MAX_ENTRIES = 150_000
 #: White space as Unicode has it (str.split() would also cut at U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0  -     　"
 _MORE_SPACE = re.compile("[\x1c-\x1f]")
@@ -30,18 +30,22 @@ def words(text: str) -> list[str]:
 
 
 class Known(dict):
-    """word -> what `learn` says of it; emptied when it holds MAX_ENTRIES."""
+    """word -> what `learn` says of it. When full, it becomes the older generation, from which words in use come back."""
 
     def __init__(self, learn):
         super().__init__()
         self.learn = learn
+        self.older: dict = {}
 
-    def __missing__(self, word: str):
+    def __missing__(self, word):
+        if (out := self.older.get(word)) is None:
+            out = self.learn(word)
+            if len(word) > 64:
+                return out
         if len(self) >= MAX_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        out = self.learn(word)
-        if len(word) <= 64:
-            self[word] = out
+        self[word] = out
         return out
 
 
