@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, simhash, token_counts
+from . import langid, line_dedup, media, packing, simhash, token_counts
 
 QUERIES = {
+    "op1_media": media.op1_media,
+    "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
