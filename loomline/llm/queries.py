@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, media, packing, simhash, token_counts
+from . import decontam, langid, line_dedup, media, packing, simhash, token_counts
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
+    "op9_decontam": decontam.op9_decontam,
 }
-ORACLES = {**line_dedup.ORACLE}
+ORACLES = {**line_dedup.ORACLE, **decontam.ORACLE}
