@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, line_dedup, media, packing, simhash, token_counts
+from . import decontam, langid, line_dedup, media, packing, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_packing": packing.op8_packing,
     "op9_decontam": decontam.op9_decontam,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {**line_dedup.ORACLE, **decontam.ORACLE}
