@@ -13,8 +13,8 @@ What ordinary text of the same length scores is learnt from the corpus itself:
 runs of letters alone, in bands of length, read as base 62. The share of these that score at least
 as well is a candidate's p-value, and within each band the Benjamini-Hochberg
 rule keeps the expected share of false discoveries under a level: short tokens,
-which say less, meet the harder thresholds. A candidate must also pass as random: 99 in
-100 random tokens score over RANDOM. Both counts are histograms of
+which say less, meet the harder thresholds. A candidate must also pass each test
+by itself, at RANDOM deviations. Both counts are histograms of
 band and score, so that what is gathered of the corpus is a bounded table, and one
 pass over the texts does everything else; no text is shuffled.
 
@@ -44,7 +44,7 @@ ENCODINGS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "^[0-9A-Za-z]+$"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "^[0-9A-Za-z+/_-]+=*$"),
 )
-BAND, BIN, LEVEL, RANDOM = 8, 0.1, 0.01, -2.8
+BAND, BIN, LEVEL, RANDOM = 8, 0.1, 0.01, 3.3
 
 
 def _lit(pattern: str) -> str:
@@ -110,11 +110,12 @@ def randomness(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("z_runs", F.expr("case when spread > 0 then (runs - expected) / spread else sqrt(n) end"))
     t = t.withColumn("mean", F.expr("aggregate(code, 0D, (acc, x) -> acc + x) / n")).withColumn("var", F.expr("aggregate(code, 0D, (acc, x) -> acc + pow(x - mean, 2))"))
     t = t.withColumn("z_serial", F.expr("case when var > 0 then sqrt(n) * aggregate(sequence(1, size(code) - 1), 0D, (acc, i) -> acc + (code[i] - mean) * (code[i - 1] - mean)) / var else sqrt(n) end"))
+    t = t.withColumn("worst", F.expr("greatest(z_chi2, abs(z_runs), abs(z_serial))"))
     return t.withColumn("score", F.expr("-(greatest(z_chi2, 0D) + abs(z_runs) + abs(z_serial)) / sqrt(3D)"))
 
 
 def discoveries(scored: DataFrame, level: float = LEVEL) -> DataFrame:
-    """scored (columns encoding, length, score) without what the false-discovery rule of its band of length doesn't admit."""
+    """scored (columns encoding, length, score, worst) without what the false-discovery rule of its band of length doesn't admit."""
     s = scored.withColumn("band", F.least(F.floor(F.col("length") / BAND), F.lit(64)).cast("int")).withColumn("bin", F.greatest(F.round(F.col("score") / BIN).cast("int"), F.lit(-1000)))
     # A row for each band and step of score: at most 65 x 1001, whatever the corpus.
     tally = s.groupBy("band", "bin").agg(F.count_if(F.col("encoding").isNull()).alias("text"), F.count_if(F.col("encoding").isNotNull()).alias("found"))
@@ -126,14 +127,14 @@ def discoveries(scored: DataFrame, level: float = LEVEL) -> DataFrame:
     tally = tally.select("band", "bin", F.sum("text").over(down).alias("text_over"), F.sum("found").over(down).alias("found_over"), F.sum("text").over(every).alias("texts"), F.sum("found").over(every).alias("all"))
     admitted = (F.col("text_over") + 1) / (F.col("texts") + 1) <= level * F.col("found_over") / F.col("all")
     least = tally.filter((F.col("all") > 0) & admitted).groupBy("band").agg(F.min("bin").alias("least"))
-    return s.join(least, "band").filter(F.col("encoding").isNotNull() & (F.col("bin") >= F.col("least")) & (F.col("score") >= RANDOM)).drop("band", "bin", "least")
+    return s.join(least, "band").filter(F.col("encoding").isNotNull() & (F.col("bin") >= F.col("least")) & (F.col("worst") <= RANDOM)).drop("band", "bin", "least")
 
 
 def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """A row for each of docs: doc_id, row_key, counts of base kinds, base and all spans as arrays of (start, end, kind)."""
     s = written(scanned(docs), "secret-spans")
     tokens = s.select("doc_id", "row_key", F.explode("candidates").alias("c")).select("doc_id", "row_key", "c.*").withColumn("length", F.length("token"))
-    found = discoveries(written(randomness(tokens).select("doc_id", "row_key", "start", "end", "encoding", "length", "score"), "randomness"), level)
+    found = discoveries(written(randomness(tokens).select("doc_id", "row_key", "start", "end", "encoding", "length", "score", "worst"), "randomness"), level)
     more = found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end", F.lit(3).alias("kind"))).alias("more")).select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "more")
     out = s.join(more, s.doc_id.eqNullSafe(more.m_id) & (s.row_key == more.m_key), "left")
     every = F.expr(_ORDERED.format("concat(base, coalesce(more, array()))"))
