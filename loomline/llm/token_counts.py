@@ -41,6 +41,8 @@ LIMIT = 512
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: The pre-tokenizer's own pattern, a fixed value of this vocabulary.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Behind a letter or digit these always begin a pre-token.
+_TAIL = ".,;:!?%$#&*|"
 _LEADING = re.compile(f"[{SPACE}]*")
 
 
@@ -55,7 +57,7 @@ class PrefixTables:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.lengths = max(map(len, self.vocabulary))
+        self.ends = {t[k:]: False for t in self.vocabulary for k in range(len(t))} | dict.fromkeys(self.vocabulary, True)
         self.alphabet = {b: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)} | _upper_bytes(self.tokenizer)
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.at_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
@@ -72,11 +74,14 @@ class PrefixTables:
         """Counts at prefixes of 0, 1, ... characters of a pre-token in the byte alphabet: the dynamic programme."""
         last: list[str] = [""] * (len(word) + 1)
         count = [0] * (len(word) + 1)
-        known, stable = self.vocabulary, self.stable
+        ends, stable = self.ends, self.stable
         for i in range(1, len(word) + 1):
-            for k in range(i - self.lengths if i > self.lengths else 0, i):
+            for k in range(i - 1, -1, -1):
                 t = word[k:i]
-                if t in known and stable[(last[k], t) if k else t]:
+                whole = ends.get(t)
+                if whole is None:
+                    raise ValueError(f"no token ends at {i} of {word!r}")
+                if whole and stable[(last[k], t) if k else t]:
                     last[i], count[i] = t, count[k] + 1
                     break
             else:
@@ -96,6 +101,12 @@ class PrefixTables:
 
     def _unit(self, unit: str) -> bytes:
         """Changes of the count at each code point of a run of white space and the characters behind it."""
+        core = unit.rstrip(_TAIL)
+        if len(core) < len(unit) and core and core[-1].isalnum() and "'" not in core:
+            return self.units[core] + self.units[unit[len(core) :]]  # pre-tokens part here
+        if unit.isascii() and (unit[1:] if unit[0] == " " else unit).isalpha():
+            counts = self.words[unit.replace(" ", self.alphabet[32])]
+            return struct.pack(f"<{len(unit)}h", *map(sub, counts[1:], counts))
         k = _LEADING.match(unit).end()
         space, rest = unit[:k], unit[k:]
         counts = [self.words[self.pieces(space[:j])[0]][-1] for j in range(1, k + 1)]
