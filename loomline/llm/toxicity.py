@@ -42,6 +42,8 @@ SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 48, 12
 THRESHOLD = 0.7
 #: What a gold label is taken to be right at, as a voter.
 GOLD = 0.97
+#: Log-likelihood ratio below which a feature may be chance: some hundred thousand are looked at.
+LEAST_G2 = 22.0
 #: Insults that vote from the start, whatever the sample holds (fixed values).
 LEXICON = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 _WORD = re.compile(r"\w+")
@@ -91,7 +93,7 @@ def induce(docs: DataFrame, sample: DataFrame, size: int = FEATURES, support: in
     same = F.row_number().over(_window())
     top = counts.filter((F.col("pos") >= support) & (lift > 0)).withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(16 * size).withColumn("same", same).filter("same = 1").toPandas()
     top["g2"] = _g2(top["pos"].to_numpy(), top["neg"].to_numpy(), n_pos, n_neg)
-    top = top[top["g2"] > 0].sort_values(["g2", "feature"], ascending=[False, True])
+    top = top[top["g2"] > LEAST_G2].sort_values(["g2", "feature"], ascending=[False, True])
     return top["feature"].tolist()[:size]
 
 
@@ -148,20 +150,21 @@ class LabelModel:
         yes, no = np.log(p[1] / p[0]) * voice, np.log((1 - p[1]) / (1 - p[0])) * voice
         return np.log(self.prior / (1 - self.prior)) + votes @ (yes - no) + no.sum()
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(votes), -30, 30)))
 
+def fit_label_model(masks: DataFrame, model: LabelModel, anchor: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation maximisation over masks (mask, gold, n): votes of the learning documents, their gold label (1, 0 or null), and how many are alike.
 
-def fit_label_model(masks: DataFrame, model: LabelModel, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation over masks (mask, n): votes of the learning documents, and how many cast them."""
-    j = len(model.voters)
+    anchor: rows of either class whose rates `model` begins with; they count throughout, so that the classes keep their meaning.
+    """
+    j, first_fires, first_prior = len(model.voters), model.fires, model.prior
     for r in range(rounds):
 
         def sums(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             total = np.zeros(2 + 2 * j + 2 * j * j)
             for pdf in batches:
                 v, n = model.votes(pdf["mask"].to_numpy()), pdf["n"].to_numpy(float)
-                p = model.posterior(v)
+                gold = pdf["gold"].map({1: 1.0, 0: -1.0}).fillna(0).to_numpy(float) * np.log(GOLD / (1 - GOLD))
+                p = 1 / (1 + np.exp(-np.clip(model.logit(v) + gold, -30, 30)))
                 parts = []
                 for w in (n * (1 - p), n * p):
                     parts += [[w.sum()], w @ v, (v.T @ (v * w[:, None])).ravel()]
@@ -170,9 +173,8 @@ def fit_label_model(masks: DataFrame, model: LabelModel, rounds: int = ROUNDS) -
 
         total = np.sum([x.sums for x in masks.mapInPandas(sums, "sums array<double>").collect()], axis=0)  # a row a partition
         weight, first, second = total[:2], total[2 : 2 + 2 * j].reshape(2, j), total[2 + 2 * j :].reshape(2, j, j)
-        # A prior of ten documents at the rates induced keeps rare voters where they began.
-        fires = (first + 10 * model.fires) / (weight[:, None] + 10)
-        prior = float(np.clip(weight[1] / max(weight.sum(), 1), 0.005, 0.5))
+        fires = (first + anchor[:, None] * first_fires) / (weight + anchor)[:, None]
+        prior = float(np.clip((weight[1] + first_prior * anchor.sum()) / (weight.sum() + anchor.sum()), 0.005, 0.5))
         new = LabelModel(model.voters, model.least, prior, fires)
         if r == rounds - 1 and weight.sum():
             share = weight / weight.sum()
@@ -239,8 +241,9 @@ def score(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, size: i
     counts = F.map_from_arrays("idx", "cnt")
     for k, (f, t) in enumerate(zip(voters.tolist(), least.tolist())):
         fired = fired.bitwiseOR(F.when(F.col("c")[f] >= t, F.lit(1 << k)).otherwise(0).cast("long"))
-    masks = table.filter(~held_out(F.col("doc_id"))).withColumn("c", counts).select(fired.alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
-    model = fit_label_model(written(masks, "toxicity-votes"), model)
+    learning = table.filter(~held_out(F.col("doc_id"))).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left")
+    masks = learning.withColumn("c", counts).select(fired.alias("mask"), F.col("toxic").alias("gold")).groupBy("mask", "gold").agg(F.count("*").alias("n"))
+    model = fit_label_model(written(masks, "toxicity-votes"), model, 2.0 * np.array([(y == 0).sum(), (y == 1).sum()]) + 1)
 
     # Half as many documents without a label join the labelled ones.
     more = table.filter(~held_out(F.col("doc_id"))).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_size // 2).select("idx", "cnt").toPandas()
