@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, line_dedup, media, packing, secrets, simhash, token_counts, toxicity
+from . import decontam, langid, line_dedup, media, packing, pii, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
     "op6_line_dedup": line_dedup.op6_line_dedup,
