@@ -298,17 +298,17 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % FRAME if raw else FRAME), len(raw)
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text as an ISO media file."""
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):  # smaller batches on the way on: they hold whole files
+            part = batch.slice(at, 500)
+            payloads = [payload_of(t.as_py()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in payloads], pa.int64()), pa.array([muxed(p) for p, _ in payloads], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # smaller batches on the way back: they hold whole files
-                part = batch.slice(at, 1000)
-                payloads = [payload_of(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in payloads], pa.int64()), pa.array([muxed(p) for p, _ in payloads], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def store_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media: each text as an ISO media file."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 def feature(media: bytes) -> str:
@@ -321,22 +321,30 @@ def feature(media: bytes) -> str:
     return f"codec={t['codec'].strip()};size={t['width']}x{t['height']};timescale={t['timescale']};duration={t['duration']};samples={t['n_samples']};keyframes={len(t['keyframes'])};ranges={hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
 
 
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for batch in batches:
+        rows = []
+        for m in batch.column(2):
+            media = m.as_py()
+            payload = samples_of(media)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature(media)))
+        columns = zip(*rows) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
 def read_back(stored: DataFrame) -> DataFrame:
     """Digests of what stored media hold, read through their sample tables, with `feature`."""
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, _DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            rows = []
-            for m in batch.column(2):
-                media = m.as_py()
-                payload = samples_of(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature(media)))
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def store_and_read(docs: DataFrame) -> DataFrame:
+    """read_back(store_texts(docs)) in one Python worker, so that files needn't pass through the JVM in between."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _read(_stored(batches)), _DIGESTS)
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    return read_back(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
