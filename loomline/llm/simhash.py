@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, row_key, written
 
 #: Words to a shingle, differing bits that still link, fingerprints to a node that one task walks.
 SHINGLE, RADIUS, MAX_NODE = 3, 2, 4096
@@ -58,14 +58,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+    """doc_id, row_key and fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -243,22 +243,27 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, max_node: int = MAX_NODE) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id of all that links reach) for every row of docs."""
+    """doc_id, row_key, fp, component_id (the least doc_id of all that links reach) and kept_key (that document's row_key) for every row of docs."""
     fps = written(fingerprints(docs, size), "fingerprints")
-    entries = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-entries")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    entries = written(fps.groupBy("fp").agg(first.alias("first")), "fingerprint-entries")
     comp = components(fingerprint_links(entries.select("fp"), radius, max_node))
-    rooted = entries.join(comp, entries.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = checkpointed(entries.join(comp, entries.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    of = rooted.join(least, "root").select("fp", "least")
+    return fps.join(of, "fp").select("doc_id", "row_key", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("kept_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that with the least doc_id (of rows that repeat it, one). A null doc_id stays only if it has no named peer."""
-    keep = near_duplicates(docs, size, radius).filter("doc_id <=> component_id").select(F.col("doc_id").alias("nd_id")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("nd_id"))).drop("nd_id")
-    by = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return out.withColumn("nd_row", F.row_number().over(by)).filter("nd_row = 1").drop("nd_row").select(*docs.columns)
+    """docs with one row of each component: that of the least doc_id (of several such rows, that of the least row_key)."""
+    rows = near_duplicates(docs, size, radius)
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("kept_key")))
+    losers = written(rows.filter(gone).select(F.col("doc_id").alias("nd_id"), F.col("row_key").alias("nd_key")).distinct(), "near-duplicates")
+    out = docs.withColumn("nd_row", row_key()).join(losers, F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_row") == F.col("nd_key")), "left_anti")
+    # Only if a document is there twice, whole, must rows be told apart further.
+    if not rows.filter(~gone).groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "nd_row"])
+    return out.select(*docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
