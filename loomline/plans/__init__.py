@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Queries: importing this subpackage registers them all."""
