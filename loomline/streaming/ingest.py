@@ -32,12 +32,12 @@ def ingest_folder(spark: SparkSession, landing: str, out: str, checkpoint: str,
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limited_stream(hits: DataFrame, keys: list[str], micros: str, seconds: int, limit: int) -> DataFrame:
+def rate_limited_stream(hits: DataFrame, keys: list[str], micros: str, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
     """A stream's hits with how many lie in the window that ends with each, as `operators.limits.sliding_window` has it.
 
-    The state of a key are its times within the window, and it goes when they have passed.
-    Hits of a batch are taken in the order of their times; one that is older than those seen before
-    counts what the state still holds.
+    The state of a key are its times within the window, and it goes when the watermark, `late` behind the
+    newest hit, has passed them. Hits of a batch are taken in the order of their times; one that is older
+    than those seen before counts what the state still holds.
     """
     span = seconds * 1_000_000
     types = dict(hits.dtypes)
@@ -55,10 +55,11 @@ def rate_limited_stream(hits: DataFrame, keys: list[str], micros: str, seconds:
             seen.append(t)
             rows.append((*key, t, len(seen), len(seen) > limit))
         state.update((seen,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max((max(seen) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=[*keys, micros, "hits", "denied"])
 
-    return hits.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>", "append", "ProcessingTimeTimeout")
+    timed = hits.withColumn("_at", F.timestamp_micros(F.col(micros))).withWatermark("_at", late)
+    return timed.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>", "append", "EventTimeTimeout")
 
 
 def hits_per_window(hits: DataFrame, time: str, key: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
