@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, texts
 
 PROFILE, LONGEST, UNKNOWN = 300, 3, "und"
+#: Letters that a task holds before it counts them.
+COUNTED_AT_ONCE = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -68,15 +70,23 @@ def learn(docs: DataFrame, size: int = PROFILE, longest: int = LONGEST) -> pd.Da
     """Profiles of the languages in `lang`: columns lang, gram, rank (from 0)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(lang: str, codes: list[np.ndarray]) -> pa.RecordBatch:
+            gram, n = np.unique(grams(np.concatenate(codes), longest), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+        own: dict[str, list[np.ndarray]] = {}
+        held: dict[str, int] = {}
         for batch in batches:
-            own: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own.setdefault(lang, []).append(letters(text.as_py()))
-            for lang, codes in own.items():
-                gram, n = np.unique(grams(np.concatenate(codes), longest), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    counts = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+                code = letters(text.as_py())
+                own.setdefault(lang, []).append(code)
+                held[lang] = held.get(lang, 0) + len(code)
+                if sum(held.values()) > COUNTED_AT_ONCE:
+                    yield from (told(*x) for x in own.items())
+                    own, held = {}, {}
+        yield from (told(*x) for x in own.items())
+
+    counts = texts(docs).filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     # Two words meet as 0, 0 where texts do; no n-gram of one text.
     counts = counts.filter(F.col("gram") != 1 << 42).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -108,7 +118,7 @@ def predict(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE, longes
         return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
     got = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
-    return docs.withColumn("_lid", got).withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
+    return texts(docs).withColumn("_lid", got).withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
 
 
 def identify(docs: DataFrame, size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
