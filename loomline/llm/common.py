@@ -37,8 +37,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1000
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's Arrow batches to a size at which batches of whole texts are small; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, TEXT_ROWS)
+    return df
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, written
+from .common import checkpointed, row_key, texts, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Stripped at both ends of a line.
@@ -60,7 +60,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 names=["h1", "h2", "doc_id", "row_key", "pos", "n_lines"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
+    source = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
     return source.mapInArrow(keys, _KEYS)
 
 
@@ -179,7 +179,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """
     b = written(bitmaps, "keep-bitmaps").select(F.col("doc_id").alias("ll_id"), F.col("row_key").alias("ll_key"), F.col("n_dropped").alias("ll_n_dropped"), F.col("keep").alias("ll_keep"))
     old = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("ll_row", row_key()).join(b, F.col("doc_id").eqNullSafe(F.col("ll_id")) & (F.col("ll_row") == F.col("ll_key")), "left")
+    joined = texts(docs).withColumn("ll_row", row_key()).join(b, F.col("doc_id").eqNullSafe(F.col("ll_id")) & (F.col("ll_row") == F.col("ll_key")), "left")
     out = joined.select(
         *[c for c in docs.columns if c != "text"],
         F.coalesce(F.pandas_udf(_kept, "string")(F.when(F.col("ll_keep").isNotNull(), F.col("text")), F.col("ll_keep")), F.col("text")).alias("text"),

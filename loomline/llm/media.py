@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
+
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = frozenset(b"moov trak mdia minf stbl dinf edts udta mvex moof traf".split())
 FRAME, FRAMES_PER_CHUNK, TIMESCALE = 64, 16, 25
@@ -308,7 +310,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as an ISO media file."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 def feature(media: bytes) -> str:
@@ -343,7 +345,7 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 def store_and_read(docs: DataFrame) -> DataFrame:
     """read_back(store_texts(docs)) in one Python worker, so that files needn't pass through the JVM in between."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _read(_stored(batches)), _DIGESTS)
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _read(_stored(batches)), _DIGESTS)
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import texts, written
 from .words import word_ids, words
 
 WINDOW, SHARD_PIECES, END_ID = 2048, 16_384, 1
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer_name: str = "word_bpe_49k.json", window: i
                 rows += [(doc_id, i, min(window, n - i), zlib.crc32(ids[4 * i : 4 * (i + window)]), n) for i in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 
 class Room:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, written
+from .common import checkpointed, row_key, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENCE, SUPPORT = 4, 0.8, 3
@@ -121,7 +121,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             base = [[{"start": s, "kind": k, "end": e} for s, k, e in b] for b, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, span), pa.array([m for _, m in rows], mention)], names=["doc_id", "row_key", "base", "found"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(run, _ROWS)
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(run, _ROWS)
 
 
 def bootstrap(rows: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:

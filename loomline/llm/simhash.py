@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, written
+from .common import checkpointed, row_key, texts, written
 
 #: Words to a shingle, differing bits that still link, fingerprints to a node that one task walks.
 SHINGLE, RADIUS, MAX_NODE = 3, 2, 4096
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:

@@ -34,10 +34,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
 from .packing import vocabulary
 from .words import SPACE, Known, tokenizer
 
 LIMIT = 512
+#: What a worker remembers of words here costs more to learn anew.
+MAX_ENTRIES = 400_000
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: The pre-tokenizer's own pattern, a fixed value of this vocabulary.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -61,9 +64,9 @@ class PrefixTables:
         self.alphabet = {b: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)} | _upper_bytes(self.tokenizer)
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.at_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.stable = Known(self._stable)
-        self.words = Known(self._word)
-        self.units = Known(self._unit)
+        self.stable = Known(self._stable, MAX_ENTRIES)
+        self.words = Known(self._word, MAX_ENTRIES)
+        self.units = Known(self._unit, MAX_ENTRIES)
 
     def _stable(self, tokens: str | tuple[str, str]) -> bool:
         """Whether one token, or two neighbours, encode to themselves."""
@@ -172,7 +175,7 @@ def token_prefixes(docs: DataFrame, tokenizer_name: str = "byte_bpe_50k.json") -
                 stored.append(zlib.compress(changes, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(stored, pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "prefixes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefixes binary")
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefixes binary")
 
 
 def counts_at_prefixes(stored: bytes) -> np.ndarray:

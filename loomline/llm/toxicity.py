@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import held_out, texts, written
 
 SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 48, 12
 THRESHOLD = 0.7
@@ -82,7 +82,7 @@ def induce(docs: DataFrame, sample: DataFrame, size: int = FEATURES, support: in
             for toxic, c in enumerate(by):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "toxic", "n"])
 
-    own = docs.join(F.broadcast(sample), docs.doc_id == sample.l_id).select("toxic", "text")
+    own = texts(docs).join(F.broadcast(sample), docs.doc_id == sample.l_id).select("toxic", "text")
     counts = own.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
@@ -124,7 +124,7 @@ def counted(docs: DataFrame, names: list[str]) -> DataFrame:
                 cnt.append([own[k] for k in keys])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], names=["doc_id", "idx", "cnt"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, idx array<int>, cnt array<int>")
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, idx array<int>, cnt array<int>")
 
 
 def _matrix(idx, cnt, width: int) -> np.ndarray:

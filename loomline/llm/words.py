@@ -12,7 +12,7 @@ import struct
 from functools import lru_cache
 
 #: Entries of each of two generations that a worker keeps: memory stays bounded whatever the number of different words.
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 250_000
 #: White space as Unicode has it (str.split() would also cut at U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0  -     　"
 _MORE_SPACE = re.compile("[\x1c-\x1f]")
@@ -33,9 +33,9 @@ def words(text: str) -> list[str]:
 class Known(dict):
     """word -> what `learn` says of it. When full, it becomes the older generation, from which words in use come back."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, most: int = MAX_ENTRIES):
         super().__init__()
-        self.learn = learn
+        self.learn, self.most = learn, most
         self.older: dict = {}
 
     def __missing__(self, word):
@@ -43,7 +43,7 @@ class Known(dict):
             out = self.learn(word)
             if len(word) > 64:
                 return out
-        if len(self) >= MAX_ENTRIES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = out
