@@ -227,7 +227,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, size: i
     names = induce(docs, sample, size)
     names += [w for w in LEXICON if w not in names]
     table = written(counted(docs, names), "toxicity-counts")
-    if sample.select("toxic").distinct().count() < 2:
+    both = table.join(F.broadcast(sample), table.doc_id == sample.l_id).select("toxic").distinct().count() == 2
+    if not both:
         share = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return table.select("doc_id", F.lit(float(share)).alias("score"))
     rows = table.join(F.broadcast(sample), table.doc_id == sample.l_id).select("toxic", "idx", "cnt").dropDuplicates().toPandas()  # bounded by the sample
