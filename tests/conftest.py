@@ -8,7 +8,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,17 +29,9 @@ def spark():
 def oracle():
     import duckdb
 
+    from checks import DATA
+
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
-
-
-def same_rows(df, con, sql):
-    """Whether a DataFrame and a DuckDB query have the same rows, whatever their order."""
-    mine, theirs = df.toPandas(), con.sql(sql).df()
-    columns = sorted(mine.columns)
-    assert columns == sorted(theirs.columns)
-    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (mine, theirs))
-    assert len(a) == len(b)
-    assert (a == b).all().all(), a.merge(b, how="outer", indicator=True).query("_merge != 'both'").head()

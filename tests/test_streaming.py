@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from checks import DATA
 from loomline.operators import ingest, limits
 from loomline.sources import parsers
 from loomline.streaming import ingest as stream
