@@ -68,3 +68,8 @@ def created(df: DataFrame, tenant_id: int) -> DataFrame:
 def soft_deleted(df: DataFrame, which: Column, at: Column) -> DataFrame:
     """df with deleted_at set in some rows; without such a column these rows go."""
     return df.withColumn("deleted_at", F.when(which, at).otherwise(F.col("deleted_at"))) if "deleted_at" in df.columns else df.filter(~which)
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old without any row of the keys that new has, and all of new: reprocessing a document twice gives what once does."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

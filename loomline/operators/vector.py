@@ -110,3 +110,15 @@ def retrying(call, tries: int = 3, wait=None):
                 (wait or time.sleep)(min(2**attempt, 5))
 
     return run
+
+
+def search(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, questions: DataFrame, embedder=None, top_k_: int = 5, score_threshold: float = 0.5, strict: bool = False) -> DataFrame:
+    """Retrieval for questions (query_id, question) in one knowledge base: the best chunks of each, with text and document.
+
+    vectors: vec_id, embedding of the base (filter by its id first: tables are partitioned by it); chunks and documents as in `with_context`.
+    """
+    if not 1 <= top_k_ <= 50 or not 0 <= score_threshold <= 1:
+        raise ValueError("top_k from 1 to 50, score_threshold from 0 to 1")
+    embedded = embed(questions.select(F.col("query_id").alias("vec_id"), "question"), "question", embedder or hashing_embedder(), 64)
+    hits = top_k(vectors, embedded, k=top_k_, threshold=score_threshold, exclude_self=False)
+    return with_context(hits, chunks, documents, strict)

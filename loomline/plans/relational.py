@@ -246,3 +246,24 @@ def tenant_members(spark, sf):
 def latest_per_owner(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return table(spark, sf, "orders").withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("latest"))
+
+
+@query("select doc_id, case when lang = 'de' then 'v2' else 'v1' end as version from documents union all select doc_id, 'v2' from documents where lang = 'de'")
+def reprocess_documents(spark, sf):
+    """Documented only: the rows of reprocessed documents (two each) take the place of what these had."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    new = d.filter("lang = 'de'").select("doc_id", F.lit("v2").alias("version"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).drop("i")
+    return R.replaced(d.select("doc_id", F.lit("v1").alias("version")), new, "doc_id")
+
+
+@query("select p_brand as agent, count(*) filter (p_size > 25) as enabled, count(*) as tools from part group by p_brand")
+def enabled_tools(spark, sf):
+    """Documented only: enabled tools of each agent (a brand; its parts are tools)."""
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("agent")).agg(F.count_if(F.col("p_size") > 25).alias("enabled"), F.count("*").alias("tools"))
+
+
+@query("select o_orderkey as node, case when o_orderstatus = 'F' then 'done' when o_totalprice > 100000 then 'review' else 'next' end as branch from orders")
+def workflow_conditions(spark, sf):
+    """Documented only: the branch that a condition node takes."""
+    branch = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_totalprice") > 100000, "review").otherwise("next")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), branch.alias("branch"))

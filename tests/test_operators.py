@@ -102,3 +102,17 @@ def test_invoked_errors_are_rows(spark):
     df = spark.createDataFrame([("a",), ("",)], "t string")
     rows = invoked(df, "t", lambda t: {"content": t.upper()} if t else 1 / 0).collect()
     assert [(r.result_content, r.prompt_tokens, r.status) for r in rows] == [("A", 0, "success"), (None, 0, "error")]
+
+
+def test_search_by_text(spark):
+    texts = ["red apples and pears", "steam engines", "pears and red apples"]
+    chunks = spark.createDataFrame([(i, 7, i, t) for i, t in enumerate(texts)], "vec_id long, doc_id long, chunk_index int, content string")
+    documents = spark.createDataFrame([(7, "a.txt", True)], "doc_id long, doc_name string, deleted boolean")
+    vectors = vector.embed(chunks.select("vec_id", "content"), "content", vector.hashing_embedder(), 64).select("vec_id", "embedding")
+    questions = spark.createDataFrame([(100, "red apples and pears")], "query_id long, question string")
+    hits = vector.search(vectors, chunks, documents, questions, top_k_=2).orderBy("rank").collect()
+    assert [(h.vec_id, h.doc_name, h.score) for h in hits] == [(0, "a.txt", 1.0), (2, "a.txt", 1.0)]
+    assert vector.search(vectors, chunks, documents, questions, strict=True).count() == 0
+    for bad in ({"top_k_": 0}, {"top_k_": 51}, {"score_threshold": 1.5}):
+        with pytest.raises(ValueError):
+            vector.search(vectors, chunks, documents, questions, **bad)
