@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import decontam, langid, line_dedup, packing, simhash
+from loomline.llm import decontam, langid, line_dedup, near_copies, packing
 from loomline.llm.common import written
 
 
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group that SimHash links."""
-    return simhash.drop_near_duplicates(docs)
+    """One document stays of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return near_copies.drop_near_copies(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
