@@ -231,7 +231,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, size: i
     if not both:
         share = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return table.select("doc_id", F.lit(float(share)).alias("score"))
-    rows = table.join(F.broadcast(sample), table.doc_id == sample.l_id).select("toxic", "idx", "cnt").dropDuplicates().toPandas()  # bounded by the sample
+    # One row of each sampled document, however often it is there: bounded by the sample.
+    rows = table.join(F.broadcast(sample), table.doc_id == sample.l_id).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("idx", "cnt")).alias("f")).select("toxic", "f.*").toPandas()
     x, y = _matrix(rows["idx"], rows["cnt"], len(names)), rows["toxic"].to_numpy(float)
     voters, least = _thresholds(x, y, n_voters)
     v = (x[:, voters] >= least).astype(float)
