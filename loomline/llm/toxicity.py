@@ -88,19 +88,20 @@ def induce(docs: DataFrame, sample: DataFrame, size: int = FEATURES, support: in
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:
         return []
-    # Of features with equal counts the whole word speaks, then the longest pattern; a bounded number reaches the driver.
+    # A bounded number reaches the driver; of these a prefix goes if a word or longer prefix under it has the same counts.
     lift = (F.col("pos") / n_pos) - (F.col("neg") / n_neg)
-    same = F.row_number().over(_window())
-    top = counts.filter((F.col("pos") >= support) & (lift > 0)).withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(16 * size).withColumn("same", same).filter("same = 1").toPandas()
+    top = counts.filter((F.col("pos") >= support) & (lift > 0)).withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(16 * size).toPandas()
+    top = top[~_repeated(top)]
     top["g2"] = _g2(top["pos"].to_numpy(), top["neg"].to_numpy(), n_pos, n_neg)
     top = top[top["g2"] > LEAST_G2].sort_values(["g2", "feature"], ascending=[False, True])
     return top["feature"].tolist()[:size]
 
 
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("pos", "neg").orderBy(F.col("feature").endswith("*"), F.desc(F.length("feature")), "feature")
+def _repeated(top: pd.DataFrame) -> np.ndarray:
+    """Whether a feature is a prefix of another one that occurs as often in either class."""
+    rows = list(zip(top["feature"], top["pos"], top["neg"]))
+    longer = {(f[:n] + "*", p, q) for f, p, q in rows for n in _PREFIXES if len(f.removesuffix("*")) > n}
+    return np.array([r in longer for r in rows], bool)
 
 
 def counted(docs: DataFrame, names: list[str]) -> DataFrame:

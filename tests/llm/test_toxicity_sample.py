@@ -12,3 +12,10 @@ def test_equal_counts_are_rows_of_their_own(spark, make, monkeypatch):
     toxicity.score(make(rows + rows[:50]), labels).count()
     sample = toxicity.labelled_sample(labels)
     assert seen == [(sample.count(), sample.filter(F.col("toxic") == 1).count())]
+
+
+def test_unrelated_words_of_equal_counts_all_stay(spark, make):
+    words = ["vile", "rottenish", "foulest"]
+    rows = [(i, " ".join(words) if i % 10 == 0 else f"plain text w{i % 7}") for i in range(300)]
+    sample = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "l_id long, toxic int")
+    assert sorted(toxicity.induce(make(rows), sample)) == sorted(words)  # and none of their prefixes
