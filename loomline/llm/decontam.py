@@ -1,10 +1,10 @@
 """Benchmark decontamination: documents that hold a passage of a benchmark item. DataFrame operations only.
 
 Words are runs of letters and digits in lower case, shingles are five words. A
-window of a document with the size of an item can resemble that item only if they
-share a shingle, and where they share one it says how the window lies; so windows
-are taken at these places alone (nothing can be lost: without a common shingle
-the similarity is 0). Each window and each item has a SimHash of its weighted
+window of a document with the size of an item can only reach the similarity if
+enough of its places hold shingles of items of that size; all windows for which
+that holds are taken, wherever they start (nothing can be lost: what a window has
+in common with an item is at most the number of such places). Each window and each item has a SimHash of its weighted
 shingles (weight: occurrences). Fingerprints within the radius are found by
 multi-index hashing: of eight blocks of eight bits at least one differs in no
 more than radius / 8 bits, so the items are entered under every such value of
@@ -66,15 +66,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """doc_id, row_key, item_id, start_word, n_words, similarity and hamming of the best window of each document and item that match."""
     items = written(item_index(benchmark, size), "items")
     width = 64 // BLOCKS
-    # Where a shingle lies in items of a size, once however many items have it there.
-    marks = items.select("n_words", F.posexplode("hashes").alias("j", "hash")).distinct()
+    # The shingles of items of a size.
+    marks = items.select("n_words", F.explode("hashes").alias("hash")).distinct()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     hashed = source.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", F.size("w").alias("doc_words"), shingles("w", size).alias("hashes"))
     # Outer: else Spark filters by the array's size first, and for that computes the words of a text anew at each shingle.
     places = hashed.select("doc_id", "row_key", "doc_words", F.posexplode_outer("hashes").alias("p", "hash")).join(marks, "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("doc_words") - F.col("n_words")))
-    places = written(places.select("doc_id", "row_key", "n_words", start.alias("start")).distinct(), "windows")
+    per_size = places.groupBy("doc_id", "row_key", "doc_words", "n_words").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    # A window can only be similar enough if this many of its places hold a shingle of an item.
+    per_size = per_size.withColumn("m", F.col("n_words") - (size - 1)).withColumn("win_size", F.least("m", F.col("doc_words") - (size - 1)))
+    per_size = per_size.withColumn("need", F.greatest(F.lit(1), F.ceil(similarity * (F.col("win_size") + F.col("m")) / (1 + similarity) - 1e-9)).cast("int"))
+    # Of the windows whose first such place is the i-th: all starts that take in enough further ones.
+    lo = "greatest(0, if(i > 0, ps[greatest(i - 1, 0)] + 1, 0), ps[i + need - 1] - win_size + 1)"
+    hi = "least(ps[i], greatest(0, doc_words - n_words))"
+    runs = f"transform(sequence(0, size(ps) - need), i -> if({lo} <= {hi}, sequence({lo}, greatest({lo}, {hi})), cast(array() as array<int>)))"
+    starts = per_size.filter(F.size("ps") >= F.col("need")).select("doc_id", "row_key", "n_words", F.explode(F.flatten(F.expr(runs))).alias("start"))
+    places = written(starts.distinct(), "windows")
 
     # One row per document with all its places, joined to the documents again.
     per_doc = places.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("n_words", "start")).alias("at")).select(F.col("doc_id").alias("p_id"), F.col("row_key").alias("p_key"), "at")
