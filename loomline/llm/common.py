@@ -57,3 +57,14 @@ def held_out(doc_id: Column) -> Column:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,14 +1,24 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Every pair is found (prefix filtering): with the shingles of each text in one
-order, here that of their hashes, two sets that are this similar share one of the
-first n - ceil(0.8 n) + 1 shingles of each. Sets that share such a shingle are
-candidates if their sizes allow the similarity and their signatures do: a
-signature is the parity of the hashes in each of 1024 cells, and two sets differ
-in at least as many shingles as their signatures differ in bits. What is left is
-verified by the exact similarity before it links.
-
-Texts with one set are one entry. Three rounds compare each entry with one other
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Two finders propose pairs, and only the exact similarity links. First SimHash:
+the fingerprints of the sets go through the binary-trie self-join of `simhash`,
+which is cheap and groups the closest copies. But at a similarity of 0.8 two
+fingerprints differ in 10 of 64 bits and up to 22, and no walk over so wide a
+radius is short: with 11 errors allowed nearly all pairs of nodes stay alive for
+the first twenty levels. So prefix filtering completes the links, and it loses
+none: with the shingles of each text in one order, two sets that are this similar
+share one of the first n - ceil(0.8 n) + 1 shingles of each. Sets that share such
+a shingle are candidates if their sizes allow the similarity and their signatures
+do: a signature is the parity of the hashes in each of 1024 cells, and two sets
+differ in at least as many shingles as their signatures differ in bits.
+
+The order has the shingles that many texts share last, by how many, and the rest
+by hash: passages that thousands of documents have in common then lie beyond the
+prefixes of all of them. Which shingles these are is counted over all texts; the
+most frequent FREQUENT of them are sent to the tasks. Any order gives the same
+links, so that bound costs time at most and never a link.
+
+Texts with one set are one entry. A few rounds compare each entry with one other
 of each shared shingle, so that groups of near copies grow together from few
 comparisons; only then are all pairs compared that are not in one group yet. The
 pairs of a crowded shingle are dealt out as pairs of blocks, and pairs that the
@@ -17,7 +27,7 @@ filters reject never become rows.
 Defined results: words are those of the fingerprints (ASCII space, A-Z in lower
 case); a text of under five words is one shingle; texts without a word are copies
 of each other; null text is empty; a null doc_id stays of a group only if all
-its rows have none; repeated rows are one.
+its rows have none; repeated rows are one; columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -31,10 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, row_key, texts, written
-from .simhash import components
+from .simhash import components, fingerprint_links, without_copies
 
 SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 3
+#: Differing bits of fingerprints that the trie walk takes.
+RADIUS = 3
+#: Shingles in at least SHARED places of the texts count as frequent; at most FREQUENT of them, the most frequent ones.
+SHARED, FREQUENT = 50, 200_000
 _SEED = 42
+_AT_ONCE = 2_000_000  # hashes that a task holds before it counts them
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -62,25 +77,68 @@ def _signature(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketched(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, row_key, key (of the set), n, prefix and sig of each row."""
+def _simhash(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 100_000):
+        ones += np.unpackbits(hashes[at : at + 100_000].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def frequent_shingles(docs: DataFrame, least: int = SHARED, most: int = FREQUENT) -> np.ndarray:
+    """Hashes of the most frequent shingles, rarest of them first. A task tells what it meets twice and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[np.ndarray]) -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["hash", "n"])
+
+        held: list[np.ndarray] = []
+        n_held = 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py()))
+                n_held += len(held[-1])
+                if n_held > _AT_ONCE:
+                    yield told(held)
+                    held, n_held = [], 0
+        yield told(held)
+
+    counts = texts(docs).select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    top = counts.orderBy(F.desc("n"), "hash").limit(most).select("hash").toPandas()
+    return top["hash"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarray | None = None) -> DataFrame:
+    """doc_id, row_key, key (of the set), fp (SimHash), n, prefix and sig of each row."""
+    frequent = np.empty(0, np.uint64) if frequent is None else frequent
+    by_hash = np.argsort(frequent).astype(np.int32)
+    common = frequent[by_hash]
+
+    def ordered(h: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return h
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        shared = common[at] == h
+        return np.concatenate([h[~shared], h[shared][np.argsort(by_hash[at[shared]])]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keys, ns, prefixes, sigs = [], [], [], []
+            keys, fps, ns, prefixes, sigs = [], [], [], [], []
             for text in batch.column(2):
                 h = shingle_set(text.as_py())
                 keys.append(xxhash.xxh64_intdigest(h.tobytes(), _SEED))
+                fps.append(_simhash(h))
                 ns.append(len(h))
-                prefixes.append(h[: len(h) - _least(len(h), similarity) + 1].view(np.int64))
+                prefixes.append(ordered(h)[: len(h) - _least(len(h), similarity) + 1].view(np.int64))
                 sigs.append(_signature(h))
-            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", "key", "n", "prefix", "sig"])
+            numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
+            columns = [*numbers, pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", "key", "fp", "n", "prefix", "sig"])
 
     source = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return source.mapInArrow(run, "doc_id long, row_key long, key long, n long, prefix array<long>, sig array<long>")
+    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>, sig array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -134,40 +192,54 @@ def _block_pairs(similarity: float):
     return run
 
 
-def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that the sizes and signatures of their sets allow."""
+    ab = [entries.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    pairs = pairs.join(ab[0], "a").join(ab[1], "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    bits = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)")
+    return pairs.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+
+
+def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between keys of table (as `sketched`) that are this similar: not all pairs, but enough that components are whole."""
     prefixes = table.select("key", F.explode("prefix").alias("hash"))
     shared = prefixes.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("hash")
     rows = written(prefixes.join(shared, "hash").distinct(), "shared-shingles")
-    own = rows.select("key").distinct()
+
+    # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
+    first = written(table.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
+    near = fingerprint_links(first.select("fp"), radius)
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(k)) for c, k in (("u", "a"), ("v", "b")))
+    same = table.select("fp", "key").join(first.filter("first <> last"), "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
+
+    own = rows.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
     entries = written(table.join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("row_key", "doc_id")).alias("of")), "near-entries")
-    # One text of each entry, read again for its whole set.
     of = entries.select("key", F.col("of.row_key").alias("o_key"), F.col("of.doc_id").alias("o_id"))
-    source = docs.select(F.col("doc_id").cast("long").alias("s_id"), row_key().alias("s_key"), "text")
-    source = source.join(of, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "text")
-    sets = written(_sets(source).dropDuplicates(["key"]), "near-sets")
     entries = entries.select("key", "n", "sig")
+    source = docs.select(F.col("doc_id").cast("long").alias("s_id"), row_key().alias("s_key"), "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose whole sets, made anew of one text of each entry, are similar enough."""
+        pairs = written(_possible(pairs, entries, similarity), "near-candidates")
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = source.join(of.join(keys, "key"), (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "text")
+        sets = written(_sets(wanted).dropDuplicates(["key"]), "near-sets")
         a, b = (sets.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    found = None
-    comp = entries.select("key", F.col("key").alias("comp"))
+    found = written(verified(close), "near-links")
+    comp = written(_grouped(entries, found), "near-groups")
     for r in range(ROUNDS):
         # Each entry with one of each shingle that is not all in one group, another one each round.
         now = rows.join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct()
-        ab = [entries.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
-        pairs = pairs.join(ab[0], "a").join(ab[1], "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
-        bits = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)")
-        pairs = pairs.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
         new = written(verified(pairs), "near-links")
-        if r and new.isEmpty():
+        if new.isEmpty():
             break
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         comp = written(_grouped(entries, found), "near-groups")
 
     now = rows.join(comp, "key")
@@ -187,7 +259,7 @@ def _grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, row_key, kept_id and kept_key (the row that stays of its group) for every row of docs."""
-    table = written(sketched(docs, similarity), "sketches")
+    table = written(sketched(docs, similarity, frequent_shingles(docs)), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     firsts = written(table.groupBy("key").agg(first.alias("first")), "near-firsts")
     rooted = checkpointed(_grouped(firsts, written(links(docs, table, similarity, block), "near-links")).join(firsts, "key"))
@@ -198,11 +270,4 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: that of the least doc_id (of several such rows, that of the least row_key)."""
-    rows = written(near_copies(docs, similarity), "near-copies")
-    gone = ~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")))
-    losers = rows.filter(gone).select(F.col("doc_id").alias("nd_id"), F.col("row_key").alias("nd_key")).distinct()
-    out = docs.withColumn("nd_row", row_key()).join(losers, F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_row") == F.col("nd_key")), "left_anti")
-    # Only if a document is there twice, whole, must rows be told apart further.
-    if not rows.filter(~gone).groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "nd_row"])
-    return out.select(*docs.columns)
+    return without_copies(docs, near_copies(docs, similarity))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, texts, written
+from .common import checkpointed, row_key, texts, unused, written
 
 #: Words to a shingle, differing bits that still link, fingerprints to a node that one task walks.
 SHINGLE, RADIUS, MAX_NODE = 3, 2, 4096
@@ -254,18 +254,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return fps.join(of, "fp").select("doc_id", "row_key", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("kept_key"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (of several such rows, that of the least row_key)."""
-    rows = near_duplicates(docs, size, radius)
-    gone = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("kept_key")))
-    losers = written(rows.filter(gone).select(F.col("doc_id").alias("nd_id"), F.col("row_key").alias("nd_key")).distinct(), "near-duplicates")
-    out = docs.withColumn("nd_row", row_key()).join(losers, F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_row") == F.col("nd_key")), "left_anti")
+def without_copies(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows that rows (doc_id, row_key, kept_id, kept_key) doesn't name as kept; of whole repeated rows one stays."""
+    rows = written(rows, "near-duplicates")
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")))
+    row, lost_id, lost_row = unused(docs, "row", "lost_id", "lost_row")
+    losers = rows.filter(gone).select(F.col("doc_id").alias(lost_id), F.col("row_key").alias(lost_row)).distinct()
+    out = docs.withColumn(row, row_key()).join(losers, F.col("doc_id").cast("long").eqNullSafe(F.col(lost_id)) & (F.col(row) == F.col(lost_row)), "left_anti")
     # Only if a document is there twice, whole, must rows be told apart further.
     if not rows.filter(~gone).groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "nd_row"])
+        out = out.dropDuplicates(["doc_id", row])
     return out.select(*docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (of several such rows, that of the least row_key)."""
+    rows = near_duplicates(docs, size, radius)
+    return without_copies(docs, rows.select("doc_id", "row_key", F.col("component_id").alias("kept_id"), "kept_key"))
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
