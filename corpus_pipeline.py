@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns documents with the columns it
 was given, the last the pieces of packed sequences. Between stages docs are
 written as Parquet and read again, so a lost executor costs one stage's tasks.
+
+Defined results: null, empty and blank texts have no language and go; a null
+doc_id is kept like any other, and n_chars follows a text that lost lines; of
+repeated rows one stays; extra columns of any name pass through all stages but
+the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,11 +18,17 @@ from pyspark.sql import functions as F
 from loomline.llm import decontam, langid, line_dedup, near_copies, packing
 from loomline.llm.common import written
 
+#: Similarity of a text's n-gram ranks to the nearest language's, under which it is in none of them (real texts of a learnt language have 0.35 and more).
+LEAST_SCORE = 0.25
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay; those without a letter, which have none, go."""
+    """Documents that read like one of the languages learnt stay, with that language in `lang`; text without a letter, or unlike all profiles, goes."""
     found = langid.identify(docs)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    if "lang" in docs.columns:
+        found = found.withColumn("lang", F.col("lang_pred"))
+    return found.select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    """One document stays of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles: SimHash's trie walk, and prefix filtering for what lies beyond its radius."""
     return near_copies.drop_near_copies(docs)
 
 
