@@ -9,8 +9,9 @@ the first twenty levels. So prefix filtering completes the links, and it loses
 none: with the shingles of each text in one order, two sets that are this similar
 share one of the first n - ceil(0.8 n) + 1 shingles of each. Sets that share such
 a shingle are candidates if their sizes allow the similarity and their signatures
-do: a signature is the parity of the hashes in each of 1024 cells, and two sets
-differ in at least as many shingles as their signatures differ in bits.
+do: a signature is the parity of the hashes in each of 1024 cells (in as many as
+the set has shingles, for long texts), and two sets differ in at least as many
+shingles as their signatures differ in bits.
 
 The order has the shingles that many texts share last, by how many, and the rest
 by hash: passages that thousands of documents have in common then lie beyond the
@@ -72,11 +73,16 @@ def _least(n: int, similarity: float) -> int:
     return ceil(similarity * n - 1e-9)
 
 
-def _signature(hashes: np.ndarray) -> np.ndarray:
-    odd = np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+def _signature(hashes: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    odd = np.bincount((hashes % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    """The signature over as many cells as the set has shingles, rounded up to a power of two."""
+    return _signature(hashes, max(CELLS, 1 << (max(len(hashes), 1) - 1).bit_length()))
+
+
 def _simhash(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 100_000):
@@ -109,7 +115,7 @@ def frequent_shingles(docs: DataFrame, least: int = SHARED, most: int = FREQUENT
 
 
 def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarray | None = None) -> DataFrame:
-    """doc_id, row_key, key (of the set), fp (SimHash), n, prefix and sig of each row."""
+    """doc_id, row_key, key (of the set), fp (SimHash), n, prefix, sig and wide (signatures) of each row."""
     frequent = np.empty(0, np.uint64) if frequent is None else frequent
     by_hash = np.argsort(frequent).astype(np.int32)
     common = frequent[by_hash]
@@ -125,7 +131,7 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
         import xxhash
 
         for batch in batches:
-            keys, fps, ns, prefixes, sigs = [], [], [], [], []
+            keys, fps, ns, prefixes, sigs, wide = [], [], [], [], [], []
             for text in batch.column(2):
                 h = shingle_set(text.as_py())
                 keys.append(xxhash.xxh64_intdigest(h.tobytes(), _SEED))
@@ -133,12 +139,13 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
                 ns.append(len(h))
                 prefixes.append(ordered(h)[: len(h) - _least(len(h), similarity) + 1].view(np.int64))
                 sigs.append(_signature(h))
+                wide.append(_wide(h))
             numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
-            columns = [*numbers, pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", "key", "fp", "n", "prefix", "sig"])
+            columns = [*numbers, pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int64())) for x in (sigs, wide))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", "key", "fp", "n", "prefix", "sig", "wide"])
 
     source = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>, sig array<long>")
+    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>, sig array<long>, wide array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -194,10 +201,15 @@ def _block_pairs(similarity: float):
 
 def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that the sizes and signatures of their sets allow."""
-    ab = [entries.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    ab = [entries.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"s{c}")) for c in "ab"]
     pairs = pairs.join(ab[0], "a").join(ab[1], "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    # Sizes are near each other: one signature has as many cells as the other or twice as many, and is folded then.
+    for mine, other in (("sa", "sb"), ("sb", "sa")):
+        half = f"cast(size({mine}) / 2 as int)"
+        pairs = pairs.withColumn(mine, F.expr(f"if(size({mine}) > size({other}), zip_with(slice({mine}, 1, {half}), slice({mine}, {half} + 1, {half}), (x, y) -> x ^ y), {mine})"))
     bits = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)")
-    return pairs.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+    pairs = pairs.withColumn("bits", bits).filter(F.col("bits") <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6)
+    return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
 def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
@@ -214,28 +226,30 @@ def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, blo
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
 
     own = rows.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    entries = written(table.join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("row_key", "doc_id")).alias("of")), "near-entries")
+    entries = written(table.join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.min(F.struct("row_key", "doc_id")).alias("of")), "near-entries")
     of = entries.select("key", F.col("of.row_key").alias("o_key"), F.col("of.doc_id").alias("o_id"))
-    entries = entries.select("key", "n", "sig")
+    entries = entries.select("key", "n", "sig", "wide")
     source = docs.select(F.col("doc_id").cast("long").alias("s_id"), row_key().alias("s_key"), "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets, made anew of one text of each entry, are similar enough."""
-        pairs = written(_possible(pairs, entries, similarity), "near-candidates")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = source.join(of.join(keys, "key"), (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "text")
+        pairs = written(pairs, "near-candidates")
+        # Written, so that Spark knows its size before it decides whether texts must be shuffled.
+        keys = written(of.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key"), "near-wanted")
+        wanted = source.join(keys, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "text")
         sets = written(_sets(wanted).dropDuplicates(["key"]), "near-sets")
         a, b = (sets.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    found = written(verified(close), "near-links")
+    found = written(verified(_possible(close, entries, similarity).select("a", "b")), "near-links")
     comp = written(_grouped(entries, found), "near-groups")
     for r in range(ROUNDS):
-        # Each entry with one of each shingle that is not all in one group, another one each round.
+        # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
         now = rows.join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct()
+        pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
+        pairs = _possible(pairs, entries, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
         new = written(verified(pairs), "near-links")
         if new.isEmpty():
             break
@@ -248,8 +262,8 @@ def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, blo
     now = now.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
     now = now.join(entries, "key").select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "key", "n", "comp", "sig")
     dealt = now.repartition("hash", "x", "y").sortWithinPartitions("hash", "x", "y", "side", "key")
-    last = written(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), "near-pairs")
-    return found.unionByName(verified(last))
+    pairs = written(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), "near-pairs")
+    return found.unionByName(verified(_possible(pairs, entries, similarity).select("a", "b")))
 
 
 def _grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
