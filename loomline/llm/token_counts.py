@@ -44,6 +44,8 @@ MAX_ENTRIES = 400_000
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: The pre-tokenizer's own pattern, a fixed value of this vocabulary.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Contractions of more than one letter in that pattern.
+_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 #: Behind a letter or digit these always begin a pre-token.
 _TAIL = ".,;:!?%$#&*|"
 _LEADING = re.compile(f"[{SPACE}]*")
@@ -102,6 +104,13 @@ class PrefixTables:
     def _count(self, text: str) -> int:
         return sum(self.words[p][-1] for p in self.pieces(text))
 
+    @staticmethod
+    def _at_characters(s: str, table: list[int] | bytes) -> list[int]:
+        """Of counts at the prefixes of 0, 1, ... bytes those at the prefixes of 1, 2, ... characters."""
+        if s.isascii():
+            return list(table[1:])
+        return [table[e] for e in accumulate(len(ch.encode("utf-8", "surrogatepass")) for ch in s)]
+
     def _unit(self, unit: str) -> bytes:
         """Changes of the count at each code point of a run of white space and the characters behind it."""
         core = unit.rstrip(_TAIL)
@@ -112,25 +121,20 @@ class PrefixTables:
             return struct.pack(f"<{len(unit)}h", *map(sub, counts[1:], counts))
         k = _LEADING.match(unit).end()
         space, rest = unit[:k], unit[k:]
-        counts = [self.words[self.pieces(space[:j])[0]][-1] for j in range(1, k + 1)]
+        counts = self._at_characters(space, self.words[self.pieces(space)[0]]) if space else []  # a text that ends in white space: one pre-token
         if rest:
             glued = space.endswith(" ")
             head, body = (space[:-1], " " + rest) if glued else (space, rest)
             # All but the last of a run of white space is one pre-token.
             before = (self._count(head) if glued else self._count(head[:-1]) + self._count(head[-1:])) if head else 0
-            if "'" in rest:  # contractions: a prefix may fall into other pre-tokens
-                counts += [before + self._count(body[: i + 1]) for i in range(glued, len(body))]
-            else:
-                table, total = [0], 0
-                for p in self.pieces(body):
-                    c = self.words[p]
-                    table += [total + x for x in c[1:]]
-                    total += c[-1]
-                if body.isascii():
-                    counts += [before + x for x in table[1 + glued :]]
-                else:
-                    ends = accumulate(len(ch.encode("utf-8", "surrogatepass")) for ch in body)
-                    counts += [before + table[e] for e in ends][glued:]
+            table, total = [0], 0
+            for p in self.pieces(body):
+                c = self.words[p]
+                if p in _CONTRACTIONS:  # not complete, it is an apostrophe and a letter
+                    c = [0, self.words[p[0]][-1], self.words[p[0]][-1] + self.words[p[1]][-1], c[-1]]
+                table += [total + x for x in c[1:]]
+                total += c[-1]
+            counts = [*counts, *(before + x for x in self._at_characters(body, table)[glued:])]
         return struct.pack(f"<{len(counts)}h", *map(sub, counts, [0, *counts]))
 
     def text(self, text: str) -> bytes:
