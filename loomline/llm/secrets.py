@@ -1,26 +1,32 @@
 """Secret scans: base patterns, and random-looking tokens by a battery of randomness tests. DataFrame operations only.
 
 Positions come from splitting a text at a pattern and adding lengths up. Besides
-the base patterns, each run of 20 or more characters of the usual encodings that
-mixes letters and digits is a candidate. Its encoding is the smallest of hex,
-base 32, base 36, base 62 and base 64 that has all its characters; over that
-alphabet it takes three tests: chi-squared for uniform use of the characters, runs above and below
-the alphabet's middle, and serial correlation of neighbours. Their deviations
-from what random characters give, as normal scores, make one score: the nearer
-to zero, the more random.
-
-What ordinary text of the same length scores is learnt from the corpus itself:
-runs of letters alone, in bands of length, read as base 62. The share of these that score at least
-as well is a candidate's p-value, and within each band the Benjamini-Hochberg
-rule keeps the expected share of false discoveries under a level: short tokens,
-which say less, meet the harder thresholds. A candidate must also pass each test
-by itself, at RANDOM deviations. Both counts are histograms of
-band and score, so that what is gathered of the corpus is a bounded table, and one
-pass over the texts does everything else; no text is shuffled.
+the base patterns, each run of 16 or more characters of the usual encodings with a
+letter in it is a candidate. Its encoding is the smallest of hex, letters of one
+case, base 32, base 36, letters of both cases, base 62 and base 64 that has all
+its characters. Over that alphabet it takes three tests, as normal scores:
+chi-squared for uniform use of the characters, runs above and below the
+alphabet's middle, and serial correlation of neighbours.
+
+A token is reported if it looks random and text wouldn't. Random: none of the
+three tests rejects it beyond RANDOM deviations. Text wouldn't: its p-value is the
+probability that ordinary text of the same encoding and length uses its alphabet
+so evenly. That comes from a fixed model (LETTERS and the shares beside it), by
+the exact mean and variance of the chi-squared statistic under the model's
+character frequencies and Wilson and Hilferty's cube root. So a token has the same
+p-value in any corpus; those that fail a randomness test have 1. Benjamini and
+Hochberg's rule then keeps the expected share of false discoveries under LEVEL
+within each encoding and band of lengths: short tokens say little and rarely pass.
+Median p of random tokens of 20, 32, 40 and 64 characters: base 64 0.04, 0.004,
+0.0006, 2e-6; base 62 0.04, 0.003, 0.0003, 1e-8; base 32 0.1, 0.02, 0.006, 8e-5.
+The rule works on a histogram (encoding, band, step of p), a bounded table
+whatever the corpus; p-values are rounded up to the step. One pass over the texts
+does everything else, and no text is shuffled.
 
 Defined results: null text is empty; candidates that overlap a base span add
-nothing; without ordinary text to compare to nothing is discovered; repeated rows repeat, each with the same spans; a null doc_id is kept;
-an empty table gives an empty result.
+nothing; digits alone are numbers and never candidates; letters of one case say
+little, so that some 60 of them are needed; repeated rows repeat, each with the
+same spans; a null doc_id is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,16 +41,38 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Characters of an encoding in the order of their values, and the pattern of a token in it; smaller alphabets first.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Characters of an encoding in the order of their values, and the pattern of a token in it; the first that fits is taken.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
-    ("hex", "0123456789abcdef", "^([0-9a-f]+|[0-9A-F]+)$"),
-    ("base32", "abcdefghijklmnopqrstuvwxyz234567", "^([A-Z2-7]+|[a-z2-7]+)=*$"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", "^([0-9a-z]+|[0-9A-Z]+)$"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "^[0-9A-Za-z]+$"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "^[0-9A-Za-z+/_-]+=*$"),
+    ("hex", _DIGITS + "abcdef", "^([0-9a-f]+|[0-9A-F]+)$"),
+    ("letters", _LOWER, "^([a-z]+|[A-Z]+)$"),
+    ("base32", _LOWER + "234567", "^([A-Z2-7]+|[a-z2-7]+)=*$"),
+    ("base36", _DIGITS + _LOWER, "^([0-9a-z]+|[0-9A-Z]+)$"),
+    ("base52", _UPPER + _LOWER, "^[A-Za-z]+$"),
+    ("base62", _DIGITS + _UPPER + _LOWER, "^[0-9A-Za-z]+$"),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/-_", "^[0-9A-Za-z+/_-]+=*$"),
 )
-BAND, BIN, LEVEL, RANDOM = 8, 0.1, 0.01, 3.3
+#: The model of ordinary text: per cent of each letter from a to z (English prose), and the shares of capitals among letters, of digits and of other characters.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1)
+CAPITALS, NUMBERS, OTHERS = 0.05, 0.1, 0.05
+#: Characters to a band of lengths, steps of a factor ten of p, share of false discoveries, deviations that a randomness test allows.
+BAND, STEPS, LEVEL, RANDOM = 8, 20, 0.05, 2.6
+
+
+def text_model(alphabet: str) -> list[float]:
+    """How often ordinary text uses each character of an alphabet."""
+    cased = any(c in alphabet for c in _UPPER) and any(c in alphabet for c in _LOWER)
+    share = []
+    for c in alphabet:
+        if c in _DIGITS:
+            share.append(NUMBERS / 10)
+        elif c.isalpha():
+            of = CAPITALS if c.isupper() else 1 - CAPITALS
+            share.append((1 - NUMBERS - OTHERS) * LETTERS[ord(c.lower()) - ord("a")] / sum(LETTERS) * (of if cased else 1))
+        else:
+            share.append(OTHERS / 4)
+    return [x / sum(share) for x in share]
 
 
 def _lit(pattern: str) -> str:
@@ -87,54 +115,65 @@ def scanned(docs: DataFrame) -> DataFrame:
     return t.withColumn("candidates", F.when(F.size("candidates") > 0, F.expr(free)).otherwise(F.col("candidates")))
 
 
+def _chosen(values: list, kind: str) -> Column:
+    """The value of the encoding of `token`: that of the first whose pattern fits."""
+    out = F.lit(None).cast(kind)
+    for (_, _, pattern), value in reversed(list(zip(ENCODINGS, values))):
+        out = F.when(F.col("token").rlike(pattern), F.lit(value).cast(kind)).otherwise(out)
+    return out
+
+
 def randomness(tokens: DataFrame) -> DataFrame:
-    """tokens (column `token`) with `encoding` (null: letters alone), and `score` (0 at best)."""
-    plain = F.col("token").rlike("^[A-Za-z]+$")
-    mixed = F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")
-    name, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for n, letters, pattern in reversed(ENCODINGS):
-        name, alphabet = F.when(F.col("token").rlike(pattern), n).otherwise(name), F.when(F.col("token").rlike(pattern), letters).otherwise(alphabet)
-    t = tokens.filter(plain | mixed).withColumn("encoding", F.when(mixed, name))
-    # Letters alone are text, read as base 62: what ordinary words look like to the tests.
-    t = t.withColumn("alphabet", F.when(plain, F.lit(ENCODINGS[3][1])).otherwise(alphabet)).filter(F.col("alphabet").isNotNull())
-    folded = F.when(F.col("alphabet").rlike("[A-Z]"), F.col("token")).otherwise(F.lower("token"))
-    t = t.withColumn("folded", folded)
-    t = t.withColumn("code", F.expr("filter(transform(sequence(1, length(folded)), i -> cast(locate(substr(folded, i, 1), alphabet) - 1 as double)), x -> x >= 0)"))
+    """tokens (column `token`) that have a letter, with encoding, z_chi2, z_runs, z_serial, z_text and p (of ordinary text, 1 if a test says not random)."""
+    models = [text_model(alphabet) for _, alphabet, _ in ENCODINGS]
+    t = tokens.filter(F.col("token").rlike("[A-Za-z]"))
+    t = t.withColumn("encoding", _chosen([e[0] for e in ENCODINGS], "string")).filter(F.col("encoding").isNotNull())
+    t = t.withColumn("alphabet", _chosen([e[1] for e in ENCODINGS], "string"))
+    t = t.withColumn("s2", _chosen([sum(q**2 for q in m) for m in models], "double")).withColumn("s3", _chosen([sum(q**3 for q in m) for m in models], "double"))
+    t = t.withColumn("folded", F.when(F.col("alphabet").rlike("[A-Z]"), F.col("token")).otherwise(F.lower("token")))
+    t = t.withColumn("code", F.expr("transform(filter(split(folded, ''), c -> c <> '' and c <> '='), c -> cast(locate(c, alphabet) - 1 as double))"))
     t = t.withColumn("k", F.length("alphabet").cast("double")).withColumn("n", F.size("code").cast("double"))
     # Chi-squared by its cube root (Wilson and Hilferty); runs by Wald and Wolfowitz; correlation of neighbours times the root of n.
-    t = t.withColumn("chi2", F.expr("aggregate(array_distinct(code), 0D, (acc, x) -> acc + pow(size(filter(code, y -> y = x)), 2)) * k / n - n"))
-    t = t.withColumn("z_chi2", F.expr("(pow(greatest(chi2, 0D) / (k - 1), 1/3D) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))"))
+    t = t.withColumn("squares", F.expr("aggregate(array_distinct(code), 0D, (acc, x) -> acc + pow(size(filter(code, y -> y = x)), 2))"))
+    t = t.withColumn("chi2", F.expr("squares * k / n - n"))
+    cube = "(pow(greatest({x}, 0D), 1/3D) - (1 - 2 / (9 * ({df})))) / sqrt(2 / (9 * ({df})))"
+    t = t.withColumn("z_chi2", F.expr(cube.format(x="chi2 / (k - 1)", df="k - 1")))
     t = t.withColumn("high", F.expr("cast(size(filter(code, x -> x >= k / 2)) as double)")).withColumn("low", F.col("n") - F.col("high"))
     t = t.withColumn("runs", F.expr("1D + size(filter(sequence(1, size(code) - 1), i -> (code[i] >= k / 2) <> (code[i - 1] >= k / 2)))"))
-    t = t.withColumn("expected", F.expr("1 + 2 * high * low / n")).withColumn("spread", F.expr("sqrt((expected - 1) * (expected - 2) / (n - 1))"))
+    t = t.withColumn("expected", F.expr("1 + 2 * high * low / n")).withColumn("spread", F.expr("sqrt(greatest((expected - 1) * (expected - 2) / (n - 1), 0D))"))
     t = t.withColumn("z_runs", F.expr("case when spread > 0 then (runs - expected) / spread else sqrt(n) end"))
     t = t.withColumn("mean", F.expr("aggregate(code, 0D, (acc, x) -> acc + x) / n")).withColumn("var", F.expr("aggregate(code, 0D, (acc, x) -> acc + pow(x - mean, 2))"))
     t = t.withColumn("z_serial", F.expr("case when var > 0 then sqrt(n) * aggregate(sequence(1, size(code) - 1), 0D, (acc, i) -> acc + (code[i] - mean) * (code[i - 1] - mean)) / var else sqrt(n) end"))
-    t = t.withColumn("worst", F.expr("greatest(z_chi2, abs(z_runs), abs(z_serial))"))
-    return t.withColumn("score", F.expr("-(greatest(z_chi2, 0D) + abs(z_runs) + abs(z_serial)) / sqrt(3D)"))
+    # Mean and variance of the sum of squared counts under the model of text, then of chi-squared, matched by a gamma distribution.
+    t = t.withColumn("mu", F.expr("k * (1 + (n - 1) * s2) - n"))
+    t = t.withColumn("df", F.expr("2 * mu * mu / (k * k / (n * n) * 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2))"))
+    t = t.withColumn("z_text", F.expr(cube.format(x="chi2 / mu", df="df")))
+    # The normal distribution's lower tail: five-term rational approximation, and the leading terms of the tail's series where that has no digits left.
+    t = t.withColumn("u", F.expr("1 / (1 + 0.2316419 * abs(z_text))")).withColumn("density", F.expr("exp(-z_text * z_text / 2) / sqrt(2 * pi())"))
+    near = "density * u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))"
+    tail = F.expr(f"case when z_text < -5 then density / -z_text * (1 - 1 / (z_text * z_text)) when z_text <= 0 then {near} else 1 - {near} end")
+    p = F.when(F.expr(f"z_chi2 <= {RANDOM} and abs(z_runs) <= {RANDOM} and abs(z_serial) <= {RANDOM}"), F.least(F.lit(1.0), tail)).otherwise(1.0)
+    return t.withColumn("p", p).drop("alphabet", "s2", "s3", "folded", "code", "k", "n", "squares", "chi2", "high", "low", "runs", "expected", "spread", "mean", "var", "mu", "df", "u", "density")
 
 
 def discoveries(scored: DataFrame, level: float = LEVEL) -> DataFrame:
-    """scored (columns encoding, length, score, worst) without what the false-discovery rule of its band of length doesn't admit."""
-    s = scored.withColumn("band", F.least(F.floor(F.col("length") / BAND), F.lit(64)).cast("int")).withColumn("bin", F.greatest(F.round(F.col("score") / BIN).cast("int"), F.lit(-1000)))
-    # A row for each band and step of score: at most 65 x 1001, whatever the corpus.
-    tally = s.groupBy("band", "bin").agg(F.count_if(F.col("encoding").isNull()).alias("text"), F.count_if(F.col("encoding").isNotNull()).alias("found"))
-    # Shorter text looks more random, so that of all shorter bands counts too, which can only admit less.
-    text = tally.select(F.explode(F.sequence("band", F.lit(64))).alias("band"), "bin", "text", F.lit(0).cast("long").alias("found"))
-    tally = text.unionByName(tally.withColumn("text", F.lit(0).cast("long")).select("band", "bin", "text", "found")).groupBy("band", "bin").agg(F.sum("text").alias("text"), F.sum("found").alias("found"))
-    down = Window.partitionBy("band").orderBy(F.desc("bin"))
-    every = Window.partitionBy("band")
-    tally = tally.select("band", "bin", F.sum("text").over(down).alias("text_over"), F.sum("found").over(down).alias("found_over"), F.sum("text").over(every).alias("texts"), F.sum("found").over(every).alias("all"))
-    admitted = (F.col("text_over") + 1) / (F.col("texts") + 1) <= level * F.col("found_over") / F.col("all")
-    least = tally.filter((F.col("all") > 0) & admitted).groupBy("band").agg(F.min("bin").alias("least"))
-    return s.join(least, "band").filter(F.col("encoding").isNotNull() & (F.col("bin") >= F.col("least")) & (F.col("worst") <= RANDOM)).drop("band", "bin", "least")
+    """scored (columns encoding, length, p) without what the false-discovery rule of its encoding and band of length doesn't admit."""
+    step = F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * STEPS + 1e-9).cast("int")
+    s = scored.withColumn("band", F.least(F.floor(F.col("length") / BAND), F.lit(64)).cast("int")).withColumn("step", step)
+    # A row for each encoding, band and step of p: at most 7 x 65 x 601, whatever the corpus.
+    tally = s.groupBy("encoding", "band", "step").agg(F.count("*").alias("n"))
+    every = Window.partitionBy("encoding", "band")
+    tally = tally.select("encoding", "band", "step", F.sum("n").over(every.orderBy(F.desc("step"))).alias("found"), F.sum("n").over(every).alias("all"))
+    admitted = (F.col("step") > 0) & (F.pow(F.lit(10.0), -F.col("step") / STEPS) <= level * F.col("found") / F.col("all"))
+    least = tally.filter(admitted).groupBy("encoding", "band").agg(F.min("step").alias("least"))
+    return s.join(least, ["encoding", "band"]).filter(F.col("step") >= F.col("least")).drop("band", "step", "least")
 
 
 def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """A row for each of docs: doc_id, row_key, counts of base kinds, base and all spans as arrays of (start, end, kind)."""
     s = written(scanned(docs), "secret-spans")
     tokens = s.select("doc_id", "row_key", F.explode("candidates").alias("c")).select("doc_id", "row_key", "c.*").withColumn("length", F.length("token"))
-    found = discoveries(written(randomness(tokens).select("doc_id", "row_key", "start", "end", "encoding", "length", "score", "worst"), "randomness"), level)
+    found = discoveries(written(randomness(tokens).select("doc_id", "row_key", "start", "end", "encoding", "length", "p"), "randomness"), level)
     more = found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end", F.lit(3).alias("kind"))).alias("more")).select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "more")
     out = s.join(more, s.doc_id.eqNullSafe(more.m_id) & (s.row_key == more.m_key), "left")
     every = F.expr(_ORDERED.format("concat(base, coalesce(more, array()))"))
