@@ -17,9 +17,9 @@ At 0.8 two fingerprints differ in about 10 of 64 bits with a deviation of 3; the
 radius of 15 takes 99.4 % of pairs between 0.8 and 1 as measured on edited copies,
 and a passage that is missed at one window is mostly met at the next.
 
-The corpus is read twice, the second time only for documents with a candidate
-place; its texts are shuffled only if the places outgrow a broadcast by Spark's
-own measure. A document stays one row: common passages fill no task.
+The corpus is read twice, the second time only for documents with a window; its
+texts are shuffled only if the keys of these outgrow a broadcast by Spark's own
+measure. The index is written before it is joined, for the same reason. A document stays one row: common passages fill no task.
 
 Defined results: null and empty texts match nothing; nor do items of fewer than
 five words, which have no shingle and would match ordinary sentences: `too_short`
@@ -94,10 +94,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     starts = per_size.filter(F.size("ps") >= F.col("need")).select("doc_id", "row_key", "n_words", F.explode(F.flatten(F.expr(runs))).alias("start"))
     places = written(starts.distinct(), "windows")
 
-    # One row per document with all its places, joined to the documents again.
+    # The texts once more, only of documents with a window: their keys are a small table, which Spark broadcasts by its own measure.
+    hits = written(places.select(F.col("doc_id").alias("p_id"), F.col("row_key").alias("p_key")).distinct(), "documents-with-windows")
+    again = source.join(hits, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row_key") == F.col("p_key")), "left_semi")
+    again = again.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", shingles("w", size).alias("hashes"))
     per_doc = places.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("n_words", "start")).alias("at")).select(F.col("doc_id").alias("p_id"), F.col("row_key").alias("p_key"), "at")
-    again = source.join(per_doc, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row_key") == F.col("p_key")))
-    again = again.select("doc_id", "row_key", "at", words(F.col("text")).alias("w")).select("doc_id", "row_key", "at", shingles("w", size).alias("hashes"))
+    again = again.join(per_doc, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row_key") == F.col("p_key")))
     windows = again.select("doc_id", "row_key", "hashes", F.explode_outer("at").alias("x")).select("doc_id", "row_key", "x.n_words", "x.start", F.expr(f"slice(hashes, x.start + 1, x.n_words - {size - 1})").alias("win"))
     key = ["doc_id", "row_key", "n_words", "start"]
     windows = written(windows.dropDuplicates(key).withColumn("fp", simhash("win")), "window-fingerprints")
@@ -106,6 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     near = F.array(*[F.lit(m) for m in _near(width, radius // BLOCKS)])
     entries = items.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.posexplode(blocks("fp")).alias("block", "value"))
     entries = entries.select("item_id", "n_words", "item_fp", "block", F.explode(F.transform(near, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    entries = written(entries, "item-index")  # so that Spark knows how large it has grown
     probes = windows.select(*key, "fp", F.posexplode(blocks("fp")).alias("block", "value"))
     # A pair may meet in several blocks; the first of these speaks for it.
     first = F.expr(f"array_position(transform(sequence(0, {BLOCKS - 1}), b -> bit_count(shiftrightunsigned(fp ^ item_fp, b * {width}) & {(1 << width) - 1}) <= {radius // BLOCKS}), true) - 1")
