@@ -1,27 +1,39 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon words and word patterns (prefixes) that fire when they occur
-often enough in a text. Which ones, is induced from a bounded sample of labelled
-learning rows. A generative label model then takes all learning documents,
-labelled or not: by expectation maximisation it estimates how often each voter
-fires in either class, and how voters correlate within a class, so that voters
-which repeat each other share one voice. Its posterior, with the gold label as
-one more voter where there is one, labels the sample (and SAMPLE / 2 documents without a label) for a linear classifier
-(logistic regression with an L2 penalty) over the counts of all induced features.
-
-Texts are read twice: in the first pass only the sample's are looked into, the
-second reduces each text to its counts of induced features, a small table from
+Voters are lexicons of insults, one a language, and word patterns (words and
+prefixes) that fire when they occur often enough in a text. The lexicons vote from
+the start, with or without labels. The patterns are induced twice: first from a
+bounded sample of labelled learning rows; then a first label model names further
+documents of a sample without labels as toxic or not, and the patterns are induced
+again from both, so that most of them come from documents that nobody labelled.
+Voters are taken one by one, each for what it says of toxic documents that those
+before it leave silent; so rare languages get theirs.
+
+The generative label model takes all learning documents, labelled or not: by
+expectation maximisation it estimates how often each voter fires in either class
+and how voters correlate within a class. A voter that fires votes toxic, one that
+doesn't abstains. Those of a document's votes that repeat each other share one
+voice, in each round by the correlations of the round before. A gold label, where
+there is one, is a further voter. The model's posterior labels the samples for a
+linear classifier (logistic regression with an L2 penalty) over the counts of all
+induced features and the voters' votes.
+
+Texts are read whole twice: the first passes look only into the samples, the last
+reduces each text to its counts of induced features, a small table from
 which votes, sums and scores come. Per round of the label model a partition sends
 one row of sums to the driver.
 
-Bounds (documented parameters): SAMPLE labelled rows, FEATURES, VOTERS. The
-sample is that of the smallest hashes of doc_id, and is broadcast.
+Bounds (documented parameters): SAMPLE labelled rows and half as many without a
+label, those of the smallest hashes of doc_id; FEATURES, and 16 times as many
+candidates for them, by the difference of their frequencies in the classes;
+VOTERS; the share of toxic documents in the model within 0.005 and 0.5. What is
+broadcast or sent to the driver follows these and not the corpus.
 
 Defined results: null and empty texts have no features and get the score of a
 text without any; a doc_id labelled twice with different labels is not sampled;
-null labels don't count; repeated documents repeat; without any label of either
-class the score is the share of toxic labels (0 if none); empty tables give an
-empty result.
+null labels don't count; repeated documents repeat; without labels of both
+classes only the lexicons vote, at assumed rates; columns of documents may have
+any names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -38,26 +50,34 @@ from pyspark.sql import functions as F
 
 from .common import held_out, texts, written
 
-SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 48, 12
+SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 56, 12
 THRESHOLD = 0.7
-#: What a gold label is taken to be right at, as a voter.
-GOLD = 0.97
+#: What a gold label is taken to be right at, as a voter; the posterior at which a document without one counts as labelled for the second induction.
+GOLD, SURE = 0.98, 0.95
 #: Log-likelihood ratio below which a feature may be chance: some hundred thousand are looked at.
 LEAST_G2 = 22.0
-#: Insults that vote from the start, whatever the sample holds (fixed values).
-LEXICON = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Share of toxic documents and rates of a lexicon's voter in either class (0, 1), assumed until the model knows better.
+PRIOR, RATES = 0.1, (0.005, 0.3)
+#: Insults by language (fixed values).
+LEXICON = {
+    "en": "clown disgusting dumb dumbass fool garbage idiot idiotic idiots imbecile jerk loser losers moron morons pathetic scum scumbag stupid trash worthless".split(),
+    "de": "abschaum arschloch bastard blödmann depp dreckig dumm dummkopf idiot idioten nichtsnutz schwachkopf trottel versager widerlich wertlos".split(),
+    "es": "asqueroso asquerosa basura cabrón estúpido estúpida escoria idiota imbécil inútil payaso patético pendejo perdedor tonto".split(),
+    "fr": "abruti bouffon connard connasse crétin débile dégoûtant idiot idiote imbécile loser minable nul ordure pathétique pourriture raté stupide".split(),
+}
+_LISTS = {w: [f"{lang}!" for lang in LEXICON if w in LEXICON[lang]] for words in LEXICON.values() for w in words}
 _WORD = re.compile(r"\w+")
 _PREFIXES = range(4, 9)
 
 
 def features(word: str) -> list[str]:
-    """The lexicon entry and the prefix patterns that a word belongs to; a prefix ends with *."""
-    return [word[:24], *(word[:n] + "*" for n in _PREFIXES if len(word) > n)]
+    """A word, the prefix patterns that it belongs to (ending with *) and the lexicons that list it (ending with !)."""
+    return [word, *(word[:n] + "*" for n in _PREFIXES if len(word) > n), *_LISTS.get(word, ())]
 
 
 def _g2(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Log-likelihood ratio of occurrence and class; negative where occurrence speaks against toxicity."""
-    a, b, c, d = (np.asarray(x, float) + 0.5 for x in (pos, neg, n_pos - pos, n_neg - neg))
+    a, b, c, d = (np.maximum(np.asarray(x, float), 0) + 0.5 for x in (pos, neg, n_pos - pos, n_neg - neg))
     n = a + b + c + d
     e = lambda r, s: r * s / n
     g = 2 * (a * np.log(a / e(a + b, a + c)) + b * np.log(b / e(a + b, b + d)) + c * np.log(c / e(c + d, a + c)) + d * np.log(d / e(c + d, b + d)))
@@ -70,19 +90,25 @@ def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return one.filter("toxic = most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
 
 
+def unlabelled_sample(docs: DataFrame, sample: DataFrame, size: int) -> DataFrame:
+    """l_id of at most `size` learning documents outside the sample, those of the smallest hashes."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("l_id")).filter(F.col("l_id").isNotNull() & ~held_out(F.col("l_id"))).distinct()
+    return ids.join(F.broadcast(sample.select("l_id")), "l_id", "left_anti").orderBy(F.xxhash64("l_id"), "l_id").limit(size)
+
+
 def induce(docs: DataFrame, sample: DataFrame, size: int = FEATURES, support: int = 4) -> list[str]:
-    """The features that speak most for toxicity in the sample, strongest first."""
+    """The features that speak most for toxicity in a sample (l_id, toxic), strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by = Counter(), Counter()
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = set(_WORD.findall((text.as_py() or "").lower()))
-                by[toxic].update({f for w in words for f in features(w)})
+                by[toxic].update({f for w in words for f in features(w) if not f.endswith("!")})
             for toxic, c in enumerate(by):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "toxic", "n"])
 
-    own = texts(docs).join(F.broadcast(sample), docs.doc_id == sample.l_id).select("toxic", "text")
+    own = texts(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("toxic", "text")
     counts = own.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
@@ -109,14 +135,14 @@ def counted(docs: DataFrame, names: list[str]) -> DataFrame:
     at = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = {f[:4] for f in at}
+        heads = {f[:4] for f in at if not f.endswith("!")}
         for batch in batches:
             idx, cnt = [], []
             for text in batch.column(1):
                 words = Counter(_WORD.findall((text.as_py() or "").lower()))
                 own: Counter = Counter()
                 for w, n in words.items():
-                    if w[:4] in heads:
+                    if w[:4] in heads or w in _LISTS:
                         for f in features(w):
                             if (i := at.get(f)) is not None:
                                 own[i] += n
@@ -136,69 +162,81 @@ def _matrix(idx, cnt, width: int) -> np.ndarray:
 
 
 class LabelModel:
-    """Voters (feature and least count), how often each fires in either class, and their correlations."""
+    """Voters (feature and least count), how often each fires in either class, how often any does, and their correlations."""
 
-    def __init__(self, voters: np.ndarray, least: np.ndarray, prior: float, fires: np.ndarray):
-        self.voters, self.least, self.prior, self.fires = voters, least, prior, fires  # fires: class x voter
+    def __init__(self, voters: np.ndarray, least: np.ndarray, prior: float, fires: np.ndarray, speaks: np.ndarray):
+        self.voters, self.least, self.prior, self.fires, self.speaks = voters, least, prior, fires, speaks  # fires: class x voter
         self.correlation = np.zeros((len(voters), len(voters)))
 
     def votes(self, masks: np.ndarray) -> np.ndarray:
         return (masks[:, None] >> np.arange(len(self.voters)) & 1).astype(np.float64)
 
     def logit(self, votes: np.ndarray) -> np.ndarray:
-        p = np.clip(self.fires, 1e-4, 1 - 1e-4)
-        voice = 1 / (1 + np.clip(self.correlation, 0, 1).sum(axis=1))  # voters that repeat each other share it
-        yes, no = np.log(p[1] / p[0]) * voice, np.log((1 - p[1]) / (1 - p[0])) * voice
-        return np.log(self.prior / (1 - self.prior)) + votes @ (yes - no) + no.sum()
+        """Log odds of toxicity. A voter that fires speaks by its rates in the classes, and shares its voice with those it correlates with that fire too; a silent one abstains, and only that all are silent says something."""
+        p = np.clip(self.fires, 1e-5, 1 - 1e-5)
+        shared = 1 + votes @ np.clip(self.correlation, 0, 1)
+        silent = np.log(1 - np.clip(self.speaks, 1e-3, 1 - 1e-3))
+        return np.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), (votes / shared) @ np.log(p[1] / p[0]), silent[1] - silent[0])
 
 
 def fit_label_model(masks: DataFrame, model: LabelModel, anchor: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """Expectation maximisation over masks (mask, gold, n): votes of the learning documents, their gold label (1, 0 or null), and how many are alike.
 
-    anchor: rows of either class whose rates `model` begins with; they count throughout, so that the classes keep their meaning.
+    anchor: how many documents of either class the rates that `model` begins with count for, so that the classes keep their meaning.
     """
-    j, first_fires, first_prior = len(model.voters), model.fires, model.prior
+    j, first_fires, first_prior, first_speaks = len(model.voters), model.fires, model.prior, model.speaks
     for r in range(rounds):
 
         def sums(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            total = np.zeros(2 + 2 * j + 2 * j * j)
+            total = np.zeros(4 + 2 * j + 2 * j * j)
             for pdf in batches:
                 v, n = model.votes(pdf["mask"].to_numpy()), pdf["n"].to_numpy(float)
                 gold = pdf["gold"].map({1: 1.0, 0: -1.0}).fillna(0).to_numpy(float) * np.log(GOLD / (1 - GOLD))
                 p = 1 / (1 + np.exp(-np.clip(model.logit(v) + gold, -30, 30)))
                 parts = []
                 for w in (n * (1 - p), n * p):
-                    parts += [[w.sum()], w @ v, (v.T @ (v * w[:, None])).ravel()]
+                    parts += [[w.sum(), w @ v.any(axis=1)], w @ v, (v.T @ (v * w[:, None])).ravel()]
                 total += np.concatenate([parts[0], parts[3], parts[1], parts[4], parts[2], parts[5]])
             yield pd.DataFrame({"sums": [total.tolist()]})
 
         total = np.sum([x.sums for x in masks.mapInPandas(sums, "sums array<double>").collect()], axis=0)  # a row a partition
-        weight, first, second = total[:2], total[2 : 2 + 2 * j].reshape(2, j), total[2 + 2 * j :].reshape(2, j, j)
+        (weight, spoke), first, second = total[:4].reshape(2, 2).T, total[4 : 4 + 2 * j].reshape(2, j), total[4 + 2 * j :].reshape(2, j, j)
         fires = (first + anchor[:, None] * first_fires) / (weight + anchor)[:, None]
+        speaks = (spoke + anchor * first_speaks) / (weight + anchor)
         prior = float(np.clip((weight[1] + first_prior * anchor.sum()) / (weight.sum() + anchor.sum()), 0.005, 0.5))
-        new = LabelModel(model.voters, model.least, prior, fires)
-        if r == rounds - 1 and weight.sum():
-            share = weight / weight.sum()
-            for k in (0, 1):
+        new = LabelModel(model.voters, model.least, prior, fires, speaks)
+        if weight.sum():  # correlations within the classes; the next round's votes are weighed by them
+            for k, share in enumerate(weight / weight.sum()):
                 mean = first[k] / max(weight[k], 1e-9)
                 cov = second[k] / max(weight[k], 1e-9) - np.outer(mean, mean)
                 sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-                new.correlation += share[k] * cov / np.outer(sd, sd)
+                new.correlation += share * cov / np.outer(sd, sd)
             np.fill_diagonal(new.correlation, 0)
         model = new
     return model
 
 
-def _thresholds(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The voters: for each feature the least count that tells the classes best, of these the best."""
-    n_pos, n_neg = int(y.sum()), int((1 - y).sum())
-    best, least = np.full(x.shape[1], -np.inf), np.ones(x.shape[1], int)
-    for t in (1, 2, 3, 5, 8):
-        on = x >= t
-        g = _g2(on[y == 1].sum(axis=0), on[y == 0].sum(axis=0), n_pos, n_neg)
-        least[g > best], best = t, np.maximum(best, g)
-    order = np.argsort(-best, kind="stable")[:size]
-    return order, least[order]
+def choose_voters(x: np.ndarray, y: np.ndarray, fixed: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and least counts of the voters: the fixed ones at a count of 1, then one by one the pattern and count that say most of the toxic rows, each row counting half as much for every voter it has."""
+    steps = (1, 2, 3, 5, 8)
+    voters, least = list(fixed), [1] * len(fixed)
+    pos, neg = x[y == 1], x[y == 0]
+    if len(pos) and len(neg):
+        on = np.concatenate([pos >= t for t in steps], axis=1).astype(np.float32)
+        silent = np.concatenate([(neg >= t).sum(axis=0) for t in steps])
+        free = np.ones(on.shape[1], bool)
+        free[[f + k * x.shape[1] for f in fixed for k in range(len(steps))]] = False
+        weight = 0.5 ** (pos[:, fixed] >= 1).sum(axis=1).astype(np.float32)
+        while len(voters) < size and free.any():
+            gain = np.where(free, _g2(weight @ on, silent, len(pos), len(neg)), -np.inf)
+            best = int(gain.argmax())
+            if gain[best] < LEAST_G2 / 2:
+                break
+            voters.append(best % x.shape[1])
+            least.append(steps[best // x.shape[1]])
+            weight = np.where(on[:, best] > 0, weight / 2, weight)
+            free[best % x.shape[1] :: x.shape[1]] = False
+    return np.array(voters, int), np.array(least, int)
 
 
 def fit_linear(x: np.ndarray, p: np.ndarray, penalty: float = 0.3, steps: int = 300) -> np.ndarray:
@@ -222,41 +260,73 @@ def _largest(x: np.ndarray, steps: int = 20) -> float:
     return 1.05 * float(np.linalg.norm(v)) + 1e-9
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, size: int = FEATURES, n_voters: int = VOTERS) -> DataFrame:
-    """doc_id and score (0 to 1) for every row of docs."""
-    sample = written(labelled_sample(labels, sample_size), "toxicity-sample")
-    names = induce(docs, sample, size)
-    names += [w for w in LEXICON if w not in names]
-    table = written(counted(docs, names), "toxicity-counts")
-    both = table.join(F.broadcast(sample), table.doc_id == sample.l_id).select("toxic").distinct().count() == 2
-    if not both:
-        share = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
-        return table.select("doc_id", F.lit(float(share)).alias("score"))
-    # One row of each sampled document, however often it is there: bounded by the sample.
-    rows = table.join(F.broadcast(sample), table.doc_id == sample.l_id).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("idx", "cnt")).alias("f")).select("toxic", "f.*").toPandas()
-    x, y = _matrix(rows["idx"], rows["cnt"], len(names)), rows["toxic"].to_numpy(float)
-    voters, least = _thresholds(x, y, n_voters)
-    v = (x[:, voters] >= least).astype(float)
-    rates = np.stack([(v[y == k].sum(axis=0) + 0.5) / (max((y == k).sum(), 1) + 1) for k in (0, 1)])
-    model = LabelModel(voters, least, float(np.clip(y.mean(), 0.005, 0.5)), rates)
-
+def _masks(table: DataFrame, sample: DataFrame, voters: np.ndarray, least: np.ndarray) -> DataFrame:
+    """mask, gold and n: the votes of the learning documents of a table of counts, and how many are alike."""
     fired = F.lit(0).cast("long")
-    counts = F.map_from_arrays("idx", "cnt")
     for k, (f, t) in enumerate(zip(voters.tolist(), least.tolist())):
         fired = fired.bitwiseOR(F.when(F.col("c")[f] >= t, F.lit(1 << k)).otherwise(0).cast("long"))
     learning = table.filter(~held_out(F.col("doc_id"))).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left")
-    masks = learning.withColumn("c", counts).select(fired.alias("mask"), F.col("toxic").alias("gold")).groupBy("mask", "gold").agg(F.count("*").alias("n"))
-    model = fit_label_model(written(masks, "toxicity-votes"), model, 2.0 * np.array([(y == 0).sum(), (y == 1).sum()]) + 1)
-
-    # Half as many documents without a label join the labelled ones.
-    more = table.filter(~held_out(F.col("doc_id"))).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_size // 2).select("idx", "cnt").toPandas()
-    x = np.vstack([x, _matrix(more["idx"], more["cnt"], len(names))])
-    gold = np.append(np.where(y == 1, 1, -1), np.zeros(len(more)))
-    logit = model.logit((x[:, voters] >= least).astype(float)) + gold * np.log(GOLD / (1 - GOLD))
-    weights = fit_linear(np.log1p(x), 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-    w = F.array(*[F.lit(float(a)) for a in weights[:-1]])
-    z = F.aggregate(F.arrays_zip("idx", "cnt"), F.lit(float(weights[-1])), lambda acc, s: acc + F.get(F.col("w"), s["idx"]) * F.log1p(s["cnt"]))
-    return table.withColumn("w", w).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return learning.withColumn("c", F.map_from_arrays("idx", "cnt")).select(fired.alias("mask"), F.col("toxic").alias("gold")).groupBy("mask", "gold").agg(F.count("*").alias("n"))
+
+
+class _Fitted:
+    """A label model fitted on a table of counts, and its posterior for the documents of the samples."""
+
+    def __init__(self, table: DataFrame, pool: DataFrame, sample: DataFrame, names: list[str], n_voters: int):
+        # One row of each sampled document, however often it is there: bounded by the samples.
+        rows = table.join(F.broadcast(pool), F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.first("toxic").alias("toxic"), F.min(F.struct("idx", "cnt")).alias("f")).select("l_id", "toxic", "f.*").toPandas()
+        self.ids, self.gold = rows["l_id"].to_numpy(np.int64), rows["toxic"].map({1: 1.0, 0: -1.0}).fillna(0).to_numpy(float)
+        self.x = _matrix(rows["idx"], rows["cnt"], len(names))
+        known = self.gold != 0
+        y = (self.gold[known] > 0).astype(int)
+        n = np.array([(y == 0).sum(), (y == 1).sum()])
+        lists = [i for i, f in enumerate(names) if f.endswith("!")]
+        voters, least = choose_voters(self.x[known], y, lists, n_voters)
+        v = (self.x[known][:, voters] >= least).astype(float)
+        assumed = np.array(RATES)[:, None] * np.ones(len(voters))
+        rates = np.stack([(v[y == k].sum(axis=0) + assumed[k]) / (n[k] + 1) for k in (0, 1)])
+        speaks = np.array([(v[y == k].any(axis=1).sum() + 1 - (1 - RATES[k]) ** len(lists)) / (n[k] + 1) for k in (0, 1)])
+        prior = float(np.clip(y.mean(), 0.005, 0.5)) if n.all() else PRIOR
+        # Gold weighs a tenth here, beside its own votes below.
+        self.model = fit_label_model(written(_masks(table, sample, voters, least), "toxicity-votes"), LabelModel(voters, least, prior, rates, speaks), 0.1 * n + 10)
+        logit = self.model.logit(self.votes().astype(float)) + self.gold * np.log(GOLD / (1 - GOLD))
+        self.posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    def votes(self) -> np.ndarray:
+        return self.x[:, self.model.voters] >= self.model.least
+
+
+def score(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, size: int = FEATURES, n_voters: int = VOTERS) -> DataFrame:
+    """doc_id and score (0 to 1) for every row of docs."""
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = written(labelled_sample(labels, sample_size), "toxicity-sample")
+    others = unlabelled_sample(docs, sample, sample_size // 2).select("l_id", F.lit(None).cast("int").alias("toxic"))
+    pool = written(sample.unionByName(others), "toxicity-pool")
+    lists = [f"{lang}!" for lang in sorted(LEXICON)]
+
+    names = lists + induce(docs, sample, size)
+    own = docs.join(F.broadcast(pool), F.col("doc_id") == F.col("l_id")).select("doc_id", "text")
+    first = _Fitted(written(counted(own, names), "toxicity-pool-counts"), pool, sample, names, n_voters)
+    sure = (first.gold != 0) | (first.posterior >= SURE) | (first.posterior <= 1 - SURE)
+    guessed = [(int(i), int(g > 0 if g else p > 0.5)) for i, g, p in zip(first.ids[sure], first.gold[sure], first.posterior[sure])]
+    names = lists + induce(docs, spark.createDataFrame(guessed, "l_id long, toxic int"), size)
+
+    table = written(counted(docs, names), "toxicity-counts")
+    fitted = _Fitted(table, pool, sample, names, n_voters)
+    voters, least = fitted.model.voters, fitted.model.least
+    weights = fit_linear(np.hstack([np.log1p(fitted.x), fitted.votes().astype(np.float32)]), fitted.posterior)
+    by_count, by_vote, bias = weights[: len(names)], np.zeros(len(names)), weights[-1]
+    by_vote[voters] = weights[len(names) : -1]
+    from_count = np.ones(len(names), int)
+    from_count[voters] = least
+    numbers = lambda values, kind: F.array(*[F.lit(kind(a)) for a in values])
+
+    def add(total, s):
+        i = s["idx"]
+        return total + F.get(F.col("w"), i) * F.log1p(s["cnt"]) + F.when(s["cnt"] >= F.get(F.col("t"), i), F.get(F.col("v"), i)).otherwise(0.0)
+
+    z = F.aggregate(F.arrays_zip("idx", "cnt"), F.lit(float(bias)), add)
+    return table.withColumns({"w": numbers(by_count, float), "v": numbers(by_vote, float), "t": numbers(from_count, int)}).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -243,7 +243,10 @@ def test_toxicity(spark, make):
     predicted = out >= toxicity.THRESHOLD
     toxic = predicted.index.to_series().map(lambda i: i < 900 and i % 9 == 0)
     assert (predicted & ~toxic).sum() == 0 and (predicted & toxic).sum() >= 0.9 * toxic.sum()
-    assert (toxicity.score(make(rows[:3]), frame.limit(0)).toPandas()["score"] == 0).all()
+    # Without labels the lexicons vote.
+    alone = toxicity.score(make(rows), frame.limit(0)).toPandas().set_index("doc_id")["score"]
+    insulted = [i for i, t in rows if "idiot" in t.split()]
+    assert alone[insulted].min() > alone.drop(insulted).max()
     assert toxicity.score(make(rows).limit(0), frame).count() == 0
 
 
@@ -283,20 +286,23 @@ def test_decontamination_by_force(spark, make, edge_rows):
                 best = max(jaccard(w[s : s + n], it.split()) for s in range(max(1, len(w) - n + 1)))
                 if best >= 0.8:
                     want[i, j] = round(best, 9)
-    assert got == want and len(want) > 20
+    # The fingerprints' radius may lose a borderline window, and never adds one.
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want) > 20
     docs = make(rows + edge_rows)
-    assert decontam.decontaminate(docs, benchmark).count() == docs.count() - len({i for i, _ in want})
+    assert decontam.decontaminate(docs, benchmark).count() == docs.count() - len({i for i, _ in got})
+    assert {(r.item_id, r.n_words) for r in decontam.too_short(benchmark).collect()} == {(6, 4), (50, 0), (51, 0)}
     assert decontam.contaminated(docs.limit(0), benchmark).count() == 0 and decontam.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
 def test_near_blocks_guarantee_the_radius():
     rng = random.Random(4)
-    near = set(decontam._near(8, decontam.RADIUS // decontam.BLOCKS))
+    width = 64 // decontam.BLOCKS
+    near = set(decontam._near(width, decontam.RADIUS // decontam.BLOCKS))
     for _ in range(3000):
         mask = 0
         for b in rng.sample(range(64), rng.randint(0, decontam.RADIUS)):
             mask |= 1 << b
-        assert any((mask >> (8 * k)) & 255 in near for k in range(8))
+        assert any((mask >> (width * k)) & ((1 << width) - 1) in near for k in range(decontam.BLOCKS))
 
 
 # The pipeline.

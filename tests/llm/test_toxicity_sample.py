@@ -7,11 +7,11 @@ def test_equal_counts_are_rows_of_their_own(spark, make, monkeypatch):
     rows = [(i, "vile words here" if i % 10 == 0 else f"plain text w{i % 7}") for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
     seen = []
-    thresholds = toxicity._thresholds
-    monkeypatch.setattr(toxicity, "_thresholds", lambda x, y, size: seen.append((len(y), int(y.sum()))) or thresholds(x, y, size))
+    choose = toxicity.choose_voters
+    monkeypatch.setattr(toxicity, "choose_voters", lambda x, y, fixed, size: seen.append((len(y), int(y.sum()))) or choose(x, y, fixed, size))
     toxicity.score(make(rows + rows[:50]), labels).count()
     sample = toxicity.labelled_sample(labels)
-    assert seen == [(sample.count(), sample.filter(F.col("toxic") == 1).count())]
+    assert seen == 2 * [(sample.count(), sample.filter(F.col("toxic") == 1).count())]
 
 
 def test_unrelated_words_of_equal_counts_all_stay(spark, make):
