@@ -197,7 +197,7 @@ def test_base_spans_by_force():
 
 def test_bootstrapping(make, edge_rows):
     rows = [(100 + i, f"please call me at +1 (555) 555-{1000 + i} today") for i in range(20)]
-    rows += [(200 + i, f"please call me at 555-{2000 + i} today") for i in range(3)] + [(300 + i, f"version {i}.2.{i}x1 shipped") for i in range(9)]
+    rows += [(200 + i, f"please call me at 555-{2000 + i}, today") for i in range(3)] + [(300 + i, f"version {i}.2.{i}x1 shipped") for i in range(9)]
     out = pii.find_personal_data(make(rows + edge_rows)).collect()
     found = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in out}
     assert len(out) == len(rows + edge_rows)
