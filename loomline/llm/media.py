@@ -10,7 +10,8 @@ of 64, as frames of 8 by 8 samples of 8 bits, uncompressed.
 Everything works row by row inside Arrow batches: no shuffle, nothing gathered.
 
 Defined results: null and empty media have no tracks and the error "no bytes";
-malformed boxes or tables give what was read until then and say why in `error`;
+malformed boxes or tables give what was read until then and say why in `error`,
+and no table makes more samples than its file has bytes;
 null text is stored like empty text (one frame of zeros); repeated rows repeat;
 an empty table gives an empty result.
 """
@@ -154,11 +155,11 @@ class Track:
 
 
 def _fragment(track: Track, data: memoryview, moof: int, base: dict, kind: bytes, a: int, b: int) -> None:
-    """Movie fragments: defaults from tfhd, samples from trun."""
+    """Movie fragments: samples from trun, defaults from tfhd, and what tfhd leaves out from trex (in base already)."""
     flags = _u32(data, a, b) & 0xFFFFFF
     at = a + (8 if kind == b"tfhd" else 4)
     if kind == b"tfhd":
-        base |= {"at": moof, "size": 0, "duration": 0, "flags": 0}
+        base.setdefault("at", moof)
         for bit, name, width in ((1, "at", 8), (2, "", 4), (8, "duration", 4), (16, "size", 4), (32, "flags", 4)):
             if flags & bit:
                 value = _u32(data, at, b) << 32 | _u32(data, at + 4, b) if width == 8 else _u32(data, at, b)
@@ -178,12 +179,15 @@ def _fragment(track: Track, data: memoryview, moof: int, base: dict, kind: bytes
     fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
     table = _array(data, at, b, ">u4", n, len(fields)).reshape(n, len(fields)) if fields else np.empty((n, 0), np.int64)
     column = {f: table[:, i] for i, f in enumerate(fields)}
-    sizes = column.get(0x200, np.full(n, base.get("size", 0), np.int64))
-    marks = column.get(0x400, np.full(n, base.get("flags", 0), np.int64)).copy()
+    each = base.get("size", 0)
+    if 0x200 not in column and n and (not each or each * n > len(data)):
+        raise Malformed(f"{n} samples of {each} bytes in a file of {len(data)}")
+    sizes = column[0x200] if 0x200 in column else np.full(n, each, np.int64)
+    marks = column[0x400].copy() if 0x400 in column else np.full(n, base.get("flags", 0), np.int64)
     if first_flags is not None and n:
         marks[0] = first_flags
     ends = np.cumsum(sizes)
-    track.moved.append((start + ends - sizes, sizes, (marks & 0x10000) == 0, int(column.get(0x100, np.full(n, base.get("duration", 0), np.int64)).sum())))
+    track.moved.append((start + ends - sizes, sizes, (marks & 0x10000) == 0, int(column[0x100].sum()) if 0x100 in column else n * base.get("duration", 0)))
     base["next"] = start + int(ends[-1]) if n else start
 
 
@@ -193,6 +197,7 @@ def read_tracks(media: bytes | None) -> tuple[list[Track], str | None]:
         return [], "no bytes"
     data, tracks, error = memoryview(media), {}, None
     ids: dict[int, Track] = {}
+    defaults: dict[int, dict] = {}
     moved: dict[int, tuple[Track, dict]] = {}
     try:
         for path, a, b in walk(data, 0, len(data)):
@@ -202,9 +207,12 @@ def read_tracks(media: bytes | None) -> tuple[list[Track], str | None]:
                 track.read(kind, data, a, b)
                 if kind == b"tkhd":
                     ids[track.id] = track
+            elif kind == b"trex":
+                defaults[_u32(data, a + 4, b)] = dict(zip(("duration", "size", "flags"), (_u32(data, a + at, b) for at in (12, 16, 20))))
             elif kind in (b"tfhd", b"trun") and (traf := next((p for p in path if p[0] == b"traf"), None)):
                 if kind == b"tfhd":
-                    moved[traf[1]] = ids.setdefault(_u32(data, a + 4, b), Track()), {}
+                    of = _u32(data, a + 4, b)
+                    moved[traf[1]] = ids.setdefault(of, Track()), dict(defaults.get(of, {}))
                 if traf[1] in moved:
                     moof = next((p[1] - 8 for p in path if p[0] == b"moof"), 0)
                     _fragment(moved[traf[1]][0], data, moof, moved[traf[1]][1], kind, a, b)
@@ -313,9 +321,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
-def feature(media: bytes) -> str:
-    """codec, time scale, duration, frames, key frames and a digest of their byte ranges."""
-    tracks, error = probed(media)
+def feature(tracks: list[dict], error: str | None) -> str:
+    """codec, time scale, duration, frames, key frames and a digest of their byte ranges, of what `probed` returns."""
     if error:
         return f"error={error}"
     t = tracks[0]
@@ -323,23 +330,26 @@ def feature(media: bytes) -> str:
     return f"codec={t['codec'].strip()};size={t['width']}x{t['height']};timescale={t['timescale']};duration={t['duration']};samples={t['n_samples']};keyframes={len(t['keyframes'])};ranges={hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
 
 
-_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:long,size:long>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranges]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes"]
     for batch in batches:
         rows = []
         for m in batch.column(2):
             media = m.as_py()
-            payload = samples_of(media)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature(media)))
-        columns = zip(*rows) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            payload, (tracks, error) = samples_of(media), probed(media)
+            t = tracks[0]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature(tracks, error), t["codec"].strip(), t["duration_s"], t["keyframes"]))
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=["doc_id", "n_bytes", *names])
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests of what stored media hold, read through their sample tables, with `feature`."""
+    """Digests of what stored media hold, read through their sample tables, with `feature`, codec, duration and the byte ranges of the key frames."""
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, _DIGESTS)
 
 

@@ -52,12 +52,30 @@ def test_sizes_chunks_and_fragments():
     assert t["keyframes"][1:] == [{"offset": len(moov) + 80, "size": 10}, {"offset": len(moov) + 90, "size": 20}]
 
 
+def test_fragment_defaults_and_counts_beyond_the_file():
+    import tracemalloc
+
+    full = lambda kind, *parts: box(kind, bytes(4), *parts)
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 9, 0, 25), bytes(60)), box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 100, 0))))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">IIIII", 9, 1, 4, 6, 0x10000))))
+    tfhd = box(b"tfhd", struct.pack(">II", 0x020000, 9))
+    fragment = box(b"moof", box(b"traf", tfhd, box(b"trun", struct.pack(">IIiI", 0x5, 3, 100, 0)))) + bytes(40)
+    (t,), error = M.probed(moov + fragment)  # first sample a key frame, sizes and durations of trex
+    assert error is None and t["n_samples"] == 3 and t["duration"] == 12 and t["keyframes"] == [{"offset": len(moov) + 100, "size": 6}]
+    for trex in (moov, box(b"moov", trak)):
+        tracemalloc.start()
+        _, error = M.probed(trex + box(b"moof", box(b"traf", tfhd, box(b"trun", struct.pack(">II", 0, 30_000_000)))))
+        assert "30000000 samples" in error and tracemalloc.get_traced_memory()[1] < 1e6
+        tracemalloc.stop()
+
+
 def test_probe_and_query(spark, make, edge_rows):
     docs = make(edge_rows)
     out = M.store_and_read(docs).collect()
     assert len(out) == len(edge_rows)
     want = {(i, hashlib.sha256(M.payload_of(t)[0]).hexdigest(), zlib.crc32(M.payload_of(t)[0][-64:])) for i, t in edge_rows}
     assert {(r.doc_id, r.payload_sha256, r.tail_crc32) for r in out} == want
+    assert all(r.codec == "raw" and r.duration_s == r.payload_bytes / 64 / 25 and len(r.keyframes) == -(-r.payload_bytes // 1024) and {k.size for k in r.keyframes} == {64} for r in out)
     assert sorted(M.read_back(M.store_texts(docs)).collect(), key=str) == sorted(out, key=str)
     rows = M.probe(M.store_texts(docs)).select("error", "tracks").collect()
     assert all(r.error is None and r.tracks[0].codec == "raw " for r in rows)
