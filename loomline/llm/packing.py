@@ -1,7 +1,8 @@
 """Packing: documents into sequences of a fixed number of tokens, by best-fit decreasing.
 
 Documents longer than a window are first cut into full windows. Pieces, which
-carry lengths and a checksum but no ids, are dealt by hash into shards of about
+carry lengths and a checksum but no ids, are numbered where they are written and
+dealt by the hash of that number (so that equal rows part) into shards of about
 shard_pieces, and each shard is packed by itself: longest first, each piece into
 the open sequence with the least room that still takes it. A segment tree over
 the amounts of room from 0 to the window finds that sequence in log2(window)
@@ -9,8 +10,8 @@ steps. The number of shards follows the number of pieces, so a shard never
 outgrows a task, and the waste of one not full sequence a shard is negligible.
 
 Defined results: null or empty text is the end id alone; every row of documents
-is packed, also those that repeat a doc_id; null doc_ids are dealt by the rest of
-their row; an empty table gives an empty result.
+is packed, also those that repeat a doc_id or have none; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer_name: str = "word_bpe_49k.json", window: int
         shard = int(pdf["shard"].iloc[0])
         return pdf.assign(sequence_id=[(shard << 32) + s for s in sequences], offset=offsets)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(packed, _PIECES + ", sequence_id long, offset long")
 
 
