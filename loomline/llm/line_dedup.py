@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, texts, written
+from .common import checkpointed, row_key, texts, unused, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Stripped at both ends of a line.
@@ -173,18 +173,20 @@ def _kept(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the lines that stay in `text`, and columns ll_n_lines and ll_n_dropped.
+    """docs with the lines that stay in `text`, and columns ll_n_lines and ll_n_dropped (columns of these names are replaced).
 
     Spark broadcasts the bitmaps if their table is small by its own threshold, and joins by shuffle otherwise.
     """
-    b = written(bitmaps, "keep-bitmaps").select(F.col("doc_id").alias("ll_id"), F.col("row_key").alias("ll_key"), F.col("n_dropped").alias("ll_n_dropped"), F.col("keep").alias("ll_keep"))
+    docs = docs.drop("ll_n_lines", "ll_n_dropped")
+    row, b_id, b_row, gone, keep = unused(docs, "row", "b_id", "b_row", "gone", "keep")
+    b = written(bitmaps, "keep-bitmaps").select(F.col("doc_id").alias(b_id), F.col("row_key").alias(b_row), F.col("n_dropped").alias(gone), F.col("keep").alias(keep))
     old = F.coalesce(F.col("text"), F.lit(""))
-    joined = texts(docs).withColumn("ll_row", row_key()).join(b, F.col("doc_id").eqNullSafe(F.col("ll_id")) & (F.col("ll_row") == F.col("ll_key")), "left")
+    joined = texts(docs).withColumn(row, row_key()).join(b, F.col("doc_id").eqNullSafe(F.col(b_id)) & (F.col(row) == F.col(b_row)), "left")
     out = joined.select(
         *[c for c in docs.columns if c != "text"],
-        F.coalesce(F.pandas_udf(_kept, "string")(F.when(F.col("ll_keep").isNotNull(), F.col("text")), F.col("ll_keep")), F.col("text")).alias("text"),
+        F.coalesce(F.pandas_udf(_kept, "string")(F.when(F.col(keep).isNotNull(), F.col("text")), F.col(keep)), F.col("text")).alias("text"),
         (F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("ll_n_lines"),
-        F.coalesce("ll_n_dropped", F.lit(0)).cast("long").alias("ll_n_dropped"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("ll_n_dropped"),
     )
     return out.select(*docs.columns, "ll_n_lines", "ll_n_dropped")
 

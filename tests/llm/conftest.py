@@ -11,7 +11,7 @@ def make(spark):
     def run(rows):
         full = [(r[0], r[1], r[2] if len(r) > 2 else None, "s", len(r[1] or "")) for r in rows]
         df = spark.createDataFrame(full, SCHEMA)
-        return df.withColumns({c: F.lit("clash") for c in ("row_key", "fp", "score", "at", "h1", "pos", "base", "start")})
+        return df.withColumns({c: F.lit("clash") for c in ("row_key", "fp", "score", "at", "h1", "pos", "base", "start", "row", "_row", "nd_row", "dc_row", "ll_row", "ll_key", "lost_id", "lost_row", "hit_id", "b_row", "keep", "key", "prefix", "sig", "kept_id", "found", "value", "token", "feature", "toxic", "l_id")})
 
     return run
 

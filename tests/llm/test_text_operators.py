@@ -44,6 +44,8 @@ def test_line_dedup(spark, make, edge_rows):
         assert got == lines_by_force(rows)
         assert out.columns == [*docs.columns, "ll_n_lines", "ll_n_dropped"]
     spark.conf.set("spark.sql.shuffle.partitions", 4)
+    twice = line_dedup.dedup_lines(line_dedup.dedup_lines(make(rows)))
+    assert twice.columns == out.columns and twice.agg(F.sum("ll_n_dropped")).first()[0] == 0
     assert line_dedup.dedup_lines(make([(1, "x")]).limit(0)).count() == 0
 
 
@@ -178,6 +180,56 @@ def test_out_of_place_by_force():
     assert sorted(n.tolist()) == sorted(counts.values())
 
 
+def test_distances_and_predictions_by_force(spark, make):
+    """Counts, ranks, out-of-place distances and the nearest language, from strings and dictionaries."""
+    rng = random.Random(12)
+    syllables = {"aa": ["la", "mi", "no", "te"], "bb": ["sch", "ung", "ein", "er"], "cc": ["que", "la", "mi", "ción"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30))) + ". 12", lang) for i in range(60) for lang in [rng.choice(sorted(syllables))]]
+
+    def code(g):
+        n = [0 if c == " " else ord(c) for c in g]
+        return n[0] if len(g) == 1 else 1 << 42 | n[0] << 21 | n[1] if len(g) == 2 else (n[0] << 42 | n[1] << 21 | n[2]) - 2**63
+
+    def counts(texts):
+        out = defaultdict(int)
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                for n in (1, 2, 3):
+                    for i in range(len(w) + 3 - n):
+                        g = f" {w} "[i : i + n]
+                        if g != " " and " " not in g[1:-1]:
+                            out[g] += 1
+        return out
+
+    def ranked(c, size):
+        return sorted(c, key=lambda g: (-c[g], code(g)))[:size]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    for size in (300, 12):
+        known = {lang: {g: r for r, g in enumerate(ranked(counts(t for i, t, x in rows if x == lang and not held(i)), size))} for lang in syllables}
+        want = {}
+        for i, t, _ in rows:
+            own = ranked(counts([t]), size)
+            far = {lang: sum(abs(k[g] - r) if g in k else size for r, g in enumerate(own)) for lang, k in known.items()}
+            best = min(sorted(far), key=far.get)
+            want[i] = (best, round(1 - far[best] / (size * len(own)), 9))
+        got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(make(rows), size).collect()}
+        assert got == want
+
+
+def test_fingerprints_by_force():
+    import xxhash
+
+    rng = random.Random(9)
+    for n in (0, 1, 2, 3, 4, 50):
+        w = [rng.choice(["Ab", "é", "x", "THE", "of"]) for _ in range(n)]
+        low = ["".join(c.lower() if c.isascii() else c for c in x) for x in w]
+        grams = [" ".join(low[i : i + 3]) for i in range(max(1, n - 2))] if n else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash.fingerprint("\t".join(w)) == want
+
+
 # Personal data and secrets.
 
 
@@ -323,12 +375,27 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             docs = out
     kept = [{r.doc_id for r in f.collect()} for f in frames]
+    profiles = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert {r.doc_id: r.lang for r in frames[0].collect()} == {i: lang for i, (lang, score) in profiles.items() if lang != "und" and score >= P.LEAST_SCORE}
     assert kept[0] == {i for i, t in start.items() if any(map(str.isalpha, t))} and kept[1] == kept[0]
     assert {r.doc_id: r.text for r in frames[1].collect()} == dict(lines_by_force([(i, start[i]) for i in kept[0]]))
     ids = sorted(kept[1])
     text = {r.doc_id: r.text for r in frames[1].collect()}
-    groups = groups_by_force(np.array([simhash.fingerprint(text[i]) for i in ids], np.uint64), simhash.RADIUS)
-    assert kept[2] == {ids[g] for g in groups}
+    # Near copies by exact Jaccard similarity of all pairs of texts with a common shingle.
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := text[i].lower().split()) else set() for i in ids}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in ids:
+        for j in ids:
+            if j < i and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert kept[2] == {find(i) for i in ids}
     assert kept[3] < kept[2] and kept[4] == kept[3]
     assert sorted(map(str, P.run(spark, DATA).collect())) == sorted(map(str, frames[4].collect()))
 
