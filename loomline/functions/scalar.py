@@ -10,8 +10,9 @@ NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def strip(text: Column) -> Column:
-    """Without white space, as Unicode has it, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space, as Unicode has it, and the separators U+001C to U+001F, at both ends; time grows with the text whatever blanks are inside."""
+    space = r"[\s\x1c-\x1f]"
+    return F.regexp_replace(text, rf"(?U)^{space}++|(?<!{space}){space}++$", "")
 
 
 def split_literal(text: Column, separator: str) -> Column:
@@ -103,6 +104,11 @@ def backoff_seconds(attempt: Column) -> Column:
     return F.least(F.pow(F.lit(2), attempt), F.lit(5)).cast("int")
 
 
+def expires_at(issued: Column, kind: Column) -> Column:
+    """When a token ends: access tokens after 5 minutes, refresh tokens after 7 days; null for other kinds."""
+    return F.when(kind == "access", issued + F.expr("interval 5 minutes")).when(kind == "refresh", issued + F.expr("interval 7 days"))
+
+
 def ttl_seconds(expires: Column, now: Column) -> Column:
     """Whole seconds that remain, one at least."""
     return F.greatest((expires - now).cast("long"), F.lit(1).cast("long"))

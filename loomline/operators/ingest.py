@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import strip, vector_id
+from ..functions.scalar import vector_id
 from .chunking import CHUNK_SIZE, chunks
 from .vector import embed, hashing_embedder
 
@@ -22,7 +22,7 @@ def processed(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """docs (doc_id, text, error) with chunks, status, error_message and chunk_count."""
     text = F.when(F.col("error").isNull(), F.col("text"))
     out = docs.withColumn("chunks", chunks(text, size))
-    blank = F.coalesce(strip(F.col("text")) == "", F.lit(True))
+    blank = F.coalesce(~F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
     message = F.when(F.col("error").isNotNull(), F.col("error")).when(blank, F.lit("document is empty")).when(F.size("chunks") == 0, F.lit("no chunks"))
     out = out.withColumn("error_message", message).withColumn("status", F.when(message.isNull(), COMPLETED).otherwise(FAILED))
     return out.withColumn("chunk_count", F.when(F.col("status") == COMPLETED, F.size("chunks")).otherwise(0))
@@ -32,3 +32,22 @@ def vectors(processed_docs: DataFrame, embedder=None, dim: int = 64) -> DataFram
     """doc_id, chunk_index, content, vector_id and embedding of the chunks of completed documents."""
     rows = processed_docs.filter(F.col("status") == COMPLETED).select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
     return embed(rows.withColumn("vector_id", vector_id(F.col("doc_id"), F.col("chunk_index"))), "content", embedder or hashing_embedder(dim), dim)
+
+
+def verified(processed_docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """processed_docs, those failed whose stored vectors (doc_id) aren't as many as their chunks."""
+    n = stored.groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_n"))
+    out = processed_docs.join(n, F.col("doc_id") == F.col("_doc"), "left")
+    short = (F.col("status") == COMPLETED) & (F.coalesce("_n", F.lit(0)) != F.col("chunk_count"))
+    message = F.concat(F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" vectors for "), F.col("chunk_count").cast("string"), F.lit(" chunks"))
+    changed = {"error_message": F.when(short, message).otherwise(F.col("error_message")), "status": F.when(short, FAILED).otherwise(F.col("status")), "chunk_count": F.when(short, 0).otherwise(F.col("chunk_count"))}
+    return out.withColumns(changed).drop("_doc", "_n")
+
+
+def states(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """doc_id, step (from 1), status and error_message: every state that a document goes through, in order."""
+    done = processed(docs, size).select("doc_id", "status", "error_message")
+    step = lambda s, message: F.struct(s.alias("status"), message.alias("error_message"))
+    none = F.lit(None).cast("string")
+    path = F.array(step(F.lit(PENDING), none), step(F.lit(PROCESSING), none), step(F.col("status"), F.col("error_message")))
+    return done.select("doc_id", F.posexplode(path).alias("i", "s")).select("doc_id", (F.col("i") + 1).alias("step"), "s.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,12 +27,13 @@ class TenantScope:
         """Equality filters of which empty text and 0 also mean no filter."""
         return self.where(**{k: v or None for k, v in equal.items()})
 
-    def page(self, page: int, size: int, *order: Column | str, most: int = 200) -> DataFrame:
-        """A page of rows with `total`, the number of rows on all pages. `order` ends in a unique column."""
+    def page(self, page: int, size: int, *order: Column | str, most: int = 200, keep_total: bool = False) -> DataFrame:
+        """A page of rows with `total`, the number of rows on all pages. `order` ends in a unique column. keep_total: a page past the end is one row of nulls with the total, and not empty."""
         if page < 1 or not 1 <= size <= most:
             raise ValueError(f"page from 1 and size from 1 to {most}")
         rows = self.df.orderBy(*order).offset((page - 1) * size).limit(size)
-        return rows.crossJoin(F.broadcast(self.df.agg(F.count("*").alias("total"))))  # one row
+        total = self.df.agg(F.count("*").alias("total"))  # one row
+        return total.join(rows, F.lit(True), "left" if keep_total else "inner").select(*self.df.columns, "total")
 
     def get(self, key: str, value) -> DataFrame:
         return self.df.filter(F.col(key) == value).limit(1)
@@ -49,10 +50,10 @@ def patched(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of either, those of new where both have a key."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_new")))
-    return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_new")
+    """Rows of either, those of new where both have a key. Rows without a key are all kept; of new ones with the same key any one is."""
+    keyed = new.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    kept = old.join(keyed.select(key), key, "left_anti").select(*old.columns)
+    return kept.unionByName(keyed).unionByName(new.filter(F.col(key).isNull()))
 
 
 def appended_once(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Exact nearest neighbours by cosine similarity, and retrieval with context.
 
-Queries and vectors are dealt into blocks; each pair of blocks is one small matrix
-product in numpy, of which only a query's best k leave. What is shuffled are the
-blocks, once per block of the other side, and k rows a query and block; nothing
-is broadcast, and no pair of rows ever becomes a row.
+Up to QUERIES queries are one block that goes to all tasks: each reads its part of
+the vectors once, multiplies them batch by batch in numpy and lets k rows a query
+leave, so no vector is shuffled. More queries and the vectors are dealt into
+blocks; each pair of blocks is one small matrix product. What is shuffled are then
+the blocks, once per block of the other side, and k rows a query and block. No
+pair of rows ever becomes a row. Vectors are compared to queries of their own size
+only; `of_other_size` reports the rest.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Queries that are sent to all tasks as they are (their number is counted first), and numbers that they may hold (32 MB).
+QUERIES, NUMBERS = 2048, 4_000_000
 
 
 def _blocks(df: DataFrame, key: str, vector: str, size: int) -> tuple[DataFrame, int]:
@@ -28,6 +33,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
 
     Scores are rounded before they are compared. Vectors without length match nothing.
     """
+    few = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    size = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
+    if size["n"] <= QUERIES and size["numbers"] <= NUMBERS:
+        part = _of_few(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), few.toPandas(), k, threshold, exclude_self, digits)
+        return _best(part, k)
     v, n_v = _blocks(vectors, key, vector, block)
     q, n_q = _blocks(queries, key, vector, block)
     # A block goes to each block of the other side; a task holds one of each.
@@ -35,17 +45,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     q = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))).select(F.col("other").cast("long").alias("vb"), F.col("block").alias("qb"), "id", "v", F.lit(True).alias("is_query"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        def unit(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            part = part[part["v"].map(lambda x: x is not None and len(x) > 0)]
-            if not len(part):
-                return np.empty(0, np.int64), np.empty((0, 0))
-            m = np.stack([np.asarray(x, np.float64) for x in part["v"]])
-            length = np.sqrt((m * m).sum(axis=1))
-            return part["id"].to_numpy()[length > 0], m[length > 0] / length[length > 0, None]
-
         on = pdf["is_query"].to_numpy(bool)
-        (ids, m), (q_ids, q_m) = unit(pdf[~on].sort_values("id")), unit(pdf[on].sort_values("id"))
-        rows: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        return _nearest(_units(pdf[~on]), _units(pdf[on]), k, threshold, exclude_self, digits)
+
+    return _best(v.unionByName(q).groupBy("vb", "qb").applyInPandas(best, _HIT), k)
+
+
+_HIT = "query_id long, vec_id long, score double"
+
+
+def _units(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of dimensions: ids in order and their vectors (columns id, v) at length 1."""
+    rows = rows[rows["v"].map(lambda x: x is not None and len(x) > 0)].sort_values("id")
+    out = {}
+    for n, part in rows.groupby(rows["v"].map(len)) if len(rows) else ():
+        m = np.stack([np.asarray(x, np.float64) for x in part["v"]])
+        length = np.sqrt((m * m).sum(axis=1))
+        if (length > 0).any():
+            out[n] = part["id"].to_numpy()[length > 0], m[length > 0] / length[length > 0, None]
+    return out
+
+
+def _nearest(vectors: dict, queries: dict, k: int, threshold: float, exclude_self: bool, digits: int) -> pd.DataFrame:
+    """The k best vectors (as `_units`) of each query."""
+    rows: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    for n, (q_ids, q_m) in queries.items():
+        ids, m = vectors.get(n, (np.empty(0, np.int64), None))
         for i in range(0, len(q_ids), 256) if len(ids) else ():
             scores = np.round(q_m[i : i + 256] @ m.T, digits)
             for qid, s in zip(q_ids[i : i + 256], scores, strict=True):
@@ -54,13 +79,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
                 rows["query_id"] += [qid] * len(fit)
                 rows["vec_id"] += ids[fit].tolist()
                 rows["score"] += s[fit].tolist()
-        return pd.DataFrame(rows).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    return pd.DataFrame(rows).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    part = v.unionByName(q).groupBy("vb", "qb").applyInPandas(best, "query_id long, vec_id long, score double")
+
+def _of_few(vectors: DataFrame, queries: pd.DataFrame, k: int, threshold: float, exclude_self: bool, digits: int) -> DataFrame:
+    """The k best of each query in each partition of vectors (id, v)."""
+    units = _units(queries)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in batches:
+            new = _nearest(_units(pdf), units, k, threshold, exclude_self, digits)
+            best = new if best is None else pd.concat([best, new])
+            if len(best) > 4 * k * max(1, len(queries)):
+                best = best.sort_values(["score", "vec_id"], ascending=[False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best.sort_values(["score", "vec_id"], ascending=[False, True]).groupby("query_id").head(k)
+
+    return vectors.mapInPandas(run, _HIT)
+
+
+def _best(part: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def of_other_size(vectors: DataFrame, dim: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key and size of the vectors that a collection of `dim` dimensions can't take (null ones have size -1)."""
+    size = F.coalesce(F.size(vector), F.lit(-1))
+    return vectors.select(key, size.alias("size")).filter(F.col("size") != dim)
+
+
 def with_context(hits: DataFrame, chunks: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
     """Hits with their chunk (a hit without one is dropped after the top k, so fewer may stay) and their document's name (null without one).
 
@@ -81,7 +130,7 @@ def embed(df: DataFrame, text: str, embedder, dim: int) -> DataFrame:
 
 
 def hashing_embedder(dim: int = 64):
-    """A deterministic embedder without network: signed counts of hashed words, normalised."""
+    """A deterministic embedder without network: signed counts of hashed words, normalised. A word's number is that of the first 32 bits of its MD5."""
 
     def run(texts: list[str]) -> list[list[float]]:
         import hashlib
@@ -89,8 +138,8 @@ def hashing_embedder(dim: int = 64):
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                out[i, h % dim] += 1 if h >> 31 else -1
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
     return run

@@ -3,34 +3,47 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder; in local mode one of our own, if none is named."""
+    sc = spark.sparkContext
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the cluster's shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and level of nodes (id): 0 without an edge (src, dst) into it, else one over the highest of its sources. Nodes on a cycle or behind one are left out, and edges from or to unknown nodes don't count."""
     e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
-    left, out, level = _cut(e), None, 0
+    left, level, spark = _cut(e), 0, nodes.sparkSession
     rest = _cut(nodes.distinct())
+    # Levels are appended to one table: the plan of the result stays as small for a long chain as for a short one.
+    path = f"{_shared(spark).rstrip('/')}/loomline/levels-{uuid.uuid4().hex}"
+    schema = rest.withColumn("level", F.lit(0).cast("long")).schema
     while True:
-        ready = _cut(rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if ready.isEmpty():
-            return out if out is not None else nodes.limit(0).withColumn("level", F.lit(0).cast("long"))
-        found = ready.withColumn("level", F.lit(level).cast("long"))
-        out = found if out is None else out.unionByName(found)
-        left = _cut(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-        rest = _cut(rest.join(ready, "id", "left_anti"))
+        ready = rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("long"))
+        ready.write.mode("append").parquet(path)
+        done = spark.read.schema(schema).parquet(path)
+        found = done.filter(F.col("level") == level)
+        if found.isEmpty():
+            return done
+        left = _cut(left.join(found.select(F.col("id").alias("src")), "src", "left_anti"))
+        rest = _cut(rest.join(found.select("id"), "id", "left_anti"))
         level += 1
 
 
@@ -40,7 +53,8 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     has = nodes.join(known, "parent", "left_semi").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
     top = nodes.join(known, "parent", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
     done, open_ = _cut(top), _cut(has)
-    for _ in range(64):
+    # After r rounds a pointer spans 2 ** r steps; one that is open when that exceeds the number of nodes goes round a cycle.
+    for _ in range(nodes.count().bit_length() + 1):
         if open_.isEmpty():
             break
         far = done.select(F.col("id").alias("up"), "root", F.col("depth").alias("more"))

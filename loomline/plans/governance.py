@@ -14,7 +14,7 @@ from .relational import _MODELS, _USERS, models, users
 #: Fixed values of the stand-in: what each role (market segment) may do.
 GRANTS = (("BUILDING", "prompt", "read"), ("BUILDING", "prompt", "write"), ("MACHINERY", "prompt", "read"), ("HOUSEHOLD", "model", "read"), ("AUTOMOBILE", "model", "write"), ("AUTOMOBILE", "prompt", "read"))
 _GRANTS = "(values " + ", ".join(f"('{r}', '{a}', '{b}')" for r, a, b in GRANTS) + ") g(role, resource, action)"
-WRITES = ("purchase", "signup")
+WRITES = ("purchase", "signup", "error")
 SKIPPED = ("/auth/login", "/error")
 
 
@@ -47,14 +47,14 @@ def permission_checks(spark, sf):
     return held.select("role", S.has_any(F.col("held"), ["model"]).alias("any_model"), S.has_any(F.col("held"), []).alias("any_of_none"), S.has_all(F.col("held"), ["prompt", "model"]).alias("all_both"), S.has_all(F.col("held"), []).alias("all_of_none"), F.size("held").cast("long").alias("n"))
 
 
-@query(f"select r.code, g.resource, g.action from (select 'tenant_' || (case when n_nationkey % 2 = 0 then 'admin_' else 'memberX' end) || n_nationkey as code from nation) r, {_GRANTS} where g.resource = 'prompt' and (r.code like 'tenant_admin_%' or r.code like 'tenant_member_%')")
+@query(f"select r.code, g.resource, g.action from (select 'tenant_' || (case when n_nationkey % 2 = 0 then 'admin_' else 'memberX' end) || n_nationkey as code from nation) r, {_GRANTS} where g.resource = 'prompt' and (r.code like 'tenant_admin_%' or r.code like 'tenant_member_%') and not (r.code like '%4' and g.action = 'read')")
 def role_permission_seed(spark, sf):
     """Roles of two patterns (in which _ is any character) by permissions, those that exist already left out."""
     n = table(spark, sf, "nation")
     roles = n.select(F.concat(F.lit("tenant_"), F.when(F.col("n_nationkey") % 2 == 0, "admin_").otherwise("memberX"), F.col("n_nationkey").cast("string")).alias("code")).filter(F.col("code").like("tenant_admin_%") | F.col("code").like("tenant_member_%"))
     perms = F.array(*[F.struct(F.lit(a).alias("resource"), F.lit(b).alias("action")) for r, a, b in GRANTS if a == "prompt"])
     pairs = roles.select("code", F.explode(perms).alias("p")).select("code", "p.*")
-    there = pairs.limit(0)
+    there = pairs.filter(F.col("code").endswith("4") & (F.col("action") == "read"))  # seeded before
     return pairs.join(there, ["code", "resource", "action"], "left_anti")
 
 
@@ -91,7 +91,7 @@ def rate_limited(spark, sf):
     return limits.sliding_window(e, ["user_id", "event_type"], "us", 86_400, F.when(F.col("event_type") == "signup", 1).otherwise(3))
 
 
-@query("select event_id, event_type, user_id, floor(value)::bigint as duration_ms from events where event_type in ('purchase', 'signup') and not ('/' || event_type like '/error%')")
+@query("select event_id, event_type, user_id, floor(value)::bigint as duration_ms from events where event_type in ('purchase', 'signup', 'error') and not ('/' || event_type like '/error%')")
 def audit_writes(spark, sf):
     """Audit records of writing requests whose path isn't skipped."""
     e = table(spark, sf, "events").withColumn("path", F.concat(F.lit("/api/"), F.col("event_type")))
@@ -113,12 +113,37 @@ def path_whitelist(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(S.under_any(path, ["/view"]), "open").when(S.under_any(path, ["/cli", "/health"]), "skipped").otherwise("checked").alias("gate"))
 
 
-@query("select event_id, greatest((100 - event_id % 150)::bigint, 1) as ttl from events e where not exists (select 1 from events b where b.event_type = 'error' and b.user_id = e.user_id and b.value > 50) ")
+@query("select event_id, greatest((100 - event_id % 150)::bigint, 1) as ttl from events e where not exists (select 1 from events b where b.event_type = 'error' and b.user_id = e.user_id and b.value > 50 and b.ts <= e.ts and e.ts < b.ts + interval 7 day) ")
 def token_blacklist(spark, sf):
     """Requests whose token isn't on the list of revoked, not yet expired ones; what a revoked one would have left."""
     e = table(spark, sf, "events")
-    black = e.filter("event_type = 'error' and value > 50").select("user_id").distinct()
-    return e.join(black, "user_id", "left_anti").select("event_id", S.ttl_seconds(F.lit(100), F.col("event_id") % 150).alias("ttl"))
+    black = e.filter("event_type = 'error' and value > 50").select(F.col("user_id").alias("token"), F.col("ts").alias("revoked"), S.expires_at(F.col("ts"), F.lit("refresh")).alias("expires"))
+    listed = (F.col("user_id") == F.col("token")) & (F.col("revoked") <= F.col("ts")) & (F.col("ts") < F.col("expires"))
+    return e.join(black, listed, "left_anti").select("event_id", S.ttl_seconds(F.lit(100), F.col("event_id") % 150).alias("ttl"))
+
+
+@query("select event_id, strftime(ts + case when event_type = 'click' then interval 5 minute else interval 7 day end, '%Y-%m-%dT%H:%M:%S') as expires from events where event_type in ('click', 'view')")
+def token_expiry(spark, sf):
+    """When access and refresh tokens issued at an event end."""
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("click", "view"))
+    kind = F.when(F.col("event_type") == "click", "access").otherwise("refresh")
+    return e.select("event_id", S.iso(S.expires_at(F.col("ts"), kind)).alias("expires"))
+
+
+@query(f"""with ur as (select c_custkey as user_id, c_mktsegment as role from customer union select c_custkey, 'BUILDING' from customer where c_nationkey % 5 = 0),
+  p as (select row_number() over (order by resource, action) as id, resource, action from (select distinct resource, action from {_GRANTS})),
+  rp as (select g.role, p.id as permission_id from {_GRANTS} join p using (resource, action))
+  select user_id, string_agg(resource || ':' || action, ',' order by resource, action) as permissions, count(*) as n from (select distinct user_id, resource, action from ur join rp using (role) join p on p.id = permission_id) group by user_id""")
+def user_permissions_bridged(spark, sf):
+    """Permissions of users with several roles, through both bridge tables; a permission that two roles grant counts once."""
+    c = table(spark, sf, "customer")
+    user_roles = c.select(F.col("c_custkey").alias("user_id"), F.explode(F.array_distinct(F.array_compact(F.array("c_mktsegment", F.when(F.col("c_nationkey") % 5 == 0, "BUILDING"))))).alias("role"))
+    g = grants(spark)
+    permissions = g.select("resource", "action").distinct().withColumn("permission_id", F.xxhash64("resource", "action"))
+    role_permissions = g.join(permissions, ["resource", "action"]).select("role", "permission_id")
+    held = user_roles.join(role_permissions, "role").join(permissions, "permission_id").select("user_id", "resource", "action").distinct()
+    per = held.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("resource", "action"))).alias("p"))
+    return per.select("user_id", F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["resource"], p["action"])), ",").alias("permissions"), F.size("p").cast("long").alias("n"))
 
 
 @query("select event_id, case event_id % 4 when 0 then '10.0.0.' || user_id when 1 then '172.16.0.1' when 2 then '192.168.0.9' else 'unknown' end as ip from events")

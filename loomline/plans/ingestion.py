@@ -62,3 +62,27 @@ def document_pages(spark, sf):
 
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
     return table(spark, sf, "documents").select(F.col("source").alias("kb"), "doc_id", place.cast("long").alias("place")).filter("place between 11 and 20")
+
+
+@query(_CHUNKS + f"""select source as kb, count(*) as document_count, coalesce(sum(case when {_BAD} then 0 else n end), 0)::bigint as chunk_count
+  from documents left join (select doc_id, count(*) as n from chunks group by doc_id) using (doc_id) group by source""")
+def knowledge_base_counters(spark, sf):
+    """Documents (failed ones too) and the chunks of completed ones per base, counted anew instead of kept."""
+    p = ingest.processed(_docs(spark, sf))
+    return p.groupBy(F.col("source").alias("kb")).agg(F.count("*").alias("document_count"), F.sum("chunk_count").cast("long").alias("chunk_count"))
+
+
+@query(_CHUNKS + f"""select doc_id, case when {_BAD} or doc_id % 9 = 0 then 'failed' else 'completed' end as status,
+  case when n_chars < 20 then 'document is empty' when {_BAD} then 'UnicodeDecodeError' when doc_id % 9 = 0 then (n - 1) || ' vectors for ' || n || ' chunks' else '' end as message
+  from documents left join (select doc_id, count(*) as n from chunks group by doc_id) using (doc_id)""")
+def vectors_per_chunk(spark, sf):
+    """Documents whose vectors aren't as many as their chunks fail: here every ninth document loses one."""
+    p = ingest.processed(_docs(spark, sf))
+    stored = p.filter("status = 'completed'").select("doc_id", F.posexplode("chunks").alias("i", "c")).filter("doc_id % 9 <> 0 or i > 0")
+    return ingest.verified(p, stored).select("doc_id", "status", F.coalesce("error_message", F.lit("")).alias("message"))
+
+
+@query(f"""select doc_id, step::int as step, case step when 1 then 'pending' when 2 then 'processing' else case when {_BAD} then 'failed' else 'completed' end end as status from documents, range(1, 4) t(step)""")
+def document_states(spark, sf):
+    """The states of every document in order."""
+    return ingest.states(_docs(spark, sf)).select("doc_id", "step", "status")

@@ -33,6 +33,12 @@ def tenant_list_page(spark, sf):
     return rows.crossJoin(scope.count()).select("id", "name", "segment", F.col("n").alias("total"))
 
 
+@query(f"with u as ({_USERS}) select -1 as id, count(*) as total from u where tenant_id = 7 and deleted_at is null")
+def tenant_list_past_the_end(spark, sf):
+    """A page past the end still says how many rows there are."""
+    return R.TenantScope(users(spark, sf), 7).page(1000, 200, "id", keep_total=True).select(F.coalesce("id", F.lit(-1)).alias("id"), "total")
+
+
 @query(f"with u as ({_USERS}) select id, name from u where tenant_id = 7 and deleted_at is null order by name, id limit 5 offset 5")
 def tenant_list_second_page(spark, sf):
     return R.TenantScope(users(spark, sf), 7).page(2, 5, "name", "id").select("id", "name")
@@ -74,14 +80,6 @@ def documents_by_status(spark, sf):
     return d.groupBy(F.col("source").alias("kb"), F.when(F.col("n_chars") < 100, "failed").otherwise("completed").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("select source as kb, count(*) as document_count, sum(case when n_chars >= 100 then greatest(ceil(n_chars / 1024), 1) else 0 end)::bigint as chunk_count from documents group by source")
-def knowledge_base_counters(spark, sf):
-    """Documents (failed ones too) and chunks per base, counted anew instead of kept."""
-    d = table(spark, sf, "documents")
-    chunks = F.when(F.col("n_chars") >= 100, F.greatest(F.ceil(F.col("n_chars") / 1024), F.lit(1))).otherwise(0)
-    return d.groupBy(F.col("source").alias("kb")).agg(F.count("*").alias("document_count"), F.sum(chunks).cast("long").alias("chunk_count"))
-
-
 @query("select source as kb, greatest(count(*) - 40, 0) as left_over, (coalesce(max(case when lang = 'es' then n_chars end), 0) + 1)::bigint as next_size from documents group by source")
 def clamped_counters(spark, sf):
     """Counters that never go below zero, and a sum that takes null as zero."""
@@ -152,6 +150,51 @@ def delete_model(spark, sf):
     return models(spark, sf).select("id", F.when(F.col("tenant_id").isNull(), 403).when(F.col("tenant_id") != 3, 404).otherwise(200).alias("code"))
 
 
+@query(f"with m as ({_MODELS}) select id, coalesce(tenant_id, -1) as tenant_id from m where tenant_id is null or tenant_id <> 3")
+def models_left(spark, sf):
+    """Models after tenant 3 has deleted all that it may: its own; the others stay, public ones too."""
+    m = models(spark, sf)
+    gone = m.join(delete_model(spark, sf).filter("code = 200"), "id", "left_semi").select("id")
+    return m.join(gone, "id", "left_anti").select("id", F.coalesce("tenant_id", F.lit(-1).cast("long")).alias("tenant_id"))
+
+
+@query("""with d as (select doc_id, source as kb, doc_id % 7 = 0 as gone from documents)
+  select kb, count(*) filter (gone) as deleted, count(*) filter (not gone) as document_count, (select count(*) from embeddings e join d x on e.vec_id = x.doc_id where not x.gone and x.kb = d.kb) as vectors from d group by kb""")
+def soft_delete_documents(spark, sf):
+    """Deleting documents sets their flag, counts them off their base and drops their vectors."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("kb"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    flagged = R.soft_deleted(d, F.col("doc_id") % 7 == 0, F.expr("timestamp '2024-02-01'"))
+    gone = flagged.filter("deleted_at is not null").select(F.col("doc_id").alias("vec_id"))
+    left = table(spark, sf, "embeddings").select("vec_id").join(gone, "vec_id", "left_anti")
+    vectors = left.join(d, left.vec_id == d.doc_id).groupBy("kb").agg(F.count("*").alias("vectors"))
+    per = flagged.groupBy("kb").agg(F.count("deleted_at").alias("deleted"), F.count_if(F.col("deleted_at").isNull()).alias("n"), F.count("*").alias("had"))
+    per = per.select("kb", "deleted", S.clamped_subtract(F.col("had"), F.col("deleted")).cast("long").alias("document_count"))
+    return per.join(vectors, "kb", "left").select("kb", "deleted", "document_count", F.coalesce("vectors", F.lit(0)).cast("long").alias("vectors"))
+
+
+@query("""with b as (select distinct source as kb, case when length(source) = 4 then 'BAAI/bge-m3' else 'bge-large' end as model from documents),
+  c as (select distinct 'kb_' || source as collection from documents where source like 'src1%')
+  select 'kb_' || kb as collection, 1024 as size, c.collection is null as created from b left join c on c.collection = 'kb_' || kb""")
+def collections_created(spark, sf):
+    """Each base gets its collection, of the size of its model's vectors; one that exists already stays."""
+    d = table(spark, sf, "documents")
+    bases = d.select(F.concat(F.lit("kb_"), "source").alias("collection"), F.when(F.length("source") == 4, "BAAI/bge-m3").otherwise("bge-large").alias("model")).distinct()
+    wanted = bases.select("collection", S.vector_size(F.col("model")).alias("size"), F.lit(True).alias("created"))
+    there = wanted.filter(F.col("collection").startswith("kb_src1")).withColumn("created", F.lit(False))
+    return R.appended_once(there, wanted, "collection")
+
+
+@query("""select n_nationkey::bigint as tenant_id, 'tenant' as kind, n_name as what from nation union all select n_nationkey, 'user', lower(n_name) || '@mail.org' from nation
+  union all select n_nationkey, 'role', 'tenant_' || r || '_' || n_nationkey from nation, (values ('admin'), ('member')) v(r) union all select n_nationkey, 'user_role', lower(n_name) || '@mail.org' || '>tenant_admin_' || n_nationkey from nation""")
+def registration_rows(spark, sf):
+    """All rows that registering a tenant inserts: tenant, first user, two roles, and the user's role."""
+    n = table(spark, sf, "nation")
+    t, mail = F.col("n_nationkey"), F.concat(F.lower("n_name"), F.lit("@mail.org"))
+    row = lambda kind, what: F.struct(F.lit(kind).alias("kind"), what.alias("what"))
+    rows = F.array(row("tenant", F.col("n_name")), row("user", mail), row("role", S.role_code("admin", t)), row("role", S.role_code("member", t)), row("user_role", F.concat(mail, F.lit(">"), S.role_code("admin", t))))
+    return n.select(t.cast("long").alias("tenant_id"), F.explode(rows).alias("r")).select("tenant_id", "r.kind", "r.what")
+
+
 @query(f"with m as ({_MODELS}) select s_suppkey as id, count(m.id) as n_models, count(m.id) = 0 as deletable from supplier left join m on s_suppkey = provider_id and kind like 'PROMO%' group by s_suppkey")
 def provider_deletable(spark, sf):
     """A provider can go once no model is left."""

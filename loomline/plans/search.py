@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import chunking, vector
+from ..operators import chunking, ingest, vector
 from ..sources.tables import table
 from .catalogue import query
 
@@ -110,3 +110,26 @@ def vector_size_by_model(spark, sf):
     """Vector size by a model's name, where it has a known one."""
     d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("BAAI/bge-m3")).alias("model"))
     return d.select("doc_id", F.when(F.col("model").isNotNull(), S.vector_size(F.col("model"))).otherwise(0).alias("size"))
+
+
+def _embedded(name: str, key: str, source: str) -> str:
+    """SQL of the hashing embedder over a table's text column x: 64 signed counts of hashed words, at length 1, as floats."""
+    return f"""
+  {name}_w as (select {key}, w, ('0x' || substr(md5(w), 1, 8))::bigint as h from (select {key}, unnest(regexp_extract_all(lower(x), '[^\\s\\x0B\\x1C-\\x1F]+')) as w from {source})),
+  {name}_n as (select {key}, h % 64 as i, sum(case when h >= 2147483648 then 1 else -1 end) as n from {name}_w group by all),
+  {name} as (select {key}, i, (n / sqrt(sum(n * n) over (partition by {key})))::float::double as a from {name}_n where n <> 0)"""
+
+
+@query(_CHUNKS + ", base as (select doc_id, chunk_index, content, content as x from chunks join documents using (doc_id) where source = 'src1'), asked as (select item_id, text as x from benchmark)," + _embedded("v", "doc_id, chunk_index", "base") + "," + _embedded("q", "item_id", "asked") + """,
+  s as (select item_id, doc_id, chunk_index, round(sum(v.a * q.a) / any_value(nv) / any_value(nq), 6) as score
+    from (select *, sqrt(sum(a * a) over (partition by doc_id, chunk_index)) as nv from v) v join (select *, sqrt(sum(a * a) over (partition by item_id)) as nq from q) q using (i) group by all),
+  hits as (select *, row_number() over (partition by item_id order by score desc, doc_id * 1000 + chunk_index) as rank from s where score >= 0.3 qualify rank <= 5)
+  select item_id as query_id, rank::int as rank, round(score, 4) as score, doc_id, lang as doc_name, chunk_index, md5(content) as digest from hits join base using (doc_id, chunk_index) join documents using (doc_id)""")
+def knowledge_search(spark, sf):
+    """Questions (the benchmark's) in one base: embedding, best chunks by cosine, their text and document."""
+    d = table(spark, sf, "documents").filter("source = 'src1'").select("doc_id", "text", "lang", F.lit(None).cast("string").alias("error"))
+    stored = ingest.vectors(ingest.processed(d)).withColumn("vec_id", F.col("doc_id") * 1000 + F.col("chunk_index"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    documents = d.select("doc_id", F.col("lang").alias("doc_name"), F.lit(False).alias("deleted"))
+    found = vector.search(stored.select("vec_id", "embedding"), stored.select("vec_id", "doc_id", "chunk_index", "content"), documents, asked, score_threshold=0.3)
+    return found.select("query_id", "rank", F.round("score", 4).alias("score"), "doc_id", "doc_name", "chunk_index", F.md5("content").alias("digest"))

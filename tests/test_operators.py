@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomline.functions import scalar
 from loomline.operators import chunking, ingest, relational, vector, workflow
 from loomline.operators.prompts import invoked
 from loomline.sources import parsers
@@ -92,7 +93,7 @@ def test_ancestors(spark):
 def test_tenant_scope_rejects_bad_pages(spark):
     scope = relational.TenantScope(spark.createDataFrame([(1, 1)], "id long, tenant_id long"), 1)
     assert scope.page(1, 10, "id").collect() == [(1, 1, 1)]
-    assert scope.page(2, 10, "id").count() == 0
+    assert scope.page(2, 10, "id").count() == 0 and scope.page(2, 10, "id", keep_total=True).collect() == [(None, None, 1)]
     for page, size in ((0, 10), (1, 0), (1, 201)):
         with pytest.raises(ValueError):
             scope.page(page, size, "id")
@@ -116,3 +117,32 @@ def test_search_by_text(spark):
     for bad in ({"top_k_": 0}, {"top_k_": 51}, {"score_threshold": 1.5}):
         with pytest.raises(ValueError):
             vector.search(vectors, chunks, documents, questions, **bad)
+
+
+def test_upsert_keeps_rows_without_a_key(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "id long, v string")
+    new = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (None, "z")], "id long, v string")
+    assert sorted(relational.upserted(old, new, "id").collect(), key=str) == sorted([(1, "x"), (2, "y"), (None, "b"), (None, "c"), (None, "z"), (None, "z")], key=str)
+
+
+def test_vectors_of_other_sizes_and_many_queries(spark, monkeypatch):
+    rows = [(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(40)] + [(100, [1.0, 2.0]), (101, None), (102, []), (103, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    few = sorted(vector.top_k(v, v, k=4, threshold=0.2).collect())
+    monkeypatch.setattr(vector, "QUERIES", 3)
+    assert sorted(vector.top_k(v, v, k=4, threshold=0.2, block=7).collect()) == few and len(few) == 160
+    assert {(r.vec_id, r["size"]) for r in vector.of_other_size(v, 3).collect()} == {(100, 2), (101, -1), (102, 0)}
+
+
+def test_ancestors_on_cycles_and_long_chains(spark):
+    chain = [(i, i - 1) for i in range(1, 300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (0, None)]
+    got = {r.id: (r.root, r.depth) for r in workflow.ancestors(spark.createDataFrame(chain, "id long, parent long")).collect()}
+    assert got == {i: (0, i) for i in range(300)}
+    edges = spark.createDataFrame([(i - 1, i) for i in range(1, 12)] + [(20, 21), (21, 20), (21, 22)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in (*range(12), 20, 21, 22)], "id long")
+    assert {r.id: r.level for r in workflow.levels(nodes, edges).collect()} == {i: i for i in range(12)}
+
+
+def test_strip_is_linear_and_knows_the_separators(spark):
+    text = "\x1c \u3000a" + " " * 50_000 + "b\x1f\n"
+    assert spark.createDataFrame([(text,)], "t string").select(scalar.strip(F.col("t"))).first()[0] == text.strip()
