@@ -212,8 +212,8 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) between keys of table (as `sketched`) that are this similar: not all pairs, but enough that components are whole."""
+def groups(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """key and comp (the least key of all that links reach) of the keys of table (as `sketched`) that have a candidate at all; the others are groups of their own."""
     prefixes = table.select("key", F.explode("prefix").alias("hash"))
     shared = prefixes.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("hash")
     rows = written(prefixes.join(shared, "hash").distinct(), "shared-shingles")
@@ -242,18 +242,18 @@ def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, blo
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    found = written(verified(_possible(close, entries, similarity).select("a", "b")), "near-links")
-    comp = written(_grouped(entries, found), "near-groups")
+    # The first round also takes what the trie walk found.
+    first_pairs, found, comp = close, None, entries.select("key", F.col("key").alias("comp"))
     for r in range(ROUNDS):
         # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
         now = rows.join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
-        pairs = _possible(pairs, entries, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
-        new = written(verified(pairs), "near-links")
-        if new.isEmpty():
+        pairs = pairs if found is not None else pairs.unionByName(first_pairs)
+        new = written(verified(_possible(pairs, entries, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))), "near-links")
+        if found is not None and new.isEmpty():
             break
-        found = found.unionByName(new)
+        found = new if found is None else found.unionByName(new)
         comp = written(_grouped(entries, found), "near-groups")
 
     now = rows.join(comp, "key")
@@ -262,8 +262,11 @@ def links(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, blo
     now = now.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
     now = now.join(entries, "key").select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "key", "n", "comp", "sig")
     dealt = now.repartition("hash", "x", "y").sortWithinPartitions("hash", "x", "y", "side", "key")
-    pairs = written(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), "near-pairs")
-    return found.unionByName(verified(_possible(pairs, entries, similarity).select("a", "b")))
+    pairs = written(_possible(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), entries, similarity).select("a", "b"), "near-pairs")
+    if pairs.isEmpty():
+        return comp
+    last = written(verified(pairs), "near-links")
+    return comp if last.isEmpty() else written(_grouped(entries, found.unionByName(last)), "near-groups")
 
 
 def _grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -276,7 +279,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     table = written(sketched(docs, similarity, frequent_shingles(docs)), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     firsts = written(table.groupBy("key").agg(first.alias("first")), "near-firsts")
-    rooted = checkpointed(_grouped(firsts, written(links(docs, table, similarity, block), "near-links")).join(firsts, "key"))
+    comp = groups(docs, table, similarity, block)
+    rooted = checkpointed(firsts.join(comp, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp")))
     least = rooted.groupBy("comp").agg(F.min("first").alias("least"))
     of = rooted.join(least, "comp").select("key", "least")
     return table.select("doc_id", "row_key", "key").join(of, "key").select("doc_id", "row_key", F.col("least.doc_id").alias("kept_id"), F.col("least.row_key").alias("kept_key"))
