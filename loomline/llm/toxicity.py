@@ -52,6 +52,8 @@ from .common import held_out, texts, written
 
 SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 56, 12
 THRESHOLD = 0.7
+#: A round of the label model that moves no rate by this much is the last.
+SETTLED = 1e-3
 #: What a gold label is taken to be right at, as a voter; the posterior at which a document without one counts as labelled for the second induction.
 GOLD, SURE = 0.98, 0.95
 #: Log-likelihood ratio below which a feature may be chance: some hundred thousand are looked at.
@@ -212,7 +214,10 @@ def fit_label_model(masks: DataFrame, model: LabelModel, anchor: np.ndarray, rou
                 sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
                 new.correlation += share * cov / np.outer(sd, sd)
             np.fill_diagonal(new.correlation, 0)
+        moved = max(np.abs(fires - model.fires).max(initial=0), abs(prior - model.prior))
         model = new
+        if r and moved < SETTLED:
+            break
     return model
 
 
