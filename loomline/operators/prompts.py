@@ -66,3 +66,35 @@ def invoked(df: DataFrame, text: str, model) -> DataFrame:
         return pd.DataFrame([one(t) for t in texts], columns=["result_content", "prompt_tokens", "completion_tokens", "latency_ms", "status"])
 
     return df.withColumn("_log", F.pandas_udf(run, _LOG)(F.col(text))).select(*df.columns, "_log.*")
+
+
+def runs_to_make(requests: DataFrame, versions: DataFrame, models: DataFrame) -> DataFrame:
+    """requests (request_id, prompt_id, tenant_id, version_id or null, model_id) with version and content to run, and error if there is nothing to run.
+
+    The version asked for must be the prompt's own; without one it is the current, else the newest. A model must be on, and the tenant's own or public.
+    versions: prompt_id, id, version_number, is_current, content; models: id, tenant_id or null, status.
+    """
+    chosen = requests.filter(F.col("version_id").isNotNull()).join(versions.select("prompt_id", F.col("id").alias("version_id"), "content"), ["prompt_id", "version_id"], "left")
+    newest = current_or_newest(versions, "prompt_id").select("prompt_id", F.col("id").alias("found"), F.col("content").alias("text"))
+    default = requests.filter(F.col("version_id").isNull()).join(newest, "prompt_id", "left").select(*[c for c in requests.columns if c != "version_id"], F.col("found").alias("version_id"), F.col("text").alias("content"))
+    both = chosen.select(*requests.columns, "content").unionByName(default.select(*requests.columns, "content"))
+    usable = models.filter("status").select(F.col("id").alias("_model"), F.col("tenant_id").alias("_of"))
+    may = (F.col("model_id") == F.col("_model")) & (F.col("_of").isNull() | (F.col("_of") == F.col("tenant_id")))
+    error = F.when(F.col("content").isNull(), "version not found").when(F.col("_model").isNull(), "model not found")
+    return both.join(usable, may, "left").select(*requests.columns, "content", error.alias("error"))
+
+
+def connectivity(df: DataFrame, provider: str, model) -> DataFrame:
+    """df with ok and message for each row's provider: model(provider) is called once, and what it raises is data."""
+
+    def one(p: str | None) -> tuple:
+        try:
+            model(p or "")
+            return True, ""
+        except Exception as e:  # noqa: BLE001  whatever a client raises
+            return False, str(e)
+
+    def run(providers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(p) for p in providers], columns=["ok", "message"])
+
+    return df.withColumn("_test", F.pandas_udf(run, "ok boolean, message string")(F.col(provider))).select(*df.columns, "_test.*")

@@ -145,6 +145,14 @@ def hashing_embedder(dim: int = 64):
     return run
 
 
+def embedder_of(provider: str, embedders: dict):
+    """The embedder registered for a provider (in any case of letters); a provider that isn't there is an error that names those that are."""
+    found = {k.lower(): v for k, v in embedders.items()}
+    if provider.lower() not in found:
+        raise ValueError(f"unknown embedding provider {provider}: one of {', '.join(sorted(found))}")
+    return found[provider.lower()]
+
+
 def retrying(call, tries: int = 3, wait=None):
     """call with retries: any error but the last is followed by a wait of min(2 ** attempt, 5) seconds."""
     import time

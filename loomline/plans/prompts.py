@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import prompts as P
 from ..sources.tables import table
 from .catalogue import query
+from .relational import _MODELS, models
 
 _TEMPLATE = "'Write in {{lang}} about {{topic}}: {{größe}} {{lang}} {{ no }} {{' || source || '}}'"
 _T = f"(select doc_id, lang, source, n_chars, {_TEMPLATE} as content from documents)"
@@ -139,3 +140,32 @@ def text_helpers(spark, sf):
 def price_and_backoff(spark, sf):
     p = table(spark, sf, "part")
     return p.select(F.col("p_partkey").alias("id"), S.price(F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).alias("shown"), S.backoff_seconds(F.col("p_size") % 4).alias("wait"))
+
+
+@query(f"""with v as (select *, version_number = 2 as is_current from {_V}), m as ({_MODELS}),
+  r as (select c_custkey as request_id, c_custkey as prompt_id, c_nationkey::bigint as tenant_id, case when c_custkey % 3 = 0 then (select min(id) from v where v.prompt_id = c_custkey) when c_custkey % 3 = 1 then -5 end as version_id, c_custkey % 400 as model_id from customer),
+  d as (select prompt_id, arg_max(id, is_current::int * 1000000 + version_number) as id from v group by prompt_id),
+  w as (select r.*, coalesce(r.version_id, case when c.c_custkey % 3 = 2 or (c.c_custkey % 3 = 0 and r.version_id is null) then d.id end) as wanted from r join customer c on c.c_custkey = r.request_id left join d using (prompt_id))
+  select request_id, coalesce(v.id, -1) as version_id, case when v.id is null then 'version not found' when m.id is null then 'model not found' else '' end as error
+  from w left join v on v.prompt_id = w.prompt_id and v.id = w.wanted left join m on m.id = w.model_id and m.status and (m.tenant_id is null or m.tenant_id = w.tenant_id)""")
+def prompt_runs_to_make(spark, sf):
+    """Which version each test request runs (the one asked for, the current one, the newest), with a model that its tenant may use; errors as data."""
+    v = versions(spark, sf).withColumn("is_current", F.col("version_number") == 2)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("prompt_id"), F.col("c_nationkey").cast("long").alias("tenant_id"), (F.col("c_custkey") % 400).alias("model_id"))
+    first = v.groupBy("prompt_id").agg(F.min("id").alias("first"))
+    asked = c.join(first, "prompt_id", "left").withColumn("version_id", F.when(F.col("prompt_id") % 3 == 0, F.col("first")).when(F.col("prompt_id") % 3 == 1, F.lit(-5).cast("long"))).drop("first")
+    out = P.runs_to_make(asked, v, models(spark, sf))
+    return out.select("request_id", F.when(F.col("content").isNotNull(), F.col("version_id")).otherwise(-1).alias("version_id"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("select s_suppkey as id, s_suppkey % 3 <> 0 as ok, case when s_suppkey % 3 = 0 then 'no key for ' || s_name else '' end as message from supplier")
+def provider_connectivity(spark, sf):
+    """A test call to each provider (here one that needs a key); what fails says why."""
+    s = table(spark, sf, "supplier")
+
+    def call(name: str) -> None:
+        if name.endswith("!"):
+            raise ConnectionError(f"no key for {name[:-1]}")
+
+    named = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).alias("name"))
+    return P.connectivity(named, "name", call).select("id", "ok", "message")

@@ -121,3 +121,41 @@ def workflow_levels(spark, sf):
     tree = p.select(F.col("id").alias("src"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     back = p.filter("p_size = 50 and id between 7 and 400").select(F.col("id").alias("src"), (F.col("id") - 7).alias("dst"))
     return workflow.levels(p.select("id"), tree.unionByName(back))
+
+
+_PRICED = f"""with c as ({_CALLS}), m as (select p_partkey as model_id, cast(p_size / 1000.0 as decimal(10, 6)) as pin, cast(p_size / 250.0 as decimal(10, 6)) as pout from part),
+  p as (select c.*, prompt_tokens * pin + completion_tokens * pout as amount from c join m using (model_id))"""
+
+
+def priced(spark, sf, which=None):
+    """calls with `amount`: tokens by the prices of their model (per 1000 tokens, exact decimals), still to be divided by 1000."""
+    m = table(spark, sf, "part").select(F.col("p_partkey").alias("model_id"), *[(F.col("p_size") / F.lit(n)).cast("decimal(10,6)").alias(c) for n, c in ((1000.0, "pin"), (250.0, "pout"))])
+    return calls(spark, sf, which).join(m, "model_id").withColumn("amount", F.col("prompt_tokens") * F.col("pin") + F.col("completion_tokens") * F.col("pout"))
+
+
+@query(_PRICED + " select tenant_id, count(*) as requests, round(sum(amount)::double / 1000, 6) as cost from p group by tenant_id")
+def token_cost(spark, sf):
+    """Cost of each tenant by its models' prices."""
+    return priced(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("requests"), F.round(F.sum("amount").cast("double") / 1000, 6).alias("cost"))
+
+
+@query(_PRICED + " select model_id, count(*) as requests, count(distinct user_id) as users, round(sum(amount)::double / 1000, 6) as cost from p where day = (select max(day) from c) group by model_id")
+def dashboard_models_today(spark, sf):
+    """The last day by model, with cost."""
+    last = table(spark, sf, "lineitem").agg(F.date_trunc("day", F.max("l_shipdate")).alias("t")).first()["t"]
+    today = F.lit(True) if last is None else F.col("l_shipdate") >= F.lit(last).cast("timestamp_ntz")
+    return priced(spark, sf, today).groupBy("model_id").agg(F.count("*").alias("requests"), F.count_distinct("user_id").alias("users"), F.round(F.sum("amount").cast("double") / 1000, 6).alias("cost"))
+
+
+@query("select event_id, user_id, event_type as action from events order by ts desc, event_id desc limit 10")
+def recent_audit(spark, sf):
+    """Documented only: the ten newest audit records."""
+    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "user_id", F.col("event_type").alias("action"))
+
+
+@query("select user_id, count(*) as hits from events where ts >= (select max(ts) from events) - interval 7 day group by user_id")
+def active_agents(spark, sf):
+    """Documented only: who was active in the last seven days."""
+    e = table(spark, sf, "events")
+    last = e.agg(F.max("ts").alias("last"))  # one row
+    return e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("interval 7 days")).groupBy("user_id").agg(F.count("*").alias("hits"))
