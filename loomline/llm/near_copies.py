@@ -45,8 +45,8 @@ from .common import checkpointed, row_key, texts, written
 from .simhash import components, fingerprint_links, without_copies
 
 SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 3
-#: Differing bits of fingerprints that the trie walk takes.
-RADIUS = 3
+#: Differing bits of fingerprints that the trie walk takes, and fingerprints to a node that one task walks: near copies crowd together.
+RADIUS, MAX_NODE = 2, 1024
 #: Shingles in at least SHARED places of the texts count as frequent; at most FREQUENT of them, the most frequent ones.
 SHARED, FREQUENT = 50, 200_000
 _SEED = 42
@@ -220,7 +220,7 @@ def groups(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, bl
 
     # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
     first = written(table.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
-    near = fingerprint_links(first.select("fp"), radius)
+    near = fingerprint_links(first.select("fp"), radius, MAX_NODE)
     a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(k)) for c, k in (("u", "a"), ("v", "b")))
     same = table.select("fp", "key").join(first.filter("first <> last"), "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
@@ -234,6 +234,8 @@ def groups(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, bl
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets, made anew of one text of each entry, are similar enough."""
         pairs = written(pairs, "near-candidates")
+        if pairs.isEmpty():
+            return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         # Written, so that Spark knows its size before it decides whether texts must be shuffled.
         keys = written(of.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key"), "near-wanted")
         wanted = source.join(keys, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "text")

@@ -32,7 +32,7 @@ from .common import checkpointed, row_key, texts, unused, written
 #: Words to a shingle, differing bits that still link, fingerprints to a node that one task walks.
 SHINGLE, RADIUS, MAX_NODE = 3, 2, 4096
 _SEED = 42
-_BLOCK = 100_000  # shingles counted at a time
+_BLOCK = 100_000  # shingles or links looked at together
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -130,10 +130,11 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             x = root[x]
         return x
 
-    for x, y in zip(i.tolist(), j.tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
+    for at in range(0, len(i), _BLOCK):  # a crowded node has millions of links: not all of them as Python integers at once
+        for x, y in zip(i[at : at + _BLOCK].tolist(), j[at : at + _BLOCK].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
     return np.array([find(x) for x in range(n)], np.int64)
 
 
