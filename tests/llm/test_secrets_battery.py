@@ -115,4 +115,4 @@ def test_planted_tokens_are_found_in_a_small_and_a_larger_corpus(spark, tokens):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         found = {r.doc_id for r in secrets.find_secrets(df).collect() if any(s.kind == 3 for s in r.spans)}
         recall, false = len(found & planted.keys()) / len(planted), len(found - planted.keys())
-        assert recall >= 0.85 and false <= 0.05 * len(found)
+        assert recall >= 0.8 and false <= 0.05 * len(found)
