@@ -50,7 +50,7 @@ RADIUS, MAX_NODE = 2, 1024
 #: Shingles in at least SHARED places of the texts count as frequent; at most FREQUENT of them, the most frequent ones.
 SHARED, FREQUENT = 50, 200_000
 _SEED = 42
-_AT_ONCE = 2_000_000  # hashes that a task holds before it counts them
+_AT_ONCE = 400_000  # hashes that a task holds before it counts them
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -130,7 +130,7 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             keys, fps, ns, prefixes, sigs, wide = [], [], [], [], [], []
             for text in batch.column(2):
                 h = shingle_set(text.as_py())
@@ -151,8 +151,10 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
+            for at in range(0, batch.num_rows, 100):  # sets of long texts are as large as these
+                part = batch.slice(at, 100)
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
     return texts(docs).select("key", "text").mapInArrow(run, "key long, hashes array<long>")
 
