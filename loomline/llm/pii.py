@@ -174,8 +174,8 @@ def _known(bitmap: np.ndarray) -> Known:
     return Known(learn)
 
 
-def _candidates(text: str, last: Known, wanted: Known) -> Iterator[tuple[int, int, str, str]]:
-    """First and last word, value and pattern of each candidate under a wanted pattern. last: words that wanted patterns have before the gap."""
+def _candidates(text: str, last: Known, wanted: Known, placed: bool = True) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, value and pattern of each candidate under a wanted pattern. last: words that wanted patterns have before the gap. Not placed: only the pattern is right."""
     w = _words(text)
     n = len(w)
     digits = places = taken = None
@@ -196,12 +196,13 @@ def _candidates(text: str, last: Known, wanted: Known) -> Iterator[tuple[int, in
         around = wanted[f"{b2} | {w[j + 1] if j + 1 < n else '$'}"]
         if not two and not around:
             continue
-        places = places or _places(text)
         taken = base_spans(text) if taken is None else taken
-        s, e = places[i][0], places[j][1]
-        if any(a < e and s < b for a, _, b in taken):
-            continue
-        value = " ".join(w[i : j + 1])
+        s, e, value = 0, 0, ""
+        if placed or taken:
+            places = places or _places(text)
+            s, e, value = places[i][0], places[j][1], " ".join(w[i : j + 1])
+            if any(a < e and s < b for a, _, b in taken):
+                continue
         for p in _patterns(before[i], before[i + 1], b2, w[j + 1] if j + 1 < n else "$"):
             if wanted[p]:
                 yield s, e, value, p
@@ -221,7 +222,7 @@ def surrounded(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(2):
-                n.update(p for *_, p in _candidates(t.as_py() or "", a, b))
+                n.update(p for *_, p in _candidates(t.as_py() or "", a, b, placed=False))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["pattern", "n"])
 
     counts = texts(_keyed(docs)).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
