@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; in local mode one of our own, if none is named."""
-    sc = spark.sparkContext
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the cluster's shared folder."""
-    _shared(df.sparkSession)
-    return df.checkpoint()
+from .shared import cut as _cut
+from .shared import shared_path
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,7 +15,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left, level, spark = _cut(e), 0, nodes.sparkSession
     rest = _cut(nodes.distinct())
     # Levels are appended to one table: the plan of the result stays as small for a long chain as for a short one.
-    path = f"{_shared(spark).rstrip('/')}/loomline/levels-{uuid.uuid4().hex}"
+    path = shared_path(spark, "levels")
     schema = rest.withColumn("level", F.lit(0).cast("long")).schema
     while True:
         ready = rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("long"))
