@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, line_dedup, media, packing, pii, secrets, simhash, token_counts, toxicity
+from . import annulus, decontam, importance, langid, line_dedup, media, packing, pii, secrets, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_decontam": decontam.op9_decontam,
     "op10_secrets": secrets.op10_secrets,
+    "op11_annulus": annulus.op11_annulus,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_importance": importance.op13_importance,
 }
-ORACLES = {**line_dedup.ORACLE, **decontam.ORACLE}
+ORACLES = {**line_dedup.ORACLE, **decontam.ORACLE, **annulus.ORACLE, **importance.ORACLE}
