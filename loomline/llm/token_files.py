@@ -24,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -47,6 +48,10 @@ _FOOTER = struct.Struct("<QQ8s")
 
 def packed(ids: np.ndarray, bits: int) -> bytes:
     """ids at `bits` bits each; the last byte group is filled with zeros up to eight ids."""
+    if bits % 8 == 0:
+        whole = np.zeros((-(-len(ids) // 8) * 8, 4), np.uint8)
+        whole[: len(ids)] = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+        return whole[:, : bits // 8].tobytes()
     lanes = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(lanes), bits), np.uint8)
@@ -60,6 +65,10 @@ def packed(ids: np.ndarray, bits: int) -> bytes:
 
 def unpacked(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     """The first n ids of packed data."""
+    if bits % 8 == 0:
+        whole = np.zeros((n, 4), np.uint8)
+        whole[:, : bits // 8] = np.frombuffer(data, np.uint8, n * bits // 8).reshape(n, -1)
+        return whole.reshape(-1).view("<u4").astype(np.uint32, copy=False)
     rows = np.frombuffer(data, np.uint8, -(-n // 8) * bits).reshape(-1, bits)
     out = np.empty((len(rows), 8), np.uint32)
     for k in range(8):
@@ -182,24 +191,31 @@ def write_ids(docs: DataFrame, path: str, tokenizer_name: str = TOKENIZER, block
     dealt.mapInArrow(run, "file binary").select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Of each document in the files under path: file_range, file_place, nth (in its file), doc_id, start (ids of its file before it) and ids (little-endian, four bytes each)."""
+def _read(spark: SparkSession, path: str, names: list[str], types: str, told) -> DataFrame:
+    """Of each document in the files under path: file_range, file_place, nth (in its file), doc_id, start (ids of its file before it), and what `told` says of its ids (little-endian, four bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in (x for batch in batches for x in batch.column(0) if len(x.as_buffer())):
             file = IdFile(data.as_buffer())
             for first in range(0, file.n_docs, 256):
                 last = min(first + 256, file.n_docs)
-                lo = int(file.starts[first])
-                ids = file.ids(lo, int(file.starts[last])).astype("<u4").tobytes()
-                n, starts = last - first, file.starts[first : last + 1]
-                own = [ids[4 * (a - lo) : 4 * (b - lo)] for a, b in zip(starts.tolist(), starts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file.range] * n, pa.int64()), pa.array([file.place] * n, pa.int64()), pa.array(range(first, last), pa.int64()), pa.array(file.doc_ids[first:last], pa.int64()), pa.array(starts[:-1]), pa.array(own, pa.binary())],
-                    names=["file_range", "file_place", "nth", "doc_id", "start", "ids"],
-                )
+                lo, n, starts = int(file.starts[first]), last - first, file.starts[first : last + 1]
+                ids = memoryview(file.ids(lo, int(file.starts[last])).astype("<u4", copy=False)).cast("B")
+                own = [told(ids[4 * (a - lo) : 4 * (b - lo)]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+                columns = [pa.array([file.range] * n, pa.int64()), pa.array([file.place] * n, pa.int64()), pa.array(range(first, last), pa.int64()), pa.array(file.doc_ids[first:last], pa.int64()), pa.array(starts[:-1])]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in zip(*own))], names=["file_range", "file_place", "nth", "doc_id", "start", *names])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"file_range long, file_place long, nth long, doc_id long, start long, {types}")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """file_range, file_place, nth (in its file), doc_id, start (ids of its file before it) and ids (little-endian, four bytes each) of each document in the files under path."""
+    return _read(spark, path, ["ids"], "ids binary", lambda ids: (bytes(ids),))
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "file_range long, file_place long, nth long, doc_id long, start long, ids binary")
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """As read_ids, with n_tokens and ids_crc32 in place of ids."""
+    return _read(spark, path, ["n_tokens", "ids_crc32"], "n_tokens long, ids_crc32 long", lambda ids: (len(ids) // 4, zlib.crc32(ids)))
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -220,7 +236,7 @@ def placed(rows: DataFrame) -> DataFrame:
     sizes = sorted(tuple(r) for r in rows.groupBy("file_range", "file_place").agg(F.sum("n_tokens")).collect())  # a row a file
     before = [0, *accumulate(n for *_, n in sizes)]
     known = spark.createDataFrame([(a, b, n) for (a, b, _), n in zip(sizes, before)], "file_range long, file_place long, before long")
-    return rows.join(F.broadcast(known), ["file_range", "file_place"]).withColumn("start", F.col("start") + F.col("before")).drop("file_range", "file_place", "before")
+    return rows.join(F.broadcast(known), ["file_range", "file_place"]).withColumn("start", F.col("start") + F.col("before")).drop("file_range", "file_place", "nth", "before")
 
 
 def op12_token_files(spark, sf_dir: str) -> DataFrame:
@@ -228,9 +244,4 @@ def op12_token_files(spark, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark).rstrip('/')}/loomline/token-files-{uuid.uuid4().hex}"
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
-    return placed(written(_digests(read_ids(spark, path)), "token-digests"))
-
-
-def _digests(rows: DataFrame) -> DataFrame:
-    """n_tokens and ids_crc32 in place of ids."""
-    return rows.select("file_range", "file_place", "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return placed(written(read_digests(spark, path), "token-digests"))

@@ -83,5 +83,5 @@ def test_no_document(spark, make, tmp_path):
     T.write_ids(make([(1, "x")]).filter("doc_id > 1"), str(tmp_path / "ids"))
     rows = T.read_ids(spark, str(tmp_path / "ids"))
     assert rows.count() == 0
-    digests = rows.select("file_range", "file_place", "doc_id", "start", F.lit(1).cast("long").alias("n_tokens"))
+    digests = rows.select("file_range", "file_place", "nth", "doc_id", "start", F.lit(1).cast("long").alias("n_tokens"))
     assert T.placed(digests).count() == 0
