@@ -67,7 +67,7 @@ def unpacked(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     """The first n ids of packed data."""
     if bits % 8 == 0:
         whole = np.zeros((n, 4), np.uint8)
-        whole[:, : bits // 8] = np.frombuffer(data, np.uint8, n * bits // 8).reshape(n, -1)
+        whole[:, : bits // 8] = np.frombuffer(data, np.uint8, n * bits // 8).reshape(n, bits // 8)
         return whole.reshape(-1).view("<u4").astype(np.uint32, copy=False)
     rows = np.frombuffer(data, np.uint8, -(-n // 8) * bits).reshape(-1, bits)
     out = np.empty((len(rows), 8), np.uint32)
