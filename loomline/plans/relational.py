@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import relational as R
+from ..operators.ranks import Ranked
 from ..sources.tables import table
 from .catalogue import query
 
@@ -44,6 +45,13 @@ def tenant_list_second_page(spark, sf):
     return R.TenantScope(users(spark, sf), 7).page(2, 5, "name", "id").select("id", "name")
 
 
+@query(f"with u as ({_USERS}) select id, name, rank, total from (select id, name, row_number() over (order by name, id) as rank, count(*) over () as total from u where deleted_at is null) where rank between 1001 and 1040")
+def users_deep_page(spark, sf):
+    """A page far down a list: ranks by ranges of the order, so that no task carries the rows before it."""
+    ranked = Ranked(users(spark, sf).filter("deleted_at is null").select("id", "name"), "name", "id")
+    return ranked.page(26, 40).select("id", "name", "rank", F.lit(ranked.total).cast("long").alias("total"))
+
+
 @query(f"with m as ({_MODELS}) select id, coalesce(tenant_id, -1) as tenant_id, name from m where tenant_id = 3 or tenant_id is null")
 def tenant_or_public_models(spark, sf):
     return R.TenantScope(models(spark, sf), 3, include_public=True).df.select("id", F.coalesce("tenant_id", F.lit(-1).cast("long")).alias("tenant_id"), "name")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import chunking, ingest, vector
+from ..operators import ann, chunking, ingest, vector
+from ..operators.shared import shared_path
 from ..sources.tables import table
 from .catalogue import query
 
@@ -33,6 +34,26 @@ def vector_search_threshold(spark, sf):
     return _hits(spark, sf, 10, 0.3).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
+def _index(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return v, ann.CellIndex.build(v, shared_path(spark, "cell-index"), 64)
+
+
+@query(_HITS.format(t=0.1, k=5) + "select query_id, vec_id, score, rank::int as rank from hits")
+def vector_search_index(spark, sf):
+    """The index of cells, all of them probed: the exact search's rows, so that no vector is lost in it."""
+    v, index = _index(spark, sf)
+    return index.search(v.filter("vec_id % 20 = 0"), k=5, threshold=0.1, nprobe=ann.CELLS).select("query_id", "vec_id", "score", "rank")
+
+
+@query(_HITS.format(t=0.1, k=5) + "select count(*) as hits, true as enough from hits")
+def vector_search_recall(spark, sf):
+    """Whether six tenths of the cells hold nine tenths of the exact search's hits: these vectors point nearly at random, which is the hardest case."""
+    v, index = _index(spark, sf)
+    found = index.search(v.filter("vec_id % 20 = 0"), k=5, threshold=0.1, nprobe=-(-6 * len(index.at) // 10))
+    return ann.recall(found, _hits(spark, sf)).select("hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _CONTEXT = _HITS.format(t=0.1, k=5) + """,
   chunks as (select doc_id as vec_id, doc_id, (doc_id % 8)::int as chunk_index, md5(text) as content from documents where source <> 'src3'),
   docs as (select doc_id, lang || '-' || source as doc_name, n_chars < 300 as deleted from documents)

@@ -146,3 +146,22 @@ def test_ancestors_on_cycles_and_long_chains(spark):
 def test_strip_is_linear_and_knows_the_separators(spark):
     text = "\x1c \u3000a" + " " * 50_000 + "b\x1f\n"
     assert spark.createDataFrame([(text,)], "t string").select(scalar.strip(F.col("t"))).first()[0] == text.strip()
+
+
+def test_ranks_and_deep_pages(spark):
+    from loomline.operators.ranks import Ranked
+
+    rows = [(i, None if i % 11 == 0 else i % 7, "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, part long, at string").withColumn("rank", F.lit("old")).repartition(5)
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    ranked = Ranked(df, F.desc_nulls_last("part"), "id")
+    assert ranked.total == 500 and [(r.id, r.part, r.at, r["rank"]) for r in ranked.rows.orderBy("rank").collect()] == [(*r, i + 1) for i, r in enumerate(order)]
+    for page, size in ((1, 10), (17, 13), (50, 10), (2, 499)):
+        assert [r.id for r in ranked.page(page, size).orderBy("rank").collect()] == [r[0] for r in order[(page - 1) * size : page * size]]
+    assert ranked.page(51, 10).count() == 0 and Ranked(df.limit(0), "id").page(1, 5).count() == 0
+    # A page reads the ranges that it lies in.
+    plan = ranked.page(1, 10)._jdf.queryExecution().sparkPlan()
+    files = plan.collectLeaves().head().selectedPartitions().partitionCount()
+    assert files < len(ranked.parts) or len(ranked.parts) == 1
+    with pytest.raises(ValueError):
+        ranked.page(0, 10)
