@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import held_out, texts, unused
 
 PROFILE, LONGEST, UNKNOWN = 300, 3, "und"
 #: Letters that a task holds before it counts them.
@@ -93,8 +93,8 @@ def learn(docs: DataFrame, size: int = PROFILE, longest: int = LONGEST) -> pd.Da
     return counts.withColumn("rank", rank - 1).filter(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
 
 
-def predict(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
-    """docs with lang_pred and score (1 less the distance as a share of the largest possible); columns of these names are replaced."""
+def predict(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE, longest: int = LONGEST, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with a prediction and its score (1 less the distance as a share of the largest possible). Columns called as `into` says are replaced; a caller that has such columns names others."""
     names = sorted(profiles["lang"].unique())
     known = np.unique(profiles["gram"].to_numpy(np.int64))
     ranks = np.full((len(known) + 1, len(names)), -1, np.int64)
@@ -118,12 +118,14 @@ def predict(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE, longes
         return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
     got = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
-    return texts(docs).withColumn("_lid", got).withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
+    (at,) = unused(docs, "prediction")
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in into}]
+    return texts(docs).withColumn(at, got).select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{at}`.lang_pred").alias(into[0]), F.col(f"`{at}`.score").alias(into[1]))
 
 
-def identify(docs: DataFrame, size: int = PROFILE, longest: int = LONGEST) -> DataFrame:
-    """docs with lang_pred and score, by profiles of the documents that are not held out."""
-    return predict(docs, learn(docs.filter(~held_out(F.col("doc_id"))), size, longest), size, longest)
+def identify(docs: DataFrame, size: int = PROFILE, longest: int = LONGEST, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with a prediction and its score, by profiles of the documents that are not held out."""
+    return predict(docs, learn(docs.filter(~held_out(F.col("doc_id"))), size, longest), size, longest, into)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

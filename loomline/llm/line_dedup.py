@@ -172,12 +172,12 @@ def _kept(text: pd.Series, keep: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(text, keep, strict=True)], dtype=object)
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the lines that stay in `text`, and columns ll_n_lines and ll_n_dropped (columns of these names are replaced).
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, into: tuple[str, str] = ("ll_n_lines", "ll_n_dropped")) -> DataFrame:
+    """docs with the lines that stay in `text`, and how many lines there were and how many went. Columns called as `into` says are replaced; a caller that has such columns names others.
 
     Spark broadcasts the bitmaps if their table is small by its own threshold, and joins by shuffle otherwise.
     """
-    docs = docs.drop("ll_n_lines", "ll_n_dropped")
+    docs = docs.drop(*into)
     row, b_id, b_row, gone, keep = unused(docs, "row", "b_id", "b_row", "gone", "keep")
     b = written(bitmaps, "keep-bitmaps").select(F.col("doc_id").alias(b_id), F.col("row_key").alias(b_row), F.col("n_dropped").alias(gone), F.col("keep").alias(keep))
     old = F.coalesce(F.col("text"), F.lit(""))
@@ -185,15 +185,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     out = joined.select(
         *[c for c in docs.columns if c != "text"],
         F.coalesce(F.pandas_udf(_kept, "string")(F.when(F.col(keep).isNotNull(), F.col("text")), F.col(keep)), F.col("text")).alias("text"),
-        (F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("ll_n_lines"),
-        F.coalesce(gone, F.lit(0)).cast("long").alias("ll_n_dropped"),
+        (F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(into[0]),
+        F.coalesce(gone, F.lit(0)).cast("long").alias(into[1]),
     )
-    return out.select(*docs.columns, "ll_n_lines", "ll_n_dropped")
+    return out.select(*docs.columns, *into)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, into: tuple[str, str] = ("ll_n_lines", "ll_n_dropped")) -> DataFrame:
     """docs without the lines that repeat across documents (see apply_bitmaps)."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), into)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, unused
 
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = frozenset(b"moov trak mdia minf stbl dinf edts udta mvex moof traf".split())
@@ -245,7 +245,9 @@ def probe(df: DataFrame, media: str = "media") -> DataFrame:
     def run(files: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([{"tracks": t, "error": e} for t, e in map(probed, files)], columns=["tracks", "error"])
 
-    return df.withColumn("_probed", F.pandas_udf(run, f"tracks {TRACKS}, error string")(F.col(media))).withColumns({"tracks": F.col("_probed.tracks"), "error": F.col("_probed.error")}).drop("_probed")
+    (at,) = unused(df, "probed")
+    out = df.withColumn(at, F.pandas_udf(run, f"tracks {TRACKS}, error string")(F.col(media)))
+    return out.withColumns({"tracks": F.col(f"{at}.tracks"), "error": F.col(f"{at}.error")}).drop(at)
 
 
 def samples_of(media: bytes) -> bytes:

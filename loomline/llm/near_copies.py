@@ -15,15 +15,19 @@ shingles as their signatures differ in bits.
 
 The order has the shingles that many texts share last, by how many, and the rest
 by hash: passages that thousands of documents have in common then lie beyond the
-prefixes of all of them. Which shingles these are is counted over all texts; the
-most frequent FREQUENT of them are sent to the tasks. Any order gives the same
-links, so that bound costs time at most and never a link.
-
-Texts with one set are one entry. A few rounds compare each entry with one other
-of each shared shingle, so that groups of near copies grow together from few
-comparisons; only then are all pairs compared that are not in one group yet. The
-pairs of a crowded shingle are dealt out as pairs of blocks, and pairs that the
-filters reject never become rows.
+prefixes of all of them. Which these are is read off the prefixes themselves: a
+shingle in those of CROWD sets and more goes to the end of the order, and texts
+that had one in their prefix get a new prefix; the others keep theirs, which the
+new order gives just the same. Any order gives the same links, so that the bound
+FREQUENT of shingles sent to the tasks costs time at most and never a link.
+
+Texts with one set are one entry. Only entries that share a prefix shingle with
+another are read again, for their sets and signatures, which are written once. A
+few rounds compare each entry with one other of each shared shingle, so that
+groups of near copies grow together from few comparisons; only then are all pairs
+compared that are not in one group yet. Entries of a crowded shingle are dealt by
+bands of size, since sets of sizes too far apart can't be similar, and by blocks
+within a band; pairs that the filters reject never become rows.
 
 Defined results: words are those of the fingerprints (ASCII space, A-Z in lower
 case); a text of under five words is one shingle; texts without a word are copies
@@ -33,10 +37,11 @@ its rows have none; repeated rows are one; columns of docs may have any names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +49,12 @@ from pyspark.sql import functions as F
 from .common import checkpointed, row_key, texts, written
 from .simhash import components, fingerprint_links, without_copies
 
-SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 3
+SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 2
 #: Differing bits of fingerprints that the trie walk takes, and fingerprints to a node that one task walks: near copies crowd together.
 RADIUS, MAX_NODE = 2, 1024
-#: Shingles in at least SHARED places of the texts count as frequent; at most FREQUENT of them, the most frequent ones.
-SHARED, FREQUENT = 50, 200_000
+#: A shingle in the prefixes of CROWD sets counts as frequent; at most FREQUENT of them are sent to tasks, found in SETTLE rounds.
+CROWD, FREQUENT, SETTLE = 512, 200_000, 2
 _SEED = 42
-_AT_ONCE = 400_000  # hashes that a task holds before it counts them
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -70,7 +74,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def _least(n: int, similarity: float) -> int:
     """ceil(similarity * n), for a similarity whose product is off by rounding only."""
-    return ceil(similarity * n - 1e-9)
+    return math.ceil(similarity * n - 1e-9)
 
 
 def _signature(hashes: np.ndarray, cells: int = CELLS) -> np.ndarray:
@@ -90,32 +94,8 @@ def _simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def frequent_shingles(docs: DataFrame, least: int = SHARED, most: int = FREQUENT) -> np.ndarray:
-    """Hashes of the most frequent shingles, rarest of them first. A task tells what it meets twice and more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(held: list[np.ndarray]) -> pa.RecordBatch:
-            hashes, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["hash", "n"])
-
-        held: list[np.ndarray] = []
-        n_held = 0
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(shingle_set(text.as_py()))
-                n_held += len(held[-1])
-                if n_held > _AT_ONCE:
-                    yield told(held)
-                    held, n_held = [], 0
-        yield told(held)
-
-    counts = texts(docs).select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "hash").limit(most).select("hash").toPandas()
-    return top["hash"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
-
-
 def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarray | None = None) -> DataFrame:
-    """doc_id, row_key, key (of the set), fp (SimHash), n, prefix, sig and wide (signatures) of each row."""
+    """doc_id, row_key, key (of the set), fp (SimHash), n and prefix of each row. frequent: hashes that come last, in this order."""
     frequent = np.empty(0, np.uint64) if frequent is None else frequent
     by_hash = np.argsort(frequent).astype(np.int32)
     common = frequent[by_hash]
@@ -131,42 +111,70 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
         import xxhash
 
         for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
-            keys, fps, ns, prefixes, sigs, wide = [], [], [], [], [], []
+            keys, fps, ns, prefixes = [], [], [], []
             for text in batch.column(2):
                 h = shingle_set(text.as_py())
                 keys.append(xxhash.xxh64_intdigest(h.tobytes(), _SEED))
                 fps.append(_simhash(h))
                 ns.append(len(h))
                 prefixes.append(ordered(h)[: len(h) - _least(len(h), similarity) + 1].view(np.int64))
-                sigs.append(_signature(h))
-                wide.append(_wide(h))
             numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
-            columns = [*numbers, pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int64())) for x in (sigs, wide))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_key", "key", "fp", "n", "prefix", "sig", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "row_key", "key", "fp", "n", "prefix"])
 
     source = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>, sig array<long>, wide array<long>")
+    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>")
+
+
+def texts_of(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """key and text of entries (key, row_key, doc_id), each named by one row of docs; a row that repeats comes as often as it does. entries should be written, so that Spark knows its size."""
+    source = docs.select(F.col("doc_id").cast("long").alias("s_id"), row_key().alias("s_key"), "text")
+    named = entries.select("key", F.col("row_key").alias("o_key"), F.col("doc_id").alias("o_id"))
+    return source.join(named, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "s_id", "text")
+
+
+def settled(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, most: int = FREQUENT, rounds: int = SETTLE) -> DataFrame:
+    """entries (key, n, fp, prefix, row_key, doc_id) with prefixes in an order that has the crowded shingles last."""
+    known = pd.DataFrame({"hash": pd.Series(dtype="int64"), "count": pd.Series(dtype="int64")})
+    for _ in range(rounds):
+        sizes = entries.select(F.explode("prefix").alias("hash")).groupBy("hash").count().filter(F.col("count") >= crowd)
+        found = sizes.orderBy(F.desc("count"), "hash").limit(most).toPandas()
+        new = found[~found["hash"].isin(known["hash"])].head(most - len(known))
+        if not len(new):
+            break
+        known = pd.concat([known, new]).sort_values(["count", "hash"])
+        frequent = known["hash"].to_numpy(np.int64).view(np.uint64)
+        crowded = entries.sparkSession.createDataFrame(pa.table({"hash": new["hash"].to_numpy(np.int64)}))
+        # As many rows as there are crowded shingles in prefixes; a key counts once.
+        keys = entries.select("key", F.explode("prefix").alias("hash")).join(F.broadcast(crowded), "hash").select("key").distinct()
+        again = written(entries.join(keys, "key").select("key", "row_key", "doc_id"), "crowded-entries")
+        fresh = sketched(texts_of(docs, again).select(F.col("s_id").alias("doc_id"), "text"), similarity, frequent).groupBy("key").agg(F.first("prefix").alias("fresh"))
+        entries = written(entries.join(fresh, "key", "left").withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "near-entries")
+    return entries
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """key, hashes, sig and wide (signatures) of rows (key, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):  # sets of long texts are as large as these
                 part = batch.slice(at, 100)
-                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
+                sets = [shingle_set(t.as_py()) for t in part.column(1)]
+                lists = ([h.view(np.int64) for h in sets], [_signature(h) for h in sets], [_wide(h) for h in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["key", "hashes", "sig", "wide"])
 
-    return texts(docs).select("key", "text").mapInArrow(run, "key long, hashes array<long>")
+    return texts(docs).select("key", "text").mapInArrow(run, "key long, hashes array<long>, sig array<long>, wide array<long>")
 
 
 def _block_pairs(similarity: float):
     far = (1 - similarity) / (1 + similarity)  # of all shingles of two sets, so many may be in one only
+    deal = ("hash", "band", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (hash, x, y, side, key, n, comp, sig) come sorted: those of a pair of blocks follow one another."""
+        """Rows (hash, band, x, y, side, key, n, comp, home, sig) come sorted: those of a pair of blocks follow one another. Two guests of a band meet in their own."""
 
         def pairs(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            task = np.stack([t[c] for c in ("hash", "x", "y")], 1)
+            task = np.stack([t[c] for c in deal], 1)
             starts = np.concatenate([[0], np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1, [len(task)]])
             for lo, hi in zip(starts, starts[1:]):
                 own = t["x"][lo] == t["y"][lo]
@@ -174,7 +182,7 @@ def _block_pairs(similarity: float):
                 for i in range(lo, hi if own else mid):
                     s = slice(i + 1, hi) if own else slice(mid, hi)
                     n, m = t["n"][i], t["n"][s]
-                    j = np.flatnonzero((t["comp"][s] != t["comp"][i]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6))
+                    j = np.flatnonzero((t["comp"][s] != t["comp"][i]) & ((t["home"][s] | t["home"][i]) == 1) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6))
                     if len(j):
                         j += s.start
                         j = j[np.bitwise_count(t["sig"][j] ^ t["sig"][i]).sum(axis=1, dtype=np.int64) <= far * (n + t["n"][j]) + 1e-6]
@@ -182,7 +190,7 @@ def _block_pairs(similarity: float):
                         a, b = np.full(len(j), t["key"][i]), t["key"][j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        names, held = ("hash", "x", "y", "side", "key", "n", "comp"), None
+        names, held = (*deal, "side", "key", "n", "comp", "home"), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -190,7 +198,7 @@ def _block_pairs(similarity: float):
             t["sig"] = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)  # unsigned: else bits of the absolute value count
             if held is not None:
                 t = {c: np.concatenate([held[c], t[c]]) for c in t}
-            last = np.flatnonzero(np.any([t[c] != t[c][-1] for c in ("hash", "x", "y")], axis=0))
+            last = np.flatnonzero(np.any([t[c] != t[c][-1] for c in deal], axis=0))
             cut = last[-1] + 1 if len(last) else 0  # the last pair of blocks may go on in the next batch
             held = {c: v[cut:] for c, v in t.items()}
             if cut:
@@ -214,77 +222,79 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def groups(docs: DataFrame, table: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """key and comp (the least key of all that links reach) of the keys of table (as `sketched`) that have a candidate at all; the others are groups of their own."""
-    prefixes = table.select("key", F.explode("prefix").alias("hash"))
-    shared = prefixes.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("hash")
-    rows = written(prefixes.join(shared, "hash").distinct(), "shared-shingles")
+def groups(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """key and comp (the least key of all that links reach) of the keys of entries (as `settled`) that have a candidate at all; the others are groups of their own."""
+    prefixes = entries.select("key", F.explode("prefix").alias("hash"))
+    shared = prefixes.groupBy("hash").agg(F.count("*").alias("sets")).filter("sets > 1").select("hash")
+    rows = written(prefixes.join(shared, "hash"), "shared-shingles")
 
     # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
-    first = written(table.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
+    first = written(entries.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
     near = fingerprint_links(first.select("fp"), radius, MAX_NODE)
     a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(k)) for c, k in (("u", "a"), ("v", "b")))
-    same = table.select("fp", "key").join(first.filter("first <> last"), "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    same = entries.select("fp", "key").join(first.filter("first <> last"), "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
 
     own = rows.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    entries = written(table.join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.min(F.struct("row_key", "doc_id")).alias("of")), "near-entries")
-    of = entries.select("key", F.col("of.row_key").alias("o_key"), F.col("of.doc_id").alias("o_id"))
-    entries = entries.select("key", "n", "sig", "wide")
-    source = docs.select(F.col("doc_id").cast("long").alias("s_id"), row_key().alias("s_key"), "text")
+    wanted = written(entries.select("key", "n", "row_key", "doc_id").join(own, "key"), "near-wanted")
+    sets = written(_sets(texts_of(docs, wanted)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("hashes", "sig", "wide")]), "near-sets")
+    known = wanted.select("key", "n").join(sets.select("key", "sig", "wide"), "key")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose whole sets, made anew of one text of each entry, are similar enough."""
+        """Pairs (a, b) whose whole sets are similar enough."""
         pairs = written(pairs, "near-candidates")
         if pairs.isEmpty():
             return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        # Written, so that Spark knows its size before it decides whether texts must be shuffled.
-        keys = written(of.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key"), "near-wanted")
-        wanted = source.join(keys, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "text")
-        sets = written(_sets(wanted).dropDuplicates(["key"]), "near-sets")
-        a, b = (sets.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+        # Written, so that Spark knows its size before it decides whether sets must be shuffled.
+        keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
+        some = sets.join(keys, "key").select("key", "hashes")
+        a, b = (some.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # The first round also takes what the trie walk found.
-    first_pairs, found, comp = close, None, entries.select("key", F.col("key").alias("comp"))
+    comp = wanted.select("key", F.col("key").alias("comp"))
     for r in range(ROUNDS):
         # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
         now = rows.join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
-        pairs = pairs if found is not None else pairs.unionByName(first_pairs)
-        new = written(verified(_possible(pairs, entries, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))), "near-links")
-        if found is not None and new.isEmpty():
+        pairs = pairs if r else pairs.unionByName(close)
+        new = written(verified(_possible(pairs, known, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))), "near-links")
+        if new.isEmpty():
             break
-        found = new if found is None else found.unionByName(new)
-        comp = written(_grouped(entries, found), "near-groups")
-
-    now = rows.join(comp, "key")
-    sizes = now.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    now = now.join(sizes.select("hash", F.ceil(F.col("size") / block).cast("long").alias("k")), "hash").withColumn("own", F.expr("pmod(xxhash64(key), k)"))
-    now = now.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
-    now = now.join(entries, "key").select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "key", "n", "comp", "sig")
-    dealt = now.repartition("hash", "x", "y").sortWithinPartitions("hash", "x", "y", "side", "key")
-    pairs = written(_possible(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), entries, similarity).select("a", "b"), "near-pairs")
-    if pairs.isEmpty():
-        return comp
+        comp = _grouped(comp, new)
+
+    # Sets whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
+    now = rows.join(comp, "key").join(wanted.select("key", "n"), "key")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / (-math.log(similarity) * (1 + 1e-9)))
+    now = now.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("home")), F.struct((band + 1).alias("band"), F.lit(0).cast("long").alias("home"))))).select("hash", "key", "comp", "n", "at.*")
+    sizes = now.groupBy("hash", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("size")).filter("lo <> hi and any = 1")
+    now = now.join(sizes.select("hash", "band", F.ceil(F.col("size") / block).cast("long").alias("k")), ["hash", "band"]).withColumn("own", F.expr("pmod(xxhash64(key), k)"))
+    now = now.join(sets.select("key", "sig"), "key").withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
+    now = now.select("hash", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "key", "n", "comp", "home", "sig")
+    dealt = now.repartition("hash", "band", "x", "y").sortWithinPartitions("hash", "band", "x", "y", "side", "key")
+    pairs = _possible(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), known, similarity).select("a", "b")
     last = written(verified(pairs), "near-links")
-    return comp if last.isEmpty() else written(_grouped(entries, found.unionByName(last)), "near-groups")
+    return comp if last.isEmpty() else _grouped(comp, last)
 
 
-def _grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
-    comp = components(found)
-    return entries.select("key").join(comp, entries.key == comp.node, "left").select("key", F.coalesce("root", "key").alias("comp"))
+def _grouped(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (key, comp) after links (u, v) between keys: only the groups that a link joins go through the rounds."""
+    u, v = (comp.select(F.col("key").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "uv")
+    joined = links.join(u, "u").join(v, "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v"))
+    roots = components(joined)
+    return written(comp.join(roots, comp["comp"] == roots["node"], "left").select("key", F.coalesce("root", "comp").alias("comp")), "near-groups")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """doc_id, row_key, kept_id and kept_key (the row that stays of its group) for every row of docs."""
-    table = written(sketched(docs, similarity, frequent_shingles(docs)), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    firsts = written(table.groupBy("key").agg(first.alias("first")), "near-firsts")
-    comp = groups(docs, table, similarity, block)
-    rooted = checkpointed(firsts.join(comp, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp")))
+    table = written(sketched(docs, similarity), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    entries = table.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    entries = written(entries.select("key", "n", "fp", "prefix", "first.*"), "near-entries")
+    comp = groups(docs, settled(docs, entries, similarity, crowd), similarity, block)
+    rooted = checkpointed(entries.join(comp, "key", "left").select("key", F.struct("no_id", "doc_id", "row_key").alias("first"), F.coalesce("comp", "key").alias("comp")))
     least = rooted.groupBy("comp").agg(F.min("first").alias("least"))
     of = rooted.join(least, "comp").select("key", "least")
     return table.select("doc_id", "row_key", "key").join(of, "key").select("doc_id", "row_key", F.col("least.doc_id").alias("kept_id"), F.col("least.row_key").alias("kept_key"))
