@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import decontam, langid, line_dedup, near_copies, packing
-from loomline.llm.common import written
+from loomline.llm.common import unused, written
 
 #: Similarity of a text's n-gram ranks to the nearest language's, under which it is in none of them (real texts of a learnt language have 0.35 and more).
 LEAST_SCORE = 0.25
@@ -24,16 +24,17 @@ LEAST_SCORE = 0.25
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like one of the languages learnt stay, with that language in `lang`; text without a letter, or unlike all profiles, goes."""
-    found = langid.identify(docs)
-    found = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    pred, score = unused(docs, "lang_pred", "score")
+    found = langid.identify(docs, into=(pred, score))
+    found = found.filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
     if "lang" in docs.columns:
-        found = found.withColumn("lang", F.col("lang_pred"))
+        found = found.withColumn("lang", F.col(pred))
     return found.select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five or more documents share stay in one of them; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs, into=tuple(unused(docs, "ll_n_lines", "ll_n_dropped"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
