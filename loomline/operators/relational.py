@@ -57,8 +57,9 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def appended_once(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old and the rows of new whose key old lacks."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates([key]).select(*old.columns))
+    """old and the rows of new whose key old lacks; of new ones with the same key any one is, and those without a key all are."""
+    fresh = new.join(old.select(key), key, "left_anti").select(*old.columns)
+    return old.unionByName(fresh.filter(F.col(key).isNotNull()).dropDuplicates([key])).unionByName(fresh.filter(F.col(key).isNull()))
 
 
 def created(df: DataFrame, tenant_id: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import relational as R
 from ..operators.ranks import Ranked
+from ..operators.shared import shared_path
+from ..sources.store import Store
 from ..sources.tables import table
 from .catalogue import query
 
@@ -119,6 +121,17 @@ def vector_upsert(spark, sf):
     return R.upserted(e.withColumn("origin", F.lit("old")), new.withColumn("origin", F.lit("new")), "vec_id")
 
 
+@query("select vec_id, label, case when label in (1, 2) then 'new' else 'old' end as origin from embeddings union all select vec_id + 1000000, label, 'new' from embeddings where label in (1, 2)")
+def vector_upsert_stored(spark, sf):
+    """The same through a stored table, whose new rows become visible at once."""
+    store = Store(spark, shared_path(spark, "store"), {"vectors": ("vec_id", "label")}, 8)
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.lit("old").alias("origin"))
+    store.upsert({"vectors": e})
+    new = e.filter(F.col("label").isin(1, 2)).withColumn("origin", F.lit("new"))
+    store.upsert({"vectors": new.unionByName(new.withColumn("vec_id", F.col("vec_id") + 1000000))})
+    return store.read("vectors")
+
+
 @query("select doc_id, source from documents union all select doc_id + 10000000, 'again' from documents where lang = 'fr'")
 def chunk_insert_once(spark, sf):
     """Only rows whose id isn't there yet are appended."""
