@@ -117,7 +117,8 @@ def predict(docs: DataFrame, profiles: pd.DataFrame, size: int = PROFILE, longes
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
-    got = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
+    # Marked so, a filter on the result isn't pushed below it, which would make every prediction twice.
+    got = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(F.col("text"))
     (at,) = unused(docs, "prediction")
     kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in into}]
     return texts(docs).withColumn(at, got).select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{at}`.lang_pred").alias(into[0]), F.col(f"`{at}`.score").alias(into[1]))

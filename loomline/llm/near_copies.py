@@ -125,14 +125,15 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
     return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>")
 
 
-def texts_of(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """key and text of entries (key, row_key, doc_id), each named by one row of docs; a row that repeats comes as often as it does. entries should be written, so that Spark knows its size."""
+def texts_of(docs: DataFrame, entries: DataFrame, repeated: bool) -> DataFrame:
+    """key, s_id and text of entries (key, row_key, doc_id), each named by a row of docs. repeated: whether docs has rows twice. entries should be written, so that Spark knows its size."""
     source = docs.select(F.col("doc_id").cast("long").alias("s_id"), row_key().alias("s_key"), "text")
     named = entries.select("key", F.col("row_key").alias("o_key"), F.col("doc_id").alias("o_id"))
-    return source.join(named, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "s_id", "text")
+    out = source.join(named, (F.col("s_key") == F.col("o_key")) & F.col("s_id").eqNullSafe(F.col("o_id"))).select("key", "s_id", "text")
+    return out.dropDuplicates(["key"]) if repeated else out
 
 
-def settled(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD, most: int = FREQUENT, rounds: int = SETTLE) -> DataFrame:
+def settled(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, crowd: int = CROWD, most: int = FREQUENT, rounds: int = SETTLE) -> DataFrame:
     """entries (key, n, fp, prefix, row_key, doc_id) with prefixes in an order that has the crowded shingles last."""
     known = pd.DataFrame({"hash": pd.Series(dtype="int64"), "count": pd.Series(dtype="int64")})
     for _ in range(rounds):
@@ -147,13 +148,13 @@ def settled(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY,
         # As many rows as there are crowded shingles in prefixes; a key counts once.
         keys = entries.select("key", F.explode("prefix").alias("hash")).join(F.broadcast(crowded), "hash").select("key").distinct()
         again = written(entries.join(keys, "key").select("key", "row_key", "doc_id"), "crowded-entries")
-        fresh = sketched(texts_of(docs, again).select(F.col("s_id").alias("doc_id"), "text"), similarity, frequent).groupBy("key").agg(F.first("prefix").alias("fresh"))
+        fresh = sketched(texts_of(docs, again, repeated).select(F.col("s_id").alias("doc_id"), "text"), similarity, frequent).select("key", F.col("prefix").alias("fresh"))
         entries = written(entries.join(fresh, "key", "left").withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "near-entries")
     return entries
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """key, hashes, sig and wide (signatures) of rows (key, text)."""
+    """key, n, hashes, sig and wide (signatures) of rows (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +162,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 100)
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
                 lists = ([h.view(np.int64) for h in sets], [_signature(h) for h in sets], [_wide(h) for h in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["key", "hashes", "sig", "wide"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["key", "n", "hashes", "sig", "wide"])
 
-    return texts(docs).select("key", "text").mapInArrow(run, "key long, hashes array<long>, sig array<long>, wide array<long>")
+    return texts(docs).select("key", "text").mapInArrow(run, "key long, n long, hashes array<long>, sig array<long>, wide array<long>")
 
 
 def _block_pairs(similarity: float):
@@ -222,7 +223,7 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def groups(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """key and comp (the least key of all that links reach) of the keys of entries (as `settled`) that have a candidate at all; the others are groups of their own."""
     prefixes = entries.select("key", F.explode("prefix").alias("hash"))
     shared = prefixes.groupBy("hash").agg(F.count("*").alias("sets")).filter("sets > 1").select("hash")
@@ -236,9 +237,9 @@ def groups(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY,
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
 
     own = rows.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    wanted = written(entries.select("key", "n", "row_key", "doc_id").join(own, "key"), "near-wanted")
-    sets = written(_sets(texts_of(docs, wanted)).groupBy("key").agg(*[F.first(c).alias(c) for c in ("hashes", "sig", "wide")]), "near-sets")
-    known = wanted.select("key", "n").join(sets.select("key", "sig", "wide"), "key")
+    wanted = written(entries.select("key", "row_key", "doc_id").join(own, "key"), "near-wanted")
+    sets = written(_sets(texts_of(docs, wanted, repeated)), "near-sets")
+    known = sets.select("key", "n", "wide")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets are similar enough."""
@@ -253,7 +254,7 @@ def groups(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY,
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # The first round also takes what the trie walk found.
-    comp = wanted.select("key", F.col("key").alias("comp"))
+    comp = sets.select("key", F.col("key").alias("comp"))
     for r in range(ROUNDS):
         # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
         now = rows.join(comp, "key")
@@ -266,7 +267,7 @@ def groups(docs: DataFrame, entries: DataFrame, similarity: float = SIMILARITY,
         comp = _grouped(comp, new)
 
     # Sets whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
-    now = rows.join(comp, "key").join(wanted.select("key", "n"), "key")
+    now = rows.join(comp, "key").join(sets.select("key", "n"), "key")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (-math.log(similarity) * (1 + 1e-9)))
     now = now.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("home")), F.struct((band + 1).alias("band"), F.lit(0).cast("long").alias("home"))))).select("hash", "key", "comp", "n", "at.*")
     sizes = now.groupBy("hash", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("size")).filter("lo <> hi and any = 1")
@@ -293,7 +294,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
     entries = table.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     entries = written(entries.select("key", "n", "fp", "prefix", "first.*"), "near-entries")
-    comp = groups(docs, settled(docs, entries, similarity, crowd), similarity, block)
+    repeated = not table.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
+    comp = groups(docs, settled(docs, entries, repeated, similarity, crowd), repeated, similarity, block)
     rooted = checkpointed(entries.join(comp, "key", "left").select("key", F.struct("no_id", "doc_id", "row_key").alias("first"), F.coalesce("comp", "key").alias("comp")))
     least = rooted.groupBy("comp").agg(F.min("first").alias("least"))
     of = rooted.join(least, "comp").select("key", "least")
