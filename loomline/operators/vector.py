@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 BLOCK = 2048
 #: Queries that are sent to all tasks as they are (their number is counted first), and numbers that they may hold (32 MB).
 QUERIES, NUMBERS = 2048, 4_000_000
@@ -33,10 +35,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
 
     Scores are rounded before they are compared. Vectors without length match nothing.
     """
-    few = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    size = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("numbers")).first()
-    if size["n"] <= QUERIES and size["numbers"] <= NUMBERS:
-        part = _of_few(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), few.toPandas(), k, threshold, exclude_self, digits)
+    # Read once, and no more of it than one block may hold: whatever makes the queries isn't asked twice.
+    few = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).limit(QUERIES + 1).toPandas()
+    if len(few) <= QUERIES and sum(len(x) for x in few["v"] if x is not None) <= NUMBERS:
+        part = _of_few(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), few, k, threshold, exclude_self, digits)
         return _best(part, k)
     v, n_v = _blocks(vectors, key, vector, block)
     q, n_q = _blocks(queries, key, vector, block)
@@ -176,6 +178,7 @@ def search(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, question
     """
     if not 1 <= top_k_ <= 50 or not 0 <= score_threshold <= 1:
         raise ValueError("top_k from 1 to 50, score_threshold from 0 to 1")
-    embedded = embed(questions.select(F.col("query_id").alias("vec_id"), "question"), "question", embedder or hashing_embedder(), 64)
+    # Written, so that each question is embedded once, however many there are.
+    embedded = saved(embed(questions.select(F.col("query_id").alias("vec_id"), "question"), "question", embedder or hashing_embedder(), 64), "questions")
     hits = top_k(vectors, embedded, k=top_k_, threshold=score_threshold, exclude_self=False)
     return with_context(hits, chunks, documents, strict)

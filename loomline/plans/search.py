@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import ann, chunking, ingest, vector
-from ..operators.shared import shared_path
+from ..operators import ann, chunking, ingest, vector, workflow
+from ..operators.shared import saved, shared_path
 from ..sources.tables import table
 from .catalogue import query
 
@@ -141,16 +141,53 @@ def _embedded(name: str, key: str, source: str) -> str:
   {name} as (select {key}, i, (n / sqrt(sum(n * n) over (partition by {key})))::float::double as a from {name}_n where n <> 0)"""
 
 
-@query(_CHUNKS + ", base as (select doc_id, chunk_index, content, content as x from chunks join documents using (doc_id) where source = 'src1'), asked as (select item_id, text as x from benchmark)," + _embedded("v", "doc_id, chunk_index", "base") + "," + _embedded("q", "item_id", "asked") + """,
+#: SQL up to the hits of each benchmark item in the base src1.
+_FOUND = _CHUNKS + ", base as (select doc_id, chunk_index, content, content as x from chunks join documents using (doc_id) where source = 'src1'), asked as (select item_id, text as x from benchmark)," + _embedded("v", "doc_id, chunk_index", "base") + "," + _embedded("q", "item_id", "asked") + """,
   s as (select item_id, doc_id, chunk_index, round(sum(v.a * q.a) / any_value(nv) / any_value(nq), 6) as score
     from (select *, sqrt(sum(a * a) over (partition by doc_id, chunk_index)) as nv from v) v join (select *, sqrt(sum(a * a) over (partition by item_id)) as nq from q) q using (i) group by all),
-  hits as (select *, row_number() over (partition by item_id order by score desc, doc_id * 1000 + chunk_index) as rank from s where score >= 0.3 qualify rank <= 5)
+  hits as (select *, row_number() over (partition by item_id order by score desc, doc_id * 1000 + chunk_index) as rank from s where score >= 0.3 qualify rank <= 5)"""
+
+
+def _base(spark, sf):
+    """What `vector.search` needs of the base src1: its vectors, chunks and documents."""
+    d = table(spark, sf, "documents").filter("source = 'src1'").select("doc_id", "text", "lang", F.lit(None).cast("string").alias("error"))
+    stored = saved(ingest.vectors(ingest.processed(d)).withColumn("vec_id", F.col("doc_id") * 1000 + F.col("chunk_index")), "base")
+    documents = d.select("doc_id", F.col("lang").alias("doc_name"), F.lit(False).alias("deleted"))
+    return stored.select("vec_id", "embedding"), stored.select("vec_id", "doc_id", "chunk_index", "content"), documents
+
+
+@query(_FOUND + """
   select item_id as query_id, rank::int as rank, round(score, 4) as score, doc_id, lang as doc_name, chunk_index, md5(content) as digest from hits join base using (doc_id, chunk_index) join documents using (doc_id)""")
 def knowledge_search(spark, sf):
     """Questions (the benchmark's) in one base: embedding, best chunks by cosine, their text and document."""
-    d = table(spark, sf, "documents").filter("source = 'src1'").select("doc_id", "text", "lang", F.lit(None).cast("string").alias("error"))
-    stored = ingest.vectors(ingest.processed(d)).withColumn("vec_id", F.col("doc_id") * 1000 + F.col("chunk_index"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    documents = d.select("doc_id", F.col("lang").alias("doc_name"), F.lit(False).alias("deleted"))
-    found = vector.search(stored.select("vec_id", "embedding"), stored.select("vec_id", "doc_id", "chunk_index", "content"), documents, asked, score_threshold=0.3)
+    found = vector.search(*_base(spark, sf), asked, score_threshold=0.3)
     return found.select("query_id", "rank", F.round("score", 4).alias("score"), "doc_id", "doc_name", "chunk_index", F.md5("content").alias("digest"))
+
+
+#: A workflow: start, a condition, then retrieval or a loop whose body adds to a variable, then the end.
+_NODES = [("start", "start", None, None, None), ("ask", "condition", "go", "==", "0"), ("find", "knowledge", "context", None, "{{question}}"), ("again", "loop", None, None, "{{times}}"), ("add", "variable", "acc", None, "{{acc}}x"), ("end", "end", None, None, None)]
+_EDGES = [("start", "ask", None), ("ask", "find", "true"), ("ask", "again", "false"), ("again", "add", "body"), ("add", "again", None), ("again", "end", "done"), ("find", "end", None)]
+
+
+@query(_FOUND.replace("with", "with recursive", 1) + """,
+  context as (select item_id, string_agg(content, chr(10) order by rank) as context from hits join base using (doc_id, chunk_index) group by item_id),
+  t(run, node, acc, i, steps) as (
+    select item_id, 'start', '', 0, 0 from benchmark union all
+    select run, case node when 'start' then 'ask' when 'ask' then if(run % 3 = 0, 'find', 'again') when 'again' then if(i < run % 5, 'add', 'end') when 'add' then 'again' else 'end' end,
+      if(node = 'add', acc || 'x', acc), if(node = 'again' and i < run % 5, i + 1, i), steps + 1 from t where node <> 'end')
+  select run as run_id, acc, if(run % 3 = 0, md5(coalesce(context, '')), '') as context, steps::int as steps, 'success' as status from t left join context on item_id = run and run % 3 = 0 where node = 'end'""")
+def workflow_runs(spark, sf):
+    """Documented only: a workflow with a branch, a loop and retrieval, over all its runs at once (a run per benchmark item)."""
+    b = table(spark, sf, "benchmark")
+    given = F.create_map(F.lit("question"), F.col("text"), F.lit("go"), (F.col("item_id") % 3).cast("string"), F.lit("times"), (F.col("item_id") % 5).cast("string"))
+    nodes, edges = spark.createDataFrame(_NODES, "id string, kind string, name string, test string, value string"), spark.createDataFrame(_EDGES, "src string, dst string, handle string")
+    base = _base(spark, sf)
+
+    def retrieve(questions):
+        hits = vector.search(*base, questions, score_threshold=0.3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("x"))
+        return hits.select("query_id", F.array_join(F.transform("x", lambda x: x["content"]), "\n").alias("context"))
+
+    done = workflow.executed(b.select(F.col("item_id").alias("run_id"), given.alias("vars")), nodes, edges, retrieve)
+    var = lambda k: F.element_at("vars", k)
+    return done.select("run_id", F.coalesce(var("acc"), F.lit("")).alias("acc"), F.coalesce(F.md5(var("context")), F.lit("")).alias("context"), "steps", "status")
