@@ -10,7 +10,7 @@ none: with the shingles of each text in one order, two sets that are this simila
 share one of the first n - ceil(0.8 n) + 1 shingles of each. Sets that share such
 a shingle are candidates if their sizes allow the similarity and their signatures
 do: a signature is the parity of the hashes in each of 1024 cells (in as many as
-the set has shingles, for long texts), and two sets differ in at least as many
+the set has shingles, for long texts; folded to 1024 where blocks meet), and two sets differ in at least as many
 shingles as their signatures differ in bits.
 
 The order has the shingles that many texts share last, by how many, and the rest
@@ -21,9 +21,9 @@ that had one in their prefix get a new prefix; the others keep theirs, which the
 new order gives just the same. Any order gives the same links, so that the bound
 FREQUENT of shingles sent to the tasks costs time at most and never a link.
 
-Texts with one set are one entry. Only entries that share a prefix shingle with
-another are read again, for their sets and signatures, which are written once. A
-few rounds compare each entry with one other of each shared shingle, so that
+Texts with one set are one entry. Only of entries that share a prefix shingle with
+another are signatures read, and only of pairs that these allow the texts. A round
+or two compare each entry with one other of each shared shingle, so that
 groups of near copies grow together from few comparisons; only then are all pairs
 compared that are not in one group yet. Entries of a crowded shingle are dealt by
 bands of size, since sets of sizes too far apart can't be similar, and by blocks
@@ -77,16 +77,13 @@ def _least(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def _signature(hashes: np.ndarray, cells: int = CELLS) -> np.ndarray:
+def _signature(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the hashes in each cell; as many cells as the set has shingles, rounded up to a power of two, CELLS at least."""
+    cells = max(CELLS, 1 << (max(len(hashes), 1) - 1).bit_length())
     odd = np.bincount((hashes % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _wide(hashes: np.ndarray) -> np.ndarray:
-    """The signature over as many cells as the set has shingles, rounded up to a power of two."""
-    return _signature(hashes, max(CELLS, 1 << (max(len(hashes), 1) - 1).bit_length()))
-
-
 def _simhash(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 100_000):
@@ -95,7 +92,7 @@ def _simhash(hashes: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarray | None = None) -> DataFrame:
-    """doc_id, row_key, key (of the set), fp (SimHash), n and prefix of each row. frequent: hashes that come last, in this order."""
+    """doc_id, row_key, key (of the set), fp (SimHash), n, prefix and wide (signature) of each row. frequent: hashes that come last, in this order."""
     frequent = np.empty(0, np.uint64) if frequent is None else frequent
     by_hash = np.argsort(frequent).astype(np.int32)
     common = frequent[by_hash]
@@ -111,18 +108,20 @@ def sketched(docs: DataFrame, similarity: float = SIMILARITY, frequent: np.ndarr
         import xxhash
 
         for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
-            keys, fps, ns, prefixes = [], [], [], []
+            keys, fps, ns, prefixes, wide = [], [], [], [], []
             for text in batch.column(2):
                 h = shingle_set(text.as_py())
                 keys.append(xxhash.xxh64_intdigest(h.tobytes(), _SEED))
                 fps.append(_simhash(h))
                 ns.append(len(h))
                 prefixes.append(ordered(h)[: len(h) - _least(len(h), similarity) + 1].view(np.int64))
+                wide.append(_signature(h))
             numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "row_key", "key", "fp", "n", "prefix"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, wide)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(ns, pa.int64()), *lists], names=["doc_id", "row_key", "key", "fp", "n", "prefix", "wide"])
 
     source = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, row_key long, key long, fp long, n long, prefix array<long>, wide array<long>")
 
 
 def texts_of(docs: DataFrame, entries: DataFrame, repeated: bool) -> DataFrame:
@@ -154,17 +153,16 @@ def settled(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: flo
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """key, n, hashes, sig and wide (signatures) of rows (key, text)."""
+    """key and hashes of rows (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):  # sets of long texts are as large as these
                 part = batch.slice(at, 100)
-                sets = [shingle_set(t.as_py()) for t in part.column(1)]
-                lists = ([h.view(np.int64) for h in sets], [_signature(h) for h in sets], [_wide(h) for h in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["key", "n", "hashes", "sig", "wide"])
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
-    return texts(docs).select("key", "text").mapInArrow(run, "key long, n long, hashes array<long>, sig array<long>, wide array<long>")
+    return texts(docs).select("key", "text").mapInArrow(run, "key long, hashes array<long>")
 
 
 def _block_pairs(similarity: float):
@@ -223,8 +221,8 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def groups(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """key and comp (the least key of all that links reach) of the keys of entries (as `settled`) that have a candidate at all; the others are groups of their own."""
+def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """key and comp (the least key of all that links reach) of the keys of entries (as `settled`) that have a candidate at all; the others are groups of their own. table: as `sketched`."""
     prefixes = entries.select("key", F.explode("prefix").alias("hash"))
     shared = prefixes.groupBy("hash").agg(F.count("*").alias("sets")).filter("sets > 1").select("hash")
     rows = written(prefixes.join(shared, "hash"), "shared-shingles")
@@ -237,25 +235,26 @@ def groups(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: floa
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
 
     own = rows.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    wanted = written(entries.select("key", "row_key", "doc_id").join(own, "key"), "near-wanted")
-    sets = written(_sets(texts_of(docs, wanted, repeated)), "near-sets")
-    known = sets.select("key", "n", "wide")
+    known = table.select("key", "n", "wide").join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    known = written(known, "near-known")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets are similar enough."""
         pairs = written(pairs, "near-candidates")
         if pairs.isEmpty():
             return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        # Written, so that Spark knows its size before it decides whether sets must be shuffled.
-        keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
-        some = sets.join(keys, "key").select("key", "hashes")
-        a, b = (some.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+        # Written, so that Spark knows its size before it decides whether texts must be shuffled.
+        keys = written(entries.select("key", "row_key", "doc_id").join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key"), "near-keys")
+        sets = written(_sets(texts_of(docs, keys, repeated)), "near-sets")
+        a, b = (sets.select(F.col("key").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # The first round also takes what the trie walk found.
-    comp = sets.select("key", F.col("key").alias("comp"))
+    comp = known.select("key", F.col("key").alias("comp"))
     for r in range(ROUNDS):
+        if r and _few_pairs_left(rows, comp):
+            break
         # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
         now = rows.join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
@@ -267,12 +266,14 @@ def groups(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: floa
         comp = _grouped(comp, new)
 
     # Sets whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
-    now = rows.join(comp, "key").join(sets.select("key", "n"), "key")
+    now = rows.join(comp, "key").join(known.select("key", "n"), "key")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (-math.log(similarity) * (1 + 1e-9)))
     now = now.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("home")), F.struct((band + 1).alias("band"), F.lit(0).cast("long").alias("home"))))).select("hash", "key", "comp", "n", "at.*")
     sizes = now.groupBy("hash", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("size")).filter("lo <> hi and any = 1")
     now = now.join(sizes.select("hash", "band", F.ceil(F.col("size") / block).cast("long").alias("k")), ["hash", "band"]).withColumn("own", F.expr("pmod(xxhash64(key), k)"))
-    now = now.join(sets.select("key", "sig"), "key").withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
+    # Cells that are the same but for a power of two fold into one: 1024 for all sets.
+    folded = F.expr(f"transform(sequence(0, {CELLS // 64 - 1}), i -> aggregate(sequence(0, cast(size(wide) / {CELLS // 64} as int) - 1), 0L, (acc, j) -> acc ^ wide[j * {CELLS // 64} + i]))")
+    now = now.join(known.select("key", folded.alias("sig")), "key").withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
     now = now.select("hash", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "key", "n", "comp", "home", "sig")
     dealt = now.repartition("hash", "band", "x", "y").sortWithinPartitions("hash", "band", "x", "y", "side", "key")
     pairs = _possible(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), known, similarity).select("a", "b")
@@ -280,6 +281,13 @@ def groups(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: floa
     return comp if last.isEmpty() else _grouped(comp, last)
 
 
+def _few_pairs_left(rows: DataFrame, comp: DataFrame, most: int = 64) -> bool:
+    """Whether shingles whose entries aren't all in one group yet have few pairs for each of these."""
+    sizes = rows.join(comp, "key").groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").cast("double").alias("size")).filter("lo <> hi")
+    left = sizes.agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("entries"), F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0.0)).alias("pairs")).first()
+    return left["pairs"] <= most * left["entries"]
+
+
 def _grouped(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (key, comp) after links (u, v) between keys: only the groups that a link joins go through the rounds."""
     u, v = (comp.select(F.col("key").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "uv")
@@ -295,7 +303,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     entries = table.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     entries = written(entries.select("key", "n", "fp", "prefix", "first.*"), "near-entries")
     repeated = not table.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
-    comp = groups(docs, settled(docs, entries, repeated, similarity, crowd), repeated, similarity, block)
+    comp = groups(docs, table, settled(docs, entries, repeated, similarity, crowd), repeated, similarity, block)
     rooted = checkpointed(entries.join(comp, "key", "left").select("key", F.struct("no_id", "doc_id", "row_key").alias("first"), F.coalesce("comp", "key").alias("comp")))
     least = rooted.groupBy("comp").agg(F.min("first").alias("least"))
     of = rooted.join(least, "comp").select("key", "least")
