@@ -38,14 +38,6 @@ def saved_if_changed(drafts: DataFrame, versions: DataFrame, key: str) -> DataFr
     return drafts.join(newest, key, "left").select(key, changed.alias("saved"), (F.coalesce("v.version_number", F.lit(0)) + changed.cast("int")).cast("long").alias("version"))
 
 
-def version_diff(versions: DataFrame, key: str) -> DataFrame:
-    """Lines that each version adds to the one before it, and those it drops."""
-    lines = F.split("content", "\n")
-    before = F.lag("lines").over(Window.partitionBy(key).orderBy("version_number"))
-    out = versions.withColumn("lines", lines).withColumn("before", F.coalesce(before, F.array().cast("array<string>")))
-    return out.select(key, "version_number", F.array_except("lines", "before").alias("added"), F.array_except("before", "lines").alias("removed"))
-
-
 _LOG = "result_content string, prompt_tokens int, completion_tokens int, latency_ms int, status string"
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import diff
 from ..operators import prompts as P
 from ..sources.tables import table
 from .catalogue import query
@@ -26,6 +27,7 @@ def versions(spark, sf) -> DataFrame:
     return P.numbered(o, "prompt_id", "o_orderdate", "id")
 
 
+_SUBSEQUENCES = "list_transform(range(16), lambda m: array_to_string(list_filter({x}, lambda l, i: (m >> (i - 1)) & 1 = 1), chr(10)))"
 _V = "(select o_custkey as prompt_id, o_orderkey as id, o_orderpriority as content, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as version_number from orders)"
 
 
@@ -99,11 +101,19 @@ def prompt_save_if_changed(spark, sf):
     return P.saved_if_changed(p, versions(spark, sf), "prompt_id")
 
 
-@query(f"select prompt_id, version_number::bigint as version_number, coalesce(content <> lag(content) over (partition by prompt_id order by version_number), true) as changed from {_V}")
+@query(f"""with v as (select prompt_id, version_number, list(content) over (partition by prompt_id order by version_number rows between 3 preceding and current row) as lines from {_V}),
+  p as (select *, coalesce(lag(lines) over (partition by prompt_id order by version_number), []) as before from v),
+  -- all subsequences of four lines at most, as text
+  s as (select *, {_SUBSEQUENCES.format(x="before")} as old, {_SUBSEQUENCES.format(x="lines")} as new from p),
+  k as (select *, list_max(list_transform(list_intersect(old, new), lambda t: case when t = '' then 0 else len(string_split(t, chr(10))) end))::bigint as kept from s)
+  select prompt_id, version_number::bigint as version_number, kept, len(lines) - kept as added, len(before) - kept as removed, md5(array_to_string(lines, chr(10))) as rebuilt from k""")
 def prompt_version_diff(spark, sf):
-    """Documented only: whether a version has lines that the one before lacks."""
-    d = P.version_diff(versions(spark, sf), "prompt_id")
-    return d.select("prompt_id", F.col("version_number").cast("long").alias("version_number"), (F.size("added") > 0).alias("changed"))
+    """Documented only: lines that each version keeps, adds and removes by a longest common subsequence, and what its script rebuilds. A version's lines are the last four priorities."""
+    w = Window.partitionBy("prompt_id").orderBy("version_number").rowsBetween(-3, 0)
+    v = versions(spark, sf).withColumn("content", F.array_join(F.collect_list("content").over(w), "\n"))
+    d = diff.version_scripts(v, "prompt_id")
+    n = lambda op: F.size(F.filter("script", lambda s: s["op"] == op)).cast("long").alias({"keep": "kept", "add": "added", "drop": "removed"}[op])
+    return d.select("prompt_id", F.col("version_number").cast("long").alias("version_number"), n("keep"), n("add"), n("drop"), F.md5(diff.rebuilt()).alias("rebuilt"))
 
 
 @query("select source as tag, count(*) as n from documents where lang in ('fr', 'de') group by source")

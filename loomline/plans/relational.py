@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import relational as R
+from ..operators.purge import Purge
 from ..operators.ranks import Ranked
 from ..operators.shared import shared_path
 from ..sources.store import Store
@@ -281,6 +282,31 @@ def tenant_purge(spark, sf):
     return users(spark, sf).filter(F.col("tenant_id").isin(1, 2)).filter(F.col("deleted_at").isNull() | (F.col("deleted_at") < at)).groupBy("tenant_id").agg(F.count("*").alias("purged"))
 
 
+@query("""with u as (select c_custkey as id, c_nationkey in (1, 2) as gone, case when c_acctbal < 0 then timestamp '2024-01-01' end as deleted_at from customer),
+  o as (select o_orderkey as id, gone from orders left join u on u.id = o_custkey), s as (select s_nationkey in (1, 2) as gone from supplier),
+  m as (select s_nationkey in (1, 2) as gone from part join supplier on s_suppkey = p_partkey % (select count(*) from supplier))
+  select 'tenants' as name, count(*) as before, count(*) filter (n_nationkey not in (1, 2)) as live, count(*) as after from nation
+  union all select 'users', count(*), count(*) filter (deleted_at is null and not gone), count(*) filter (deleted_at is null) from u
+  union all select 'prompts', count(*), count(*) filter (not coalesce(gone, false)), count(*) from o
+  union all select 'providers', count(*), count(*) filter (not gone), count(*) from s
+  union all select 'models', count(*), count(*) filter (not gone), count(*) from m
+  union all select 'token_usages', count(*), count(*), count(*) from lineitem
+  union all select 'audit_logs', count(*), count(*), count(*) from events""")
+def tenant_purge_cascade(spark, sf):
+    """Documented only: two tenants purged with all that belongs to them; usage and audit stay, and what was deleted over 90 days before is gone."""
+    none = F.lit(None).cast("timestamp").alias("deleted_at")
+    suppliers = table(spark, sf, "supplier").count()
+    tables = {
+        "tenants": table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), none), "users": users(spark, sf).select("id", "tenant_id", "deleted_at"),
+        "prompts": table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("created_by"), none), "providers": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("tenant_id"), none),
+        "models": table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % suppliers).alias("provider_id"), none),
+        "token_usages": table(spark, sf, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("prompt_id")), "audit_logs": table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id"),
+    }
+    links = [("users", "tenant_id", "tenants"), ("providers", "tenant_id", "tenants"), ("prompts", "created_by", "users"), ("models", "provider_id", "providers"), ("token_usages", "prompt_id", "prompts"), ("audit_logs", "user_id", "users")]
+    purge = Purge(tables, dict.fromkeys(tables, "id"), links, {"token_usages", "audit_logs"})
+    return purge.counts(purge.run({"tenants": F.col("id").isin(1, 2)}, F.expr("timestamp '2024-05-01'")))
+
+
 @query("select event_type as name, user_id, count(*) as n from events group by all having count(*) > 1")
 def config_duplicates(spark, sf):
     """Documented only: (name, owner) pairs that aren't unique."""

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import workflow
+from ..operators import sketches, workflow
+from ..operators.shared import saved
 from ..sources.tables import table
 from .catalogue import query
 
@@ -56,6 +57,27 @@ def model_call_stats(spark, sf):
     return calls(spark, sf).groupBy("model_id").agg(F.count("*").alias("requests"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.max("latency").alias("worst"), F.count_if(F.col("status") == "R").alias("returned"), F.count_if(F.col("status") == "A").alias("accepted"))
 
 
+@query(f"with c as ({_CALLS}) select model_id, quantile_disc(latency, 0.5) as p50, quantile_disc(latency, 0.95) as p95, quantile_disc(latency, 0.99) as p99 from c group by model_id")
+def model_call_quantiles(spark, sf):
+    """Exact quantiles of latency by model."""
+    return sketches.exact_quantiles(calls(spark, sf), "model_id", "latency")
+
+
+_RANGE = ("1996-03-01", "1999-08-31")
+
+
+@query(f"with c as ({_CALLS}) select tenant_id, count(*) as requests, sum(prompt_tokens + completion_tokens)::bigint as tokens, true as users_near, true as p95_near from c where day between '{_RANGE[0]}' and '{_RANGE[1]}' group by tenant_id")
+def usage_over_range(spark, sf):
+    """Any range of days out of sketches by day: sums are exact, distinct users within 10 % and the 95th percentile within 2 % of ranks of the exact one."""
+    c = calls(spark, sf)
+    days = saved(sketches.by_day(c, "tenant_id"), "usage-days")
+    got = sketches.over(days, *_RANGE, "tenant_id")
+    own = c.filter(F.col("day").between(*_RANGE)).join(got.select("tenant_id", F.col("p95").alias("at")), "tenant_id")
+    exact = own.groupBy("tenant_id").agg(F.count_distinct("user_id").alias("n_users"), F.avg((F.col("latency") <= F.col("at")).cast("double")).alias("upto"), F.avg((F.col("latency") < F.col("at")).cast("double")).alias("below"))
+    near = (F.col("upto") >= 0.93) & (F.col("below") <= 0.97)
+    return got.join(exact, "tenant_id").select("tenant_id", "requests", "tokens", (F.abs(F.col("users") - F.col("n_users")) <= 0.1 * F.col("n_users")).alias("users_near"), near.alias("p95_near"))
+
+
 @query(f"with c as ({_CALLS}), d as (select max(day) as day from c) select day, count(*) as requests, count(distinct user_id) as active_users, sum(prompt_tokens + completion_tokens)::bigint as tokens, count(distinct model_id) as models from c where day = (select day from d) group by day")
 def dashboard_today(spark, sf):
     """The last day: requests, users, tokens, models."""
@@ -157,5 +179,6 @@ def recent_audit(spark, sf):
 def active_agents(spark, sf):
     """Documented only: who was active in the last seven days."""
     e = table(spark, sf, "events")
-    last = e.agg(F.max("ts").alias("last"))  # one row
-    return e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("interval 7 days")).groupBy("user_id").agg(F.count("*").alias("hits"))
+    last = e.agg(F.max("ts").alias("t")).first()["t"]  # known first, so that the scan itself leaves out older rows
+    recent = F.lit(False) if last is None else F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days")
+    return e.filter(recent).groupBy("user_id").agg(F.count("*").alias("hits"))
