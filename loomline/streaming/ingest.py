@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,8 @@ from ..sources.parsers import extension, parsed
 def ingest_folder(spark: SparkSession, landing: str, out: str, checkpoint: str, embedder=None) -> StreamingQuery:
     """Ingests the files that lie in a folder, each once: a document row with its status under out/documents, vectors under out/vectors.
 
-    A batch is written by its number, so one that runs again after a failure overwrites what it wrote.
+    A batch is written by its number, so one that runs again after a failure overwrites what it wrote. Files are parsed
+    and chunked once, under out/chunked, from which both tables are made.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(landing)
     name = F.element_at(F.split("path", "/"), -1)
@@ -25,8 +27,9 @@ def ingest_folder(spark: SparkSession, landing: str, out: str, checkpoint: str,
     docs = docs.withColumn("p", parsed(F.col("content"), F.col("file_type"))).select("doc_id", "file_name", "file_type", "file_size", "p.text", "p.error")
 
     def write(batch: DataFrame, number: int) -> None:
-        done = ingest.processed(batch)
-        done.drop("chunks", "text", "error").write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        ingest.processed(batch).drop("text", "error").write.mode("overwrite").parquet(f"{out}/chunked/batch={number}")
+        done = spark.read.parquet(f"{out}/chunked/batch={number}")
+        done.drop("chunks").write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
         ingest.vectors(done, embedder).write.mode("overwrite").parquet(f"{out}/vectors/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -47,13 +50,14 @@ def rate_limited_stream(hits: DataFrame, keys: list[str], micros: str, seconds:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = list(state.get[0]) if state.exists else []
+        seen = sorted(state.get[0]) if state.exists else []
         new = sorted({int(t) for pdf in batches for t in pdf[micros]} - set(seen))
-        rows = []
+        rows, first = [], 0  # times are in order; those before `first` have left the window
         for t in new:
-            seen = [s for s in seen if s > t - span]
-            seen.append(t)
-            rows.append((*key, t, len(seen), len(seen) > limit))
+            first = bisect_right(seen, t - span, lo=first)
+            insort(seen, t, lo=first)
+            rows.append((*key, t, len(seen) - first, len(seen) - first > limit))
+        seen = seen[first:]
         state.update((seen,))
         state.setTimeoutTimestamp(max((max(seen) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=[*keys, micros, "hits", "denied"])
