@@ -22,12 +22,13 @@ new order gives just the same. Any order gives the same links, so that the bound
 FREQUENT of shingles sent to the tasks costs time at most and never a link.
 
 Texts with one set are one entry. Only of entries that share a prefix shingle with
-another are signatures read, and only of pairs that these allow the texts. A round
-or two compare each entry with one other of each shared shingle, so that
-groups of near copies grow together from few comparisons; only then are all pairs
-compared that are not in one group yet. Entries of a crowded shingle are dealt by
-bands of size, since sets of sizes too far apart can't be similar, and by blocks
-within a band; pairs that the filters reject never become rows.
+another are signatures read, and only of pairs that these allow the texts. Where
+up to SMALL sets share a shingle, pairs are made that their sizes and the
+shingle's places allow. Of a crowded shingle a round or two compare each entry
+with one other, so that groups of near copies grow together from few comparisons;
+only then are pairs compared that are not in one group yet, dealt by bands of
+size, since sets of sizes too far apart can't be similar, and by blocks within a
+band; pairs that the filters reject never become rows.
 
 Defined results: words are those of the fingerprints (ASCII space, A-Z in lower
 case); a text of under five words is one shingle; texts without a word are copies
@@ -50,6 +51,8 @@ from .common import checkpointed, row_key, texts, written
 from .simhash import components, fingerprint_links, without_copies
 
 SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 2
+#: A shingle in the prefixes of more sets than this is crowded: signatures go along before its pairs are made.
+SMALL = 32
 #: Differing bits of fingerprints that the trie walk takes, and fingerprints to a node that one task walks: near copies crowd together.
 RADIUS, MAX_NODE = 2, 1024
 #: A shingle in the prefixes of CROWD sets counts as frequent; at most FREQUENT of them are sent to tasks, found in SETTLE rounds.
@@ -221,11 +224,14 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """key and comp (the least key of all that links reach) of the keys of entries (as `settled`) that have a candidate at all; the others are groups of their own. table: as `sketched`."""
-    prefixes = entries.select("key", F.explode("prefix").alias("hash"))
-    shared = prefixes.groupBy("hash").agg(F.count("*").alias("sets")).filter("sets > 1").select("hash")
-    rows = written(prefixes.join(shared, "hash"), "shared-shingles")
+    # The first shingle that two similar sets share lies, in the smaller one, within the short part of its prefix.
+    short = F.col("pos") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6)
+    prefixes = entries.select("key", "n", F.posexplode("prefix").alias("pos", "hash")).select("key", "n", "hash", short.alias("short"))
+    shared = prefixes.groupBy("hash").agg(F.count("*").alias("sets"), F.max("short").alias("any")).filter("sets > 1 and any").select("hash", (F.col("sets") > small).alias("crowded"))
+    everything = written(prefixes.join(shared, "hash"), "shared-shingles", "crowded")
+    rows, few = everything.filter("crowded").select("key", "n", "hash", "short"), everything.filter("not crowded").select("key", "n", "hash", "short")
 
     # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
     first = written(entries.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
@@ -234,7 +240,7 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
     same = entries.select("fp", "key").join(first.filter("first <> last"), "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
 
-    own = rows.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
+    own = everything.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
     known = table.select("key", "n", "wide").join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
     known = written(known, "near-known")
 
@@ -256,7 +262,7 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
         if r and _few_pairs_left(rows, comp):
             break
         # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
-        now = rows.join(comp, "key")
+        now = rows.select("key", "hash").join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
         pairs = pairs if r else pairs.unionByName(close)
@@ -265,8 +271,15 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
             break
         comp = _grouped(comp, new)
 
-    # Sets whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
-    now = rows.join(comp, "key").join(known.select("key", "n"), "key")
+    # The sets of a shingle that few have: pairs whose sizes allow the similarity, of which the smaller has the shingle early.
+    x, y = (few.join(comp, "key").select("hash", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "comp", "short")]) for side in "ab")
+    early = (F.col("short_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("short_b") & (F.col("n_b") <= F.col("n_a")))
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    pairs = x.join(y, (x["hash"] == y["hash"]) & (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & sized & early)
+    pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+    # Of a crowded shingle: sets whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
+    now = rows.join(comp, "key")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (-math.log(similarity) * (1 + 1e-9)))
     now = now.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("home")), F.struct((band + 1).alias("band"), F.lit(0).cast("long").alias("home"))))).select("hash", "key", "comp", "n", "at.*")
     sizes = now.groupBy("hash", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("size")).filter("lo <> hi and any = 1")
@@ -276,14 +289,14 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
     now = now.join(known.select("key", folded.alias("sig")), "key").withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
     now = now.select("hash", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "key", "n", "comp", "home", "sig")
     dealt = now.repartition("hash", "band", "x", "y").sortWithinPartitions("hash", "band", "x", "y", "side", "key")
-    pairs = _possible(dealt.mapInArrow(_block_pairs(similarity), "a long, b long").distinct(), known, similarity).select("a", "b")
-    last = written(verified(pairs), "near-links")
+    pairs = pairs.unionByName(dealt.mapInArrow(_block_pairs(similarity), "a long, b long")).distinct()
+    last = written(verified(_possible(pairs, known, similarity).select("a", "b")), "near-links")
     return comp if last.isEmpty() else _grouped(comp, last)
 
 
 def _few_pairs_left(rows: DataFrame, comp: DataFrame, most: int = 64) -> bool:
     """Whether shingles whose entries aren't all in one group yet have few pairs for each of these."""
-    sizes = rows.join(comp, "key").groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").cast("double").alias("size")).filter("lo <> hi")
+    sizes = rows.select("key", "hash").join(comp, "key").groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").cast("double").alias("size")).filter("lo <> hi")
     left = sizes.agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("entries"), F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0.0)).alias("pairs")).first()
     return left["pairs"] <= most * left["entries"]
 
@@ -296,14 +309,14 @@ def _grouped(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(comp.join(roots, comp["comp"] == roots["node"], "left").select("key", F.coalesce("root", "comp").alias("comp")), "near-groups")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD, small: int = SMALL) -> DataFrame:
     """doc_id, row_key, kept_id and kept_key (the row that stays of its group) for every row of docs."""
     table = written(sketched(docs, similarity), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
     entries = table.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     entries = written(entries.select("key", "n", "fp", "prefix", "first.*"), "near-entries")
     repeated = not table.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
-    comp = groups(docs, table, settled(docs, entries, repeated, similarity, crowd), repeated, similarity, block)
+    comp = groups(docs, table, settled(docs, entries, repeated, similarity, crowd), repeated, similarity, block, small=small)
     rooted = checkpointed(entries.join(comp, "key", "left").select("key", F.struct("no_id", "doc_id", "row_key").alias("first"), F.coalesce("comp", "key").alias("comp")))
     least = rooted.groupBy("comp").agg(F.min("first").alias("least"))
     of = rooted.join(least, "comp").select("key", "least")
