@@ -34,6 +34,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,7 @@ def _candidates(text: str, last: Known, wanted: Known, placed: bool = True) -> I
     w = _words(text)
     n = len(w)
     digits = places = taken = None
+    firsts, reach = [], []
     before = ["^", "^", "^", *w]
     for i in range(n):
         b2 = before[i + 2]
@@ -196,12 +198,15 @@ def _candidates(text: str, last: Known, wanted: Known, placed: bool = True) -> I
         around = wanted[f"{b2} | {w[j + 1] if j + 1 < n else '$'}"]
         if not two and not around:
             continue
-        taken = base_spans(text) if taken is None else taken
+        if taken is None:
+            taken = base_spans(text)
+            firsts, reach = [a for a, _, _ in taken], list(accumulate((b for _, _, b in taken), max))
         s, e, value = 0, 0, ""
         if placed or taken:
             places = places or _places(text)
             s, e, value = places[i][0], places[j][1], " ".join(w[i : j + 1])
-            if any(a < e and s < b for a, _, b in taken):
+            k = bisect_left(firsts, e)  # spans that begin before the candidate ends; one of them reaches into it
+            if k and reach[k - 1] > s:
                 continue
         for p in _patterns(before[i], before[i + 1], b2, w[j + 1] if j + 1 < n else "$"):
             if wanted[p]:

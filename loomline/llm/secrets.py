@@ -21,7 +21,8 @@ Median p of random tokens of 20, 32, 40 and 64 characters: base 64 0.04, 0.004,
 0.0006, 2e-6; base 62 0.04, 0.003, 0.0003, 1e-8; base 32 0.1, 0.02, 0.006, 8e-5.
 The rule works on a histogram (encoding, band, step of p), a bounded table
 whatever the corpus; p-values are rounded up to the step. One pass over the texts
-does everything else, and no text is shuffled.
+does everything else, and no text is shuffled: of a text's candidates those that
+overlap a base span are told by a window over both in order.
 
 Defined results: null text is empty; candidates that overlap a base span add
 nothing; digits alone are numbers and never candidates; letters of one case say
@@ -88,17 +89,30 @@ def matches(text: str, pattern: str, group: int = 0) -> Column:
     return F.expr(f"case when {text} rlike {p} then named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', regexp_extract_all({text}, {p}, {group}), 'parts', split({text}, {p}, -1)) end")
 
 
+#: Matches to a block: sums run within a block and over the blocks' sums, so that work grows with the matches and not with their square.
+_BLOCK = 128
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which name stands for value: made once, and not again in every lambda of body."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _sums(values: str) -> str:
+    """SQL of the running sums of an array, from 0, in blocks."""
+    running = "aggregate({x}, named_struct('at', cast(0 as int), 'out', cast(array() as array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
+    blocks = f"transform(sequence(0, cast((size(v) - 1) / {_BLOCK} as int)), b -> slice(v, b * {_BLOCK} + 1, {_BLOCK}))"
+    firsts = running.format(x="transform(blocks, block -> aggregate(block, 0, (acc, n) -> acc + n))")
+    sums = f"flatten(zip_with(blocks, firsts, (block, first) -> transform({running.format(x='block')}, n -> n + first)))"
+    return _let("v", values, _let("blocks", blocks, _let("firsts", firsts, sums)))
+
+
 def spans(z: str, kind: int) -> Column:
     """Array of (start, end, kind, token) in code points from a column of `matches`."""
+    before = _sums("transform(sequence(1, size({z}.m)), i -> length({z}.parts[i - 1]) + length({z}.m[i - 1]))".format(z=z))
     return F.expr(f"""
-    coalesce(aggregate(
-      sequence(1, size({z}.m)),
-      named_struct('at', 0, 'out', cast(array() as {_SPANS})),
-      (acc, i) -> named_struct(
-        'at', acc.at + length({z}.parts[i - 1]) + length({z}.m[i - 1]),
-        'out', concat(acc.out, array(named_struct(
-          'start', acc.at + length({z}.parts[i - 1]), 'end', acc.at + length({z}.parts[i - 1]) + length({z}.m[i - 1]), 'kind', {kind}, 'token', {z}.g[i - 1])))),
-      acc -> acc.out), cast(array() as {_SPANS}))""")
+    coalesce(zip_with({before}, sequence(0, size({z}.m) - 1), (at, i) -> named_struct(
+      'start', at + length({z}.parts[i]), 'end', at + length({z}.parts[i]) + length({z}.m[i]), 'kind', {kind}, 'token', {z}.g[i])), cast(array() as {_SPANS}))""")
 
 
 #: Spans of several kinds in one order, without their tokens.
@@ -106,13 +120,24 @@ _ORDERED = "transform(array_sort(transform({}, s -> struct(s.start, s.kind, s.en
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, counts and spans (base, in order) of the base patterns, and candidates (spans for the tests)."""
+    """doc_id, row_key, counts and spans (base, in order) of the base patterns, and candidates (spans for the tests, those that overlap base spans too)."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.select("doc_id", "row_key", matches("text", ASSIGN, 2).alias("z0"), matches("text", ACCESS).alias("z1"), matches("text", HEX).alias("z2"), matches("text", CANDIDATE).alias("z3"))
     t = t.select("doc_id", "row_key", F.filter(spans("z0", 0), lambda s: F.length(s["token"]) >= 6).alias("assign"), spans("z1", 1).alias("access"), spans("z2", 2).alias("hex"), spans("z3", 3).alias("candidates"))
-    t = t.select("doc_id", "row_key", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")], F.expr(_ORDERED.format("concat(assign, access, hex)")).alias("base"), "candidates")
-    free = "filter(candidates, c -> not exists(base, s -> s.start < c.end and c.start < s.end))"
-    return t.withColumn("candidates", F.when(F.size("candidates") > 0, F.expr(free)).otherwise(F.col("candidates")))
+    return t.select("doc_id", "row_key", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")], F.expr(_ORDERED.format("concat(assign, access, hex)")).alias("base"), "candidates")
+
+
+def free_candidates(s: DataFrame) -> DataFrame:
+    """doc_id, row_key, start, end and token of the candidates of s (as `scanned`) that overlap no base span: a base span reaches into one from the left, or begins in it."""
+    at = "transform({}, x -> named_struct('start', x.start, 'end', x.end, 'token', {}))"
+    both = F.expr(f"concat({at.format('candidates', 'x.token')}, {at.format('base', 'cast(null as string)')})")
+    rows = s.filter(F.size("candidates") > 0).select("doc_id", "row_key", F.explode(both).alias("x")).select("doc_id", "row_key", "x.*")
+    # Both windows run from an end of the text to the row: one that ran on to the other end would begin anew at each row.
+    base, w = F.col("token").isNull(), Window.partitionBy("doc_id", "row_key")
+    rows = rows.withColumn("reach", F.max(F.when(base, F.col("end"))).over(w.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.min(F.when(base, F.col("start"))).over(w.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)))
+    taken = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return rows.filter(~base & ~taken).drop("reach", "next")
 
 
 def _chosen(values: list, kind: str) -> Column:
@@ -172,7 +197,7 @@ def discoveries(scored: DataFrame, level: float = LEVEL) -> DataFrame:
 def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """A row for each of docs: doc_id, row_key, counts of base kinds, base and all spans as arrays of (start, end, kind)."""
     s = written(scanned(docs), "secret-spans")
-    tokens = s.select("doc_id", "row_key", F.explode("candidates").alias("c")).select("doc_id", "row_key", "c.*").withColumn("length", F.length("token"))
+    tokens = free_candidates(s).withColumn("length", F.length("token"))
     found = discoveries(written(randomness(tokens).select("doc_id", "row_key", "start", "end", "encoding", "length", "p"), "randomness"), level)
     more = found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end", F.lit(3).alias("kind"))).alias("more")).select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "more")
     out = s.join(more, s.doc_id.eqNullSafe(more.m_id) & (s.row_key == more.m_key), "left")

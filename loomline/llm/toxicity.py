@@ -20,8 +20,9 @@ induced features and the voters' votes.
 
 Texts are read whole twice: the first passes look only into the samples, the last
 reduces each text to its counts of induced features, a small table from
-which votes, sums and scores come. Per round of the label model a partition sends
-one row of sums to the driver.
+which votes, sums and scores come. The label model works on different sets of
+votes and how many documents have each: up to FEW_MASKS of them on the driver,
+more by sums in Spark.
 
 Bounds (documented parameters): SAMPLE labelled rows and half as many without a
 label, those of the smallest hashes of doc_id; FEATURES, and 16 times as many
@@ -52,6 +53,8 @@ from .common import held_out, texts, written
 
 SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 56, 12
 THRESHOLD = 0.7
+#: Different sets of votes (and gold labels) that the driver sums up itself: 3 numbers each.
+FEW_MASKS = 200_000
 #: A round of the label model that moves no rate by this much is the last.
 SETTLED = 1e-3
 #: What a gold label is taken to be right at, as a voter; the posterior at which a document without one counts as labelled for the second induction.
@@ -181,27 +184,38 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + np.where(votes.any(axis=1), (votes / shared) @ np.log(p[1] / p[0]), silent[1] - silent[0])
 
 
+def _sums(pdf: pd.DataFrame, model: LabelModel) -> np.ndarray:
+    """Expected counts of rows (mask, gold, n) in one array: of both classes' documents and of those that any voter speaks for, then of each voter, then of each two of them together."""
+    v, n = model.votes(pdf["mask"].to_numpy()), pdf["n"].to_numpy(float)
+    gold = pdf["gold"].map({1: 1.0, 0: -1.0}).fillna(0).to_numpy(float) * np.log(GOLD / (1 - GOLD))
+    p = 1 / (1 + np.exp(-np.clip(model.logit(v) + gold, -30, 30)))
+    parts = []
+    for w in (n * (1 - p), n * p):
+        parts += [[w.sum(), w @ v.any(axis=1)], w @ v, (v.T @ (v * w[:, None])).ravel()]
+    return np.concatenate([parts[0], parts[3], parts[1], parts[4], parts[2], parts[5]])
+
+
 def fit_label_model(masks: DataFrame, model: LabelModel, anchor: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """Expectation maximisation over masks (mask, gold, n): votes of the learning documents, their gold label (1, 0 or null), and how many are alike.
 
+    Up to FEW_MASKS rows, which is what voters that mostly keep silent make, are summed where they were gathered once; more are summed in Spark.
+
     anchor: how many documents of either class the rates that `model` begins with count for, so that the classes keep their meaning.
     """
     j, first_fires, first_prior, first_speaks = len(model.voters), model.fires, model.prior, model.speaks
+    few = masks.limit(FEW_MASKS + 1).toPandas()
     for r in range(rounds):
+        if len(few) <= FEW_MASKS:
+            total = sum((_sums(few.iloc[i : i + 20_000], model) for i in range(0, len(few), 20_000)), np.zeros(4 + 2 * j + 2 * j * j))
+        else:
+
+            def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+                own = sum((_sums(pdf, model) for pdf in batches), np.zeros(4 + 2 * j + 2 * j * j))
+                yield pd.DataFrame({"at": np.arange(len(own)), "n": own})
 
-        def sums(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            rows = masks.mapInPandas(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()  # 2 (2 + j + j * j) rows
             total = np.zeros(4 + 2 * j + 2 * j * j)
-            for pdf in batches:
-                v, n = model.votes(pdf["mask"].to_numpy()), pdf["n"].to_numpy(float)
-                gold = pdf["gold"].map({1: 1.0, 0: -1.0}).fillna(0).to_numpy(float) * np.log(GOLD / (1 - GOLD))
-                p = 1 / (1 + np.exp(-np.clip(model.logit(v) + gold, -30, 30)))
-                parts = []
-                for w in (n * (1 - p), n * p):
-                    parts += [[w.sum(), w @ v.any(axis=1)], w @ v, (v.T @ (v * w[:, None])).ravel()]
-                total += np.concatenate([parts[0], parts[3], parts[1], parts[4], parts[2], parts[5]])
-            yield pd.DataFrame({"sums": [total.tolist()]})
-
-        total = np.sum([x.sums for x in masks.mapInPandas(sums, "sums array<double>").collect()], axis=0)  # a row a partition
+            total[[x["at"] for x in rows]] = [x["n"] for x in rows]
         (weight, spoke), first, second = total[:4].reshape(2, 2).T, total[4 : 4 + 2 * j].reshape(2, j), total[4 + 2 * j :].reshape(2, j, j)
         fires = (first + anchor[:, None] * first_fires) / (weight + anchor)[:, None]
         speaks = (spoke + anchor * first_speaks) / (weight + anchor)
