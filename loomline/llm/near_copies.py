@@ -24,7 +24,7 @@ FREQUENT of shingles sent to the tasks costs time at most and never a link.
 Texts with one set are one entry. Only of entries that share a prefix shingle with
 another are signatures read, and only of pairs that these allow the texts. Where
 up to SMALL sets share a shingle, pairs are made that their sizes and the
-shingle's places allow. Of a crowded shingle a round or two compare each entry
+shingle's places allow. Of a crowded shingle a few rounds compare each entry
 with one other, so that groups of near copies grow together from few comparisons;
 only then are pairs compared that are not in one group yet, dealt by bands of
 size, since sets of sizes too far apart can't be similar, and by blocks within a
@@ -44,15 +44,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, row_key, texts, written
 from .simhash import components, fingerprint_links, without_copies
 
-SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 2
+SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 4
 #: A shingle in the prefixes of more sets than this is crowded: signatures go along before its pairs are made.
-SMALL = 32
+SMALL = 8
 #: Differing bits of fingerprints that the trie walk takes, and fingerprints to a node that one task walks: near copies crowd together.
 RADIUS, MAX_NODE = 2, 1024
 #: A shingle in the prefixes of CROWD sets counts as frequent; at most FREQUENT of them are sent to tasks, found in SETTLE rounds.
@@ -229,8 +229,10 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
     # The first shingle that two similar sets share lies, in the smaller one, within the short part of its prefix.
     short = F.col("pos") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6)
     prefixes = entries.select("key", "n", F.posexplode("prefix").alias("pos", "hash")).select("key", "n", "hash", short.alias("short"))
-    shared = prefixes.groupBy("hash").agg(F.count("*").alias("sets"), F.max("short").alias("any")).filter("sets > 1 and any").select("hash", (F.col("sets") > small).alias("crowded"))
-    everything = written(prefixes.join(shared, "hash"), "shared-shingles", "crowded")
+    # One shuffle of the prefixes tells which shingles are shared, and keeps these.
+    own = Window.partitionBy("hash")
+    shared = prefixes.withColumn("sets", F.count("*").over(own)).withColumn("any", F.max("short").over(own)).filter("sets > 1 and any")
+    everything = written(shared.select("key", "n", "hash", "short", (F.col("sets") > small).alias("crowded")), "shared-shingles", "crowded")
     rows, few = everything.filter("crowded").select("key", "n", "hash", "short"), everything.filter("not crowded").select("key", "n", "hash", "short")
 
     # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
@@ -256,20 +258,21 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         return both.filter(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")) - 1e-6).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    # The first round also takes what the trie walk found.
+    # The first round also takes what the trie walk found. Rounds end when one links few of the entries that it looked at.
     comp = known.select("key", F.col("key").alias("comp"))
+    few_links = rows.select("key").distinct().count() / 100
     for r in range(ROUNDS):
-        if r and _few_pairs_left(rows, comp):
-            break
         # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
         now = rows.select("key", "hash").join(comp, "key")
         heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
         pairs = pairs if r else pairs.unionByName(close)
         new = written(verified(_possible(pairs, known, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))), "near-links")
-        if new.isEmpty():
+        n = new.count()
+        if n:
+            comp = _grouped(comp, new)
+        if n <= few_links:
             break
-        comp = _grouped(comp, new)
 
     # The sets of a shingle that few have: pairs whose sizes allow the similarity, of which the smaller has the shingle early.
     x, y = (few.join(comp, "key").select("hash", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "comp", "short")]) for side in "ab")
@@ -294,13 +297,6 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
     return comp if last.isEmpty() else _grouped(comp, last)
 
 
-def _few_pairs_left(rows: DataFrame, comp: DataFrame, most: int = 64) -> bool:
-    """Whether shingles whose entries aren't all in one group yet have few pairs for each of these."""
-    sizes = rows.select("key", "hash").join(comp, "key").groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").cast("double").alias("size")).filter("lo <> hi")
-    left = sizes.agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("entries"), F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0.0)).alias("pairs")).first()
-    return left["pairs"] <= most * left["entries"]
-
-
 def _grouped(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (key, comp) after links (u, v) between keys: only the groups that a link joins go through the rounds."""
     u, v = (comp.select(F.col("key").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "uv")
