@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a prompt's status may be.
+PROMPT_STATUSES = ("draft", "published", "archived")
 #: Fixed value: the DNS namespace of version 5 UUIDs.
 NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -61,10 +63,16 @@ def vector_id(doc_id: Column, index: Column) -> Column:
     return uuid5(F.concat_ws("_", doc_id.cast("string"), index.cast("string")))
 
 
+def known_model(model: Column) -> Column:
+    """Whether the vector size of a model is known by its name: that of bge models is."""
+    name = F.lower(F.trim(F.coalesce(model, F.lit(""))))
+    return name.startswith("baai/bge-") | name.startswith("bge-")
+
+
 def vector_size(model: Column) -> Column:
     """Dimensions by a model's name: 1024 for bge models, an error otherwise."""
     name = F.lower(F.trim(F.coalesce(model, F.lit(""))))
-    known = F.when(name.startswith("baai/bge-") | name.startswith("bge-"), F.lit(1024))
+    known = F.when(known_model(model), F.lit(1024))
     return F.coalesce(known, F.raise_error(F.when(name == "", F.lit("model name is empty")).otherwise(F.concat(F.lit("unknown embedding model: "), name))).cast("int"))
 
 
@@ -145,12 +153,33 @@ def decrypted(ciphertext: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(ciphertext), F.unhex(F.md5(safe)), F.lit("GCM")).cast("string")
 
 
-def has_any(held: Column, wanted: list[str]) -> Column:
-    return F.lit(False) if not wanted else F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains(held, w))
+def _names(wanted: list[str] | Column) -> Column:
+    return wanted if isinstance(wanted, Column) else F.array(*[F.lit(w) for w in wanted]).cast("array<string>")
+
+
+def has_any(held: Column, wanted: list[str] | Column) -> Column:
+    """Whether one of the wanted names is held; of none none is."""
+    return F.exists(_names(wanted), lambda w: F.array_contains(held, w))
+
+
+def has_all(held: Column, wanted: list[str] | Column) -> Column:
+    """Whether all wanted names are held; of none all are."""
+    return F.forall(_names(wanted), lambda w: F.array_contains(held, w))
+
+
+def percent(share: Column) -> Column:
+    """A share in per cent, one digit after the point."""
+    return F.round(share * 100, 1)
+
+
+def minute(ts: Column) -> Column:
+    """A time up to its minute, as the first 16 characters of its text."""
+    return F.substring(iso(ts), 1, 16)
 
 
-def has_all(held: Column, wanted: list[str]) -> Column:
-    return F.lit(True) if not wanted else F.forall(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains(held, w))
+def prompt_error(status: Column, name: Column, category: Column) -> Column:
+    """Why an update of a prompt is refused: an unknown status, or a name or category that is too long; null if it isn't. What is null isn't updated."""
+    return F.when(status.isNotNull() & ~status.isin(*PROMPT_STATUSES), F.concat(F.lit("unknown status: "), status)).when(F.length(name) > 255, "name is too long").when(F.length(category) > 100, "category is too long")
 
 
 def price(amount: Column) -> Column:

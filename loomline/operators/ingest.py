@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import vector_id
+from ..functions.scalar import known_model, strip, vector_id, vector_size
 from .chunking import CHUNK_SIZE, chunks
 from .vector import embed, hashing_embedder
 
@@ -51,3 +51,13 @@ def states(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     none = F.lit(None).cast("string")
     path = F.array(step(F.lit(PENDING), none), step(F.lit(PROCESSING), none), step(F.col("status"), F.col("error_message")))
     return done.select("doc_id", F.posexplode(path).alias("i", "s")).select("doc_id", (F.col("i") + 1).alias("step"), "s.*")
+
+
+def new_bases(requests: DataFrame, default_model: str = "BAAI/bge-m3") -> DataFrame:
+    """Rows of knowledge bases to create from requests (id, tenant_id, name, description, embedding_model): with the trimmed name, counters at 0, the base's collection and its vector size; error instead for a blank name or a model whose size isn't known."""
+    model = F.coalesce("embedding_model", F.lit(default_model))
+    name = strip(F.coalesce("name", F.lit("")))
+    error = F.when(name == "", "name is empty").when(~known_model(model), F.concat(F.lit("unknown embedding model: "), model))
+    rows = requests.select("id", "tenant_id", name.alias("name"), "description", model.alias("embedding_model"), error.alias("error"))
+    made = F.col("error").isNull()
+    return rows.select("*", F.lit(0).alias("document_count"), F.lit(0).cast("long").alias("chunk_count"), F.when(made, F.concat(F.lit("kb_"), F.col("id").cast("string"))).alias("collection"), F.when(made, vector_size(F.col("embedding_model"))).alias("size"))

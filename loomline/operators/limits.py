@@ -1,4 +1,4 @@
-"""Quotas and rate limits."""
+"""Gates, quotas and rate limits."""
 
 from __future__ import annotations
 
@@ -25,3 +25,14 @@ def sliding_window(hits: DataFrame, keys: list[str], micros: str, seconds: int,
     w = Window.partitionBy(*keys, "_in.span").orderBy(micros).rangeBetween(-window + 1, 0)
     out = rows.withColumn("hits", F.count("*").over(w)).filter("_in.own").drop("_in")
     return out.withColumn("denied", F.col("hits") > limit)
+
+
+def user_gate(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """requests (kind, sub, ...) with reason: why a token of a kind for a user (sub) is refused; null if it isn't. The first that holds is told.
+
+    users: sub, status, deleted_at, there (true).
+    """
+    known = requests.join(users, "sub", "left")
+    reason = F.when(~F.coalesce(F.col("kind") == "access", F.lit(False)), "invalid token type").when(F.coalesce(F.col("sub"), F.lit(0)) == 0, "invalid token")
+    reason = reason.when(F.col("there").isNull() | F.col("deleted_at").isNotNull(), "user not found").when(~F.coalesce("status", F.lit(False)), "user is disabled")
+    return known.withColumn("reason", reason).select(*requests.columns, "reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalar import render, with_blanks
@@ -10,23 +10,34 @@ from .shared import cut as _cut
 from .shared import saved, shared_path
 
 
+#: Levels after which edges that are done with are left out of what is read.
+_TIDY = 8
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and level of nodes (id): 0 without an edge (src, dst) into it, else one over the highest of its sources. Nodes on a cycle or behind one are left out, and edges from or to unknown nodes don't count."""
+    """id and level of nodes (id): 0 without an edge (src, dst) into it, else one over the highest of its sources. Nodes on a cycle or behind one are left out, and edges from or to unknown nodes don't count.
+
+    A level is one job, which looks at the targets of the level before; levels that are found aren't read again but for
+    leaving out their edges.
+    """
+    spark, path, level = nodes.sparkSession, shared_path(nodes.sparkSession, "levels"), 0
     e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
-    left, level, spark = _cut(e), 0, nodes.sparkSession
-    rest = _cut(nodes.distinct())
-    # Levels are appended to one table: the plan of the result stays as small for a long chain as for a short one.
-    path = shared_path(spark, "levels")
-    schema = rest.withColumn("level", F.lit(0).cast("long")).schema
+    e = saved(e.select("src", "dst"), "edges")
+    schema = nodes.select("id", F.lit(0).cast("long").alias("level")).schema
+    at = lambda first, last: spark.read.schema(schema).parquet(*[f"{path}/{i}" for i in range(first, last + 1)])
+    found, tidy = nodes.select("id").distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti"), 0
     while True:
-        ready = rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("long"))
-        ready.write.mode("append").parquet(path)
-        done = spark.read.schema(schema).parquet(path)
-        found = done.filter(F.col("level") == level)
-        if found.isEmpty():
-            return done
-        left = _cut(left.join(found.select(F.col("id").alias("src")), "src", "left_anti"))
-        rest = _cut(rest.join(found.select("id"), "id", "left_anti"))
+        seen = Observation()
+        found.select("id", F.lit(level).cast("long").alias("level")).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{level}")
+        if not seen.get["n"]:
+            return at(0, level)
+        here = at(level, level).select(F.col("id").alias("src"))
+        left = e.join(at(tidy, level).select(F.col("id").alias("src")), "src", "left_anti")
+        reached = e.join(here, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        if level - tidy + 1 >= _TIDY:
+            reached, left, tidy = saved(reached, "reached"), saved(left, "edges"), level + 1
+            e = left
+        found = reached.join(left.select(F.col("dst").alias("id")), "id", "left_anti")
         level += 1
 
 

@@ -40,11 +40,21 @@ def user_permissions(spark, sf):
     return nested.select("id", F.array_join(F.transform("permissions", lambda p: F.concat_ws(":", p["resource"], p["action"])), ",").alias("permissions"), F.size("permissions").cast("long").alias("n"))
 
 
-@query(f"with p as (select role, list(resource order by resource) as held from {_GRANTS} group by role) select role, list_has_any(held, ['model']) as any_model, false as any_of_none, list_has_all(held, ['prompt', 'model']) as all_both, true as all_of_none, len(held) as n from p")
+_ASKED = "case c_custkey % 4 when 0 then [] when 1 then ['prompt:write'] when 2 then ['prompt:read', 'model:write'] else ['model:read', 'prompt:read'] end"
+
+
+@query(f"""with h as (select role, list(resource || ':' || action) as held from {_GRANTS} group by role),
+  u as (select c_custkey as id, coalesce(held, []) as held, {_ASKED} as asked from customer left join h on role = c_mktsegment)
+  select id, list_has_any(held, asked) as any_of, list_has_all(held, asked) as all_of, list_contains(held, 'prompt:read') as one, len(asked)::int as n from u""")
 def permission_checks(spark, sf):
-    """Any of, all of: all of nothing is held, any of nothing isn't; duplicates over roles stay."""
-    held = grants(spark).groupBy("role").agg(F.collect_list("resource").alias("held"))
-    return held.select("role", S.has_any(F.col("held"), ["model"]).alias("any_model"), S.has_any(F.col("held"), []).alias("any_of_none"), S.has_all(F.col("held"), ["prompt", "model"]).alias("all_both"), S.has_all(F.col("held"), []).alias("all_of_none"), F.size("held").cast("long").alias("n"))
+    """What each user holds through its role against what is asked of it: one, any of, all of. All of nothing is held, any of nothing isn't."""
+    none = F.array().cast("array<string>")
+    held = grants(spark).groupBy("role").agg(F.collect_list(F.concat_ws(":", "resource", "action")).alias("held"))
+    k = F.col("id") % 4
+    asked = F.when(k == 0, none).when(k == 1, F.array(F.lit("prompt:write"))).when(k == 2, F.array(F.lit("prompt:read"), F.lit("model:write"))).otherwise(F.array(F.lit("model:read"), F.lit("prompt:read")))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("role")).join(held, "role", "left")
+    c = c.select("id", F.coalesce("held", none).alias("held"), asked.alias("asked"))
+    return c.select("id", S.has_any(F.col("held"), F.col("asked")).alias("any_of"), S.has_all(F.col("held"), F.col("asked")).alias("all_of"), F.array_contains("held", "prompt:read").alias("one"), F.size("asked").alias("n"))
 
 
 @query(f"select r.code, g.resource, g.action from (select 'tenant_' || (case when n_nationkey % 2 = 0 then 'admin_' else 'memberX' end) || n_nationkey as code from nation) r, {_GRANTS} where g.resource = 'prompt' and (r.code like 'tenant_admin_%' or r.code like 'tenant_member_%') and not (r.code like '%4' and g.action = 'read')")
@@ -67,6 +77,17 @@ def request_gate(spark, sf):
     return u.select("id", reason.isNull().alias("passes"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
+@query(f"""with u as ({_USERS}), r as (select event_id, if(event_type = 'view', 'refresh', if(event_type = 'error', null, 'access')) as kind, if(event_id % 50 = 0, 0, user_id * 11) as sub from events)
+  select event_id, case when kind is distinct from 'access' then 'invalid token type' when sub = 0 then 'invalid token' when u.id is null or deleted_at is not null then 'user not found' when sub % 7 = 0 then 'user is disabled' else '' end as reason
+  from r left join u on u.id = sub""")
+def user_gate(spark, sf):
+    """Why a request's token is refused: it isn't an access token, names nobody, or its user is deleted or disabled."""
+    kind = F.when(F.col("event_type") == "view", "refresh").when(F.col("event_type") != "error", "access")
+    r = table(spark, sf, "events").select("event_id", kind.alias("kind"), F.when(F.col("event_id") % 50 == 0, 0).otherwise(F.col("user_id") * 11).cast("long").alias("sub"))
+    u = users(spark, sf).select(F.col("id").alias("sub"), (F.col("id") % 7 != 0).alias("status"), "deleted_at", F.lit(True).alias("there"))
+    return limits.user_gate(r, u).select("event_id", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query(f"with u as ({_USERS}), n as (select tenant_id, count(*) as used from u where deleted_at is null group by tenant_id) select n_nationkey::bigint as tenant_id, coalesce(used, 0) as used, (40 + n_nationkey % 30)::bigint as max_users, coalesce(used, 0) >= 40 + n_nationkey % 30 as exceeded, round(coalesce(used, 0) / (40 + n_nationkey % 30), 4) as share from nation left join n on n_nationkey = tenant_id")
 def quota_users(spark, sf):
     """Users of each tenant against its limit; one more is refused at the limit."""

@@ -55,6 +55,19 @@ def parse_pages(spark, sf):
     return p.select("page_id", F.md5("p.text").alias("digest"), F.coalesce("p.error", F.lit("")).alias("error"))
 
 
+@query("""with b as (select doc_id as id, length(source)::bigint as tenant_id, case doc_id % 5 when 0 then '  ' when 1 then ' base ' || doc_id || ' ' else source end as name, case doc_id % 3 when 0 then null when 1 then 'BGE-large' else 'text-embedding-3-small' end as model from documents),
+  e as (select *, case when trim(name) = '' then 'name is empty' when model = 'text-embedding-3-small' then 'unknown embedding model: ' || model else '' end as error from b)
+  select id, tenant_id, trim(name) as name, coalesce(model, 'BAAI/bge-m3') as embedding_model, error, 0 as document_count, 0::bigint as chunk_count, if(error = '', 'kb_' || id, '') as collection, if(error = '', 1024, 0)::int as size from e""")
+def new_knowledge_bases(spark, sf):
+    """Bases as they are created, with the collection of each; what is refused says why."""
+    k, m = F.col("doc_id") % 5, F.col("doc_id") % 3
+    name = F.when(k == 0, F.lit("  ")).when(k == 1, F.concat(F.lit(" base "), F.col("doc_id").cast("string"), F.lit(" "))).otherwise(F.col("source"))
+    model = F.when(m == 1, "BGE-large").when(m == 2, "text-embedding-3-small")
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("source").cast("long").alias("tenant_id"), name.alias("name"), F.lit(None).cast("string").alias("description"), model.alias("embedding_model"))
+    made = ingest.new_bases(asked).drop("description")
+    return made.withColumns({"error": F.coalesce("error", F.lit("")), "collection": F.coalesce("collection", F.lit("")), "size": F.coalesce("size", F.lit(0))})
+
+
 @query("select source as kb, doc_id, row_number() over (partition by source order by doc_id desc) as place from documents qualify place between 11 and 20")
 def document_pages(spark, sf):
     """The second page of every base's documents, newest first."""

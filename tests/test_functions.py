@@ -51,3 +51,17 @@ def test_small_helpers(spark):
     assert one(spark, S.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) is None
     assert [one(spark, S.backoff_seconds(F.lit(n))) for n in range(4)] == [1, 2, 4, 5]
     assert one(spark, S.masked(F.lit(""))) is False
+
+
+def test_encryption_round_trip(spark):
+    df = spark.createDataFrame([("sk-secret ü",), ("",), (None,)], "t string")
+    key = F.lit("0123456789abcdef")
+    rows = df.select("t", S.encrypted(F.col("t"), key).alias("c")).withColumn("back", S.decrypted(F.col("c"), key)).collect()
+    again = df.select(S.encrypted(F.col("t"), key).alias("c")).first().c
+    assert all(r.t == r.back for r in rows) and rows[0].c != again and "secret" not in rows[0].c
+    assert [r.m for r in df.select(S.masked(F.col("t")).alias("m")).collect()] == [True, False, False]
+    for bad in (F.lit(""), F.lit(None).cast("string")):
+        with pytest.raises(Exception, match="not configured"):
+            df.select(S.encrypted(F.col("t"), bad)).collect()
+    with pytest.raises(Exception):
+        df.select(S.decrypted(S.encrypted(F.col("t"), key), F.lit("another"))).collect()
