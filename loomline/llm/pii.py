@@ -8,9 +8,11 @@ so is a short run of words with digits. Patterns and the instances they surround
 form a graph, which Spark scores in rounds: a pattern's confidence for a kind is
 the share of its instances that are of that kind, by their own scores, and an
 instance's score for a kind is that of a noisy-or over its patterns. Seeds stay at
-1. Candidates of a high score under a pattern of high confidence are accepted, and
-wherever they stand in the corpus induces patterns anew, together with the seeds,
-until a round accepts nothing. Accepted mentions under patterns of high confidence
+1. Candidates of a high score under a pattern of high confidence are accepted if
+such patterns surround FOCUS of all their mentions: a common word that stands in
+an identifier's place now and then is none. Wherever accepted ones stand in the
+corpus induces patterns anew, together with the seeds, until a round accepts
+nothing. Accepted mentions under patterns of high confidence
 are reported as spans of their kind.
 
 What a pass over the texts must know of patterns or values is a bitmap of their
@@ -47,6 +49,8 @@ from .words import Known
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of discovery and of scores within each; what a score and a confidence must reach; different instances and share of known mentions that a pattern needs.
 ROUNDS, SCORES, CONFIDENCE, SUPPORT, SHARE = 4, 4, 0.8, 3, 0.1
+#: Share of an instance's mentions that patterns of high confidence surround.
+FOCUS = 0.5
 #: Words to a candidate with digits; bits of the bitmaps.
 LONGEST_RUN, BITS = 4, 1 << 22
 
@@ -298,6 +302,14 @@ def graph_scores(known: DataFrame, free: DataFrame, rounds: int = SCORES) -> tup
     return checkpointed(patterns), scores
 
 
+def focused(told: DataFrame, best: DataFrame, share: float = FOCUS) -> DataFrame:
+    """value and kind of the instances of told (value, kind, pattern, n) of whose mentions at least that share lies in patterns of best (pattern, kind). Each mention has one pattern of each form; the form that best knows most of counts."""
+    form = F.when(F.col("pattern").rlike(r"^\S+ \S+ \|$"), 1).when(F.col("pattern").rlike(r"\|$"), 2).otherwise(3)
+    known = told.join(best.select("pattern", "kind", F.lit(True).alias("sure")).distinct(), ["pattern", "kind"], "left")
+    forms = known.groupBy("value", "kind", form.alias("form")).agg(F.sum("n").alias("mentions"), F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("inside"))
+    return forms.groupBy("value", "kind").agg(F.max("mentions").alias("mentions"), F.max("inside").alias("inside")).filter(F.col("inside") >= share * F.col("mentions")).select("value", "kind")
+
+
 def bootstrap(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Mentions that patterns of high confidence surround: doc_id, row_key, start, end, kind."""
     m = rows.select(F.explode("found").alias("f")).select("f.*")
@@ -323,7 +335,10 @@ def bootstrap(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS, confidence
         patterns, scores = graph_scores(known.join(live, "pattern").select("value", "kind", "pattern"), free)
         best = checkpointed(patterns.filter(F.col("confidence") >= confidence))
         named = scores.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score")).filter(F.col("score") >= confidence).select("value", "kind")
-        new = written(free.join(best, "pattern").join(named, ["value", "kind"]).select("value", "kind").distinct(), "pii-accepted")
+        new = written(free.join(best, "pattern").join(named, ["value", "kind"]).select("value", "kind").distinct(), "pii-named")
+        if not new.isEmpty():
+            told = written(contexts(docs, new), "pii-contexts")
+            new = written(focused(told, best), "pii-accepted")
         if new.isEmpty() and accepted is None:
             break
         everyone = new if accepted is None else accepted.unionByName(new)
@@ -332,7 +347,7 @@ def bootstrap(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS, confidence
         if new.isEmpty():
             break
         accepted = everyone
-        known = written(known.unionByName(contexts(docs, new)).groupBy("value", "kind", "pattern").agg(F.sum("n").alias("n")), "pii-known")
+        known = written(known.unionByName(told.join(new, ["value", "kind"], "left_semi")).groupBy("value", "kind", "pattern").agg(F.sum("n").alias("n")), "pii-known")
     return found.distinct()
 
 
