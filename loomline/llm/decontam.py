@@ -4,8 +4,10 @@ Words are runs of letters and digits in lower case, shingles are five words. A
 window of a document with the size of an item can only reach the similarity if
 enough of its places hold shingles of items of that size; all windows for which
 that holds are taken, wherever they start (nothing can be lost: what a window has
-in common with an item is at most the number of such places). Each window and each item has a SimHash of its weighted
-shingles (weight: occurrences). Fingerprints within the radius are found by
+in common with an item is at most the number of such places). So windows come of an
+exact join on shingles with a bound that loses none; SimHash and its index then
+say which items each is held against. Each window and each item has a SimHash of
+its weighted shingles (weight: occurrences). Fingerprints within the radius are found by
 multi-index hashing: of four blocks of sixteen bits at least one differs in no
 more than radius / 4 bits, so the items are entered under every such value of
 each block (2788 rows an item), the windows look up their own values, and all
