@@ -24,10 +24,10 @@ FREQUENT of shingles sent to the tasks costs time at most and never a link.
 Texts with one set are one entry. Only of entries that share a prefix shingle with
 another are signatures read, and only of pairs that these allow the texts. Where
 up to SMALL sets share a shingle, pairs are made that their sizes and the
-shingle's places allow. Of a crowded shingle a few rounds compare each entry
-with one other, so that groups of near copies grow together from few comparisons;
-only then are pairs compared that are not in one group yet, dealt by bands of
-size, since sets of sizes too far apart can't be similar, and by blocks within a
+shingle's places allow. Where over LARGE do, a few rounds compare each entry with
+one other, so that groups of near copies grow together from few comparisons. Only
+then are the pairs of crowded shingles compared that are not in one group yet,
+dealt by bands of size, since sets of sizes too far apart can't be similar, and by blocks within a
 band; pairs that the filters reject never become rows.
 
 Defined results: words are those of the fingerprints (ASCII space, A-Z in lower
@@ -47,12 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key, texts, written
+from .common import checkpointed, discarded, row_key, texts, written
 from .simhash import components, fingerprint_links, without_copies
 
 SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 4
 #: A shingle in the prefixes of more sets than this is crowded: signatures go along before its pairs are made.
 SMALL = 8
+#: And than this very crowded: rounds join its groups before its pairs are made.
+LARGE = 64
 #: Differing bits of fingerprints that the trie walk takes, and fingerprints to a node that one task walks: near copies crowd together.
 RADIUS, MAX_NODE = 2, 1024
 #: A shingle in the prefixes of CROWD sets counts as frequent; at most FREQUENT of them are sent to tasks, found in SETTLE rounds.
@@ -135,11 +137,12 @@ def texts_of(docs: DataFrame, entries: DataFrame, repeated: bool) -> DataFrame:
     return out.dropDuplicates(["key"]) if repeated else out
 
 
-def settled(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, crowd: int = CROWD, most: int = FREQUENT, rounds: int = SETTLE) -> DataFrame:
-    """entries (key, n, fp, prefix, row_key, doc_id) with prefixes in an order that has the crowded shingles last."""
+def settled(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, crowd: int = CROWD, most: int = FREQUENT, rounds: int = SETTLE) -> tuple[DataFrame, list[DataFrame]]:
+    """key, n and prefix of entries (key, n, prefix, row_key, doc_id), in an order that has the crowded shingles last; and the tables made for it."""
     known = pd.DataFrame({"hash": pd.Series(dtype="int64"), "count": pd.Series(dtype="int64")})
+    out, made = entries.select("key", "n", "prefix"), []
     for _ in range(rounds):
-        sizes = entries.select(F.explode("prefix").alias("hash")).groupBy("hash").count().filter(F.col("count") >= crowd)
+        sizes = out.select(F.explode("prefix").alias("hash")).groupBy("hash").count().filter(F.col("count") >= crowd)
         found = sizes.orderBy(F.desc("count"), "hash").limit(most).toPandas()
         new = found[~found["hash"].isin(known["hash"])].head(most - len(known))
         if not len(new):
@@ -148,11 +151,13 @@ def settled(docs: DataFrame, entries: DataFrame, repeated: bool, similarity: flo
         frequent = known["hash"].to_numpy(np.int64).view(np.uint64)
         crowded = entries.sparkSession.createDataFrame(pa.table({"hash": new["hash"].to_numpy(np.int64)}))
         # As many rows as there are crowded shingles in prefixes; a key counts once.
-        keys = entries.select("key", F.explode("prefix").alias("hash")).join(F.broadcast(crowded), "hash").select("key").distinct()
-        again = written(entries.join(keys, "key").select("key", "row_key", "doc_id"), "crowded-entries")
-        fresh = sketched(texts_of(docs, again, repeated).select(F.col("s_id").alias("doc_id"), "text"), similarity, frequent).select("key", F.col("prefix").alias("fresh"))
-        entries = written(entries.join(fresh, "key", "left").withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "near-entries")
-    return entries
+        keys = out.select("key", F.explode("prefix").alias("hash")).join(F.broadcast(crowded), "hash").select("key").distinct()
+        again = written(entries.select("key", "row_key", "doc_id").join(keys, "key"), "crowded-entries")
+        # Only prefixes that change are written; the others are read where they are.
+        fresh = written(sketched(texts_of(docs, again, repeated).select(F.col("s_id").alias("doc_id"), "text"), similarity, frequent).select("key", "n", "prefix"), "fresh-prefixes")
+        out = out.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+        made += [again, fresh]
+    return out, made
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -224,16 +229,26 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
-    """key and comp (the least key of all that links reach) of the keys of entries (as `settled`) that have a candidate at all; the others are groups of their own. table: as `sketched`."""
+def shared_shingles(prefixes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, large: int = LARGE) -> DataFrame:
+    """key, n, hash, short and crowded of the shingles that several of prefixes (key, n, prefix) share. crowded: 0 for up to `small` sets, 1 for up to `large`, 2 for more."""
     # The first shingle that two similar sets share lies, in the smaller one, within the short part of its prefix.
     short = F.col("pos") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6)
-    prefixes = entries.select("key", "n", F.posexplode("prefix").alias("pos", "hash")).select("key", "n", "hash", short.alias("short"))
+    rows = prefixes.select("key", "n", F.posexplode("prefix").alias("pos", "hash")).select("key", "n", "hash", short.alias("short"))
     # One shuffle of the prefixes tells which shingles are shared, and keeps these.
     own = Window.partitionBy("hash")
-    shared = prefixes.withColumn("sets", F.count("*").over(own)).withColumn("any", F.max("short").over(own)).filter("sets > 1 and any")
-    everything = written(shared.select("key", "n", "hash", "short", (F.col("sets") > small).alias("crowded")), "shared-shingles", "crowded")
-    rows, few = everything.filter("crowded").select("key", "n", "hash", "short"), everything.filter("not crowded").select("key", "n", "hash", "short")
+    shared = rows.withColumn("sets", F.count("*").over(own)).withColumn("any", F.max("short").over(own)).filter("sets > 1 and any")
+    crowded = F.when(F.col("sets") > large, 2).when(F.col("sets") > small, 1).otherwise(0)
+    return written(shared.select("key", "n", "hash", "short", crowded.alias("crowded")), "shared-shingles", "crowded")
+
+
+def groups(docs: DataFrame, entries: DataFrame, everything: DataFrame, signatures: DataFrame, repeated: bool, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """key and comp (the least key of all that links reach) of the keys of entries (key, fp, row_key, doc_id) that have a candidate at all; the others are groups of their own.
+
+    everything: as `shared_shingles`; signatures: key, n and wide of all rows, written, which is deleted once it has been read.
+    """
+    columns = ["key", "n", "hash", "short"]
+    few, rows, most = (everything.filter(F.col("crowded") == c).select(*columns) for c in (0, 1, 2))
+    rows = rows.unionByName(most)
 
     # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
     first = written(entries.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
@@ -243,8 +258,9 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
     close = written(near.join(a, "u").join(b, "v").select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-fingerprint-pairs")
 
     own = everything.select("key").unionByName(close.select(F.col("a").alias("key"))).unionByName(close.select(F.col("b").alias("key"))).distinct()
-    known = table.select("key", "n", "wide").join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    known = signatures.select("key", "n", "wide").join(own, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
     known = written(known, "near-known")
+    discarded(signatures)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets are similar enough."""
@@ -260,12 +276,13 @@ def groups(docs: DataFrame, table: DataFrame, entries: DataFrame, repeated: bool
 
     # The first round also takes what the trie walk found. Rounds end when one links few of the entries that it looked at.
     comp = known.select("key", F.col("key").alias("comp"))
-    few_links = rows.select("key").distinct().count() / 100
+    few_links = most.select("key").distinct().count() / 100
     for r in range(ROUNDS):
-        # Each entry with one of each shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
-        now = rows.select("key", "hash").join(comp, "key")
-        heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        pairs = now.join(heads, "hash").filter("comp <> head.comp").select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
+        # Each entry with one of each very crowded shingle that is not all in one group, another one each round; of these pairs the closest of each entry.
+        now = most.select("key", "n", "hash").join(comp, "key")
+        heads = now.groupBy("hash").agg(F.min_by(F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(r))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        sized = F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-6
+        pairs = now.join(heads, "hash").filter((F.col("comp") != F.col("head.comp")) & sized).select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
         pairs = pairs if r else pairs.unionByName(close)
         new = written(verified(_possible(pairs, known, similarity).groupBy("a").agg(F.min_by("b", "apart").alias("b"))), "near-links")
         n = new.count()
@@ -305,18 +322,25 @@ def _grouped(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(comp.join(roots, comp["comp"] == roots["node"], "left").select("key", F.coalesce("root", "comp").alias("comp")), "near-groups")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD, small: int = SMALL) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD, small: int = SMALL, large: int = LARGE) -> DataFrame:
     """doc_id, row_key, kept_id and kept_key (the row that stays of its group) for every row of docs."""
     table = written(sketched(docs, similarity), "sketches")
+    members = written(table.select("doc_id", "row_key", "key"), "near-members")
+    signatures = written(table.select("key", "n", "wide"), "near-signatures")
+    repeated = not members.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
-    entries = table.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    entries = written(entries.select("key", "n", "fp", "prefix", "first.*"), "near-entries")
-    repeated = not table.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
-    comp = groups(docs, table, settled(docs, entries, repeated, similarity, crowd), repeated, similarity, block, small=small)
+    whole = table.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    whole = written(whole.select("key", "n", "fp", "prefix", "first.*"), "near-prefixes")
+    discarded(table)
+    entries = written(whole.drop("prefix"), "near-entries")
+    prefixes, made = settled(docs, whole, repeated, similarity, crowd)
+    everything = shared_shingles(prefixes, similarity, small, large)
+    discarded(whole, *made)
+    comp = groups(docs, entries, everything, signatures, repeated, similarity, block)
     rooted = checkpointed(entries.join(comp, "key", "left").select("key", F.struct("no_id", "doc_id", "row_key").alias("first"), F.coalesce("comp", "key").alias("comp")))
     least = rooted.groupBy("comp").agg(F.min("first").alias("least"))
     of = rooted.join(least, "comp").select("key", "least")
-    return table.select("doc_id", "row_key", "key").join(of, "key").select("doc_id", "row_key", F.col("least.doc_id").alias("kept_id"), F.col("least.row_key").alias("kept_key"))
+    return members.join(of, "key").select("doc_id", "row_key", F.col("least.doc_id").alias("kept_id"), F.col("least.row_key").alias("kept_key"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -40,8 +40,8 @@ def test_near_copies_by_force(spark, make, edge_rows):
                 root[max(a, b)] = min(a, b)
     want = {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)}
     assert 20 < len(set(want.values())) < len(rows) - 40
-    for small in (1, 4, 500):  # all shingles crowded, some, none
-        got = {r.doc_id: r.kept_id for r in near_copies.near_copies(make(rows), block=7, crowd=8, small=small).collect()}
+    for small, large in ((1, 1), (4, 9), (500, 500)):  # all shingles crowded, some, none
+        got = {r.doc_id: r.kept_id for r in near_copies.near_copies(make(rows), block=7, crowd=8, small=small, large=large).collect()}
         assert got == want
     kept = P.near_dedup(spark, make(rows), "")
     assert {r.doc_id for r in kept.collect()} == set(want.values())
