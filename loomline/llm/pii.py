@@ -15,8 +15,8 @@ corpus induces patterns anew, together with the seeds, until a round accepts
 nothing. Accepted mentions under patterns of high confidence
 are reported as spans of their kind.
 
-What a pass over the texts must know of patterns or values is a bitmap of their
-hashes of fixed size; what it emits is then joined exactly. Before candidates are
+What a pass over the texts must know of patterns or values are up to EXACT of them,
+or else a bitmap of their hashes of fixed size; what it emits is then joined exactly. Before candidates are
 taken, a pass counts what each pattern surrounds, pre-aggregated in its tasks, and
 patterns whose known mentions are under SHARE of all are out: "of the" costs a
 count and no row a place. Edges are distinct and sums pre-aggregated before each
@@ -35,7 +35,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -51,8 +51,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SCORES, CONFIDENCE, SUPPORT, SHARE = 4, 4, 0.8, 3, 0.1
 #: Share of an instance's mentions that patterns of high confidence surround.
 FOCUS = 0.5
-#: Words to a candidate with digits; bits of the bitmaps.
-LONGEST_RUN, BITS = 4, 1 << 22
+#: Words to a candidate with digits; values that tasks are told themselves, and bits of the bitmap beyond.
+LONGEST_RUN, EXACT, BITS = 4, 100_000, 1 << 22
 
 # The base patterns. An IP address may only begin where a run of digits does: within one it fails as at its begin.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -168,29 +168,36 @@ def _bitmap(df: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _known(bitmap: np.ndarray) -> Known:
-    """Whether a text may be in the bitmap, as a mapping that remembers."""
+def _held(df: DataFrame, column: str) -> frozenset | np.ndarray:
+    """What tasks must know of a column's values: up to EXACT of them these themselves, else the bitmap of all. Either way what it lets through is joined exactly."""
+    values = [r[0] for r in df.select(column).distinct().limit(EXACT + 1).collect()]
+    return frozenset(values) if len(values) <= EXACT else _bitmap(df, column)
+
+
+def _test(held: frozenset | np.ndarray) -> Callable[[str], bool]:
+    """Whether a text is, or may be, among what is held."""
+    if isinstance(held, frozenset):
+        return held.__contains__
+    bitmap = held
     import xxhash
 
     def learn(value: str) -> bool:
         h = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 42) & (BITS - 1)
         return bool(int(bitmap[h >> 6]) >> (h & 63) & 1)
 
-    return Known(learn)
+    return Known(learn).__getitem__
 
 
-def _candidates(text: str, last: Known, wanted: Known, placed: bool = True) -> Iterator[tuple[int, int, str, str]]:
+def _candidates(text: str, last: Callable[[str], bool], wanted: Callable[[str], bool], placed: bool = True) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, value and pattern of each candidate under a wanted pattern. last: words that wanted patterns have before the gap. Not placed: only the pattern is right."""
     w = _words(text)
     n = len(w)
     digits = places = taken = None
     firsts, reach = [], []
     before = ["^", "^", "^", *w]
-    for i in range(n):
+    for i in [i for i, b2 in enumerate(before[2 : n + 2]) if last(b2)]:
         b2 = before[i + 2]
-        if not last[b2]:
-            continue
-        two = wanted[f"{before[i + 1]} {b2} |"]
+        two = wanted(f"{before[i + 1]} {b2} |")
         word = w[i]
         j = i
         if _DIGIT.search(word):
@@ -199,7 +206,7 @@ def _candidates(text: str, last: Known, wanted: Known, placed: bool = True) -> I
                 continue  # within a run
             while j + 1 < n and j + 1 - i < LONGEST_RUN and digits[j + 1]:
                 j += 1
-        around = wanted[f"{b2} | {w[j + 1] if j + 1 < n else '$'}"]
+        around = wanted(f"{b2} | {w[j + 1] if j + 1 < n else '$'}")
         if not two and not around:
             continue
         if taken is None:
@@ -213,7 +220,7 @@ def _candidates(text: str, last: Known, wanted: Known, placed: bool = True) -> I
             if k and reach[k - 1] > s:
                 continue
         for p in _patterns(before[i], before[i + 1], b2, w[j + 1] if j + 1 < n else "$"):
-            if wanted[p]:
+            if wanted(p):
                 yield s, e, value, p
 
 
@@ -224,10 +231,10 @@ def _last_words(patterns: DataFrame) -> DataFrame:
 
 def surrounded(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern and n: how many candidates each of the patterns (column pattern) surrounds in docs."""
-    last, wanted = _bitmap(_last_words(patterns), "word"), _bitmap(patterns, "pattern")
+    last, wanted = _held(_last_words(patterns), "word"), _held(patterns, "pattern")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _known(last), _known(wanted)
+        a, b = _test(last), _test(wanted)
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(2):
@@ -240,10 +247,10 @@ def surrounded(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, row_key, start, end, value and pattern of each candidate that one of the patterns surrounds."""
-    last, wanted = _bitmap(_last_words(patterns), "word"), _bitmap(patterns, "pattern")
+    last, wanted = _held(_last_words(patterns), "word"), _held(patterns, "pattern")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _known(last), _known(wanted)
+        a, b = _test(last), _test(wanted)
         for batch in batches:
             rows = [(i, *c) for i, t in enumerate(batch.column(2)) for c in _candidates(t.as_py() or "", a, b)]
             at = pa.array([r[0] for r in rows], pa.int64())
@@ -257,10 +264,10 @@ def candidates(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def contexts(docs: DataFrame, values: DataFrame) -> DataFrame:
     """value, kind, pattern and n: how often the values (with their kind) stand in which contexts."""
-    wanted = _bitmap(values, "value")
+    wanted = _held(values, "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(wanted)
+        known = _test(wanted)
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(2):
@@ -273,7 +280,7 @@ def contexts(docs: DataFrame, values: DataFrame) -> DataFrame:
                             if not _DIGIT.search(w[j]):
                                 break
                             value += " " + w[j]
-                        if known[value]:
+                        if known(value):
                             n.update((value, p) for p in set(_patterns(before[i], before[i + 1], before[i + 2], w[j + 1] if j + 1 < len(w) else "$")))
                         if not _DIGIT.search(value):
                             break

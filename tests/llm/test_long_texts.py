@@ -45,7 +45,7 @@ def test_a_text_of_many_secrets(spark, make, n):
 
 def test_a_text_of_many_addresses():
     text = " ".join(f"write to user{i}@mail.example.org or call +49 30 {1000000 + i} now" for i in range(30_000))
-    yes = pii.Known(lambda _: True)
+    yes = lambda _: True
     began = time.perf_counter()
     found = list(pii._candidates(text, yes, yes))
     assert time.perf_counter() - began < 60 and len(found) > 100_000
