@@ -52,13 +52,13 @@ from .simhash import components, fingerprint_links, without_copies
 
 SHINGLE, SIMILARITY, CELLS, BLOCK, ROUNDS = 5, 0.8, 1024, 512, 4
 #: A shingle in the prefixes of more sets than this is crowded: signatures go along before its pairs are made.
-SMALL = 8
+SMALL = 16
 #: And than this very crowded: rounds join its groups before its pairs are made.
 LARGE = 64
 #: Differing bits of fingerprints that the trie walk takes, and fingerprints to a node that one task walks: near copies crowd together.
 RADIUS, MAX_NODE = 2, 1024
 #: A shingle in the prefixes of CROWD sets counts as frequent; at most FREQUENT of them are sent to tasks, found in SETTLE rounds.
-CROWD, FREQUENT, SETTLE = 512, 200_000, 2
+CROWD, FREQUENT, SETTLE = 512, 200_000, 1
 _SEED = 42
 
 
@@ -229,15 +229,15 @@ def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b", (F.col("bits") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
-def shared_shingles(prefixes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, large: int = LARGE) -> DataFrame:
-    """key, n, hash, short and crowded of the shingles that several of prefixes (key, n, prefix) share. crowded: 0 for up to `small` sets, 1 for up to `large`, 2 for more."""
+def shared_shingles(prefixes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, large: int = LARGE, block: int = BLOCK) -> DataFrame:
+    """key, n, hash, short and crowded of the shingles that several of prefixes (key, n, prefix) share. crowded: 0 for up to `small` sets, 1 for up to `large`, 2 for more, 3 for more than a block."""
     # The first shingle that two similar sets share lies, in the smaller one, within the short part of its prefix.
     short = F.col("pos") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6)
     rows = prefixes.select("key", "n", F.posexplode("prefix").alias("pos", "hash")).select("key", "n", "hash", short.alias("short"))
     # One shuffle of the prefixes tells which shingles are shared, and keeps these.
     own = Window.partitionBy("hash")
     shared = rows.withColumn("sets", F.count("*").over(own)).withColumn("any", F.max("short").over(own)).filter("sets > 1 and any")
-    crowded = F.when(F.col("sets") > large, 2).when(F.col("sets") > small, 1).otherwise(0)
+    crowded = F.when(F.col("sets") > max(block, large), 3).when(F.col("sets") > large, 2).when(F.col("sets") > small, 1).otherwise(0)
     return written(shared.select("key", "n", "hash", "short", crowded.alias("crowded")), "shared-shingles", "crowded")
 
 
@@ -246,9 +246,7 @@ def groups(docs: DataFrame, entries: DataFrame, everything: DataFrame, signature
 
     everything: as `shared_shingles`; signatures: key, n and wide of all rows, written, which is deleted once it has been read.
     """
-    columns = ["key", "n", "hash", "short"]
-    few, rows, most = (everything.filter(F.col("crowded") == c).select(*columns) for c in (0, 1, 2))
-    rows = rows.unionByName(most)
+    few, rows, most = (everything.filter(c) for c in ("crowded = 0", "crowded > 0", "crowded > 1"))
 
     # What the trie walk joins: fingerprints within the radius, and sets that have one fingerprint.
     first = written(entries.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "near-fingerprints")
@@ -298,10 +296,11 @@ def groups(docs: DataFrame, entries: DataFrame, everything: DataFrame, signature
     pairs = x.join(y, (x["hash"] == y["hash"]) & (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & sized & early)
     pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
-    # Of a crowded shingle: sets whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
-    now = rows.join(comp, "key")
+    # Of a crowded shingle: up to a block of sets meet as they are. Of more, those whose sizes allow the similarity lie in one band or in bands next to each other: each is at home in its own and a guest in the next.
+    now = rows.select("key", "n", "hash", "crowded").join(comp, "key")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (-math.log(similarity) * (1 + 1e-9)))
-    now = now.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).cast("long").alias("home")), F.struct((band + 1).alias("band"), F.lit(0).cast("long").alias("home"))))).select("hash", "key", "comp", "n", "at.*")
+    place = lambda b, home: F.struct(b.cast("long").alias("band"), F.lit(home).cast("long").alias("home"))
+    now = now.withColumn("at", F.explode(F.when(F.col("crowded") == 3, F.array(place(band, 1), place(band + 1, 0))).otherwise(F.array(place(F.lit(-1), 1))))).select("hash", "key", "comp", "n", "at.*")
     sizes = now.groupBy("hash", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("any"), F.count("*").alias("size")).filter("lo <> hi and any = 1")
     now = now.join(sizes.select("hash", "band", F.ceil(F.col("size") / block).cast("long").alias("k")), ["hash", "band"]).withColumn("own", F.expr("pmod(xxhash64(key), k)"))
     # Cells that are the same but for a power of two fold into one: 1024 for all sets.
@@ -334,7 +333,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     discarded(table)
     entries = written(whole.drop("prefix"), "near-entries")
     prefixes, made = settled(docs, whole, repeated, similarity, crowd)
-    everything = shared_shingles(prefixes, similarity, small, large)
+    everything = shared_shingles(prefixes, similarity, small, large, block)
     discarded(whole, *made)
     comp = groups(docs, entries, everything, signatures, repeated, similarity, block)
     rooted = checkpointed(entries.join(comp, "key", "left").select("key", F.struct("no_id", "doc_id", "row_key").alias("first"), F.coalesce("comp", "key").alias("comp")))
