@@ -54,7 +54,7 @@ from .common import held_out, texts, written
 SAMPLE, FEATURES, VOTERS, ROUNDS = 20_000, 512, 56, 12
 THRESHOLD = 0.7
 #: Different sets of votes (and gold labels) that the driver sums up itself: 3 numbers each.
-FEW_MASKS = 200_000
+FEW_MASKS = 20_000
 #: A round of the label model that moves no rate by this much is the last.
 SETTLED = 1e-3
 #: What a gold label is taken to be right at, as a voter; the posterior at which a document without one counts as labelled for the second induction.
