@@ -10,7 +10,7 @@ exact; with as many probes as cells it is exact altogether.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import isqrt
 
 import numpy as np
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, small_batches
 from .vector import _HIT, BLOCK, NUMBERS, QUERIES, _best, _nearest, _units
 
 #: Vectors to learn from at most, and numbers that these may hold (32 MB); cells at most; rounds of learning.
@@ -46,6 +46,34 @@ def probes(m: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(-(m @ at.T), axis=1, kind="stable")[:, : min(n, len(at))]
 
 
+def _near(m: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Whether a centroid (column) is among the n nearest to a row of m."""
+    out = np.zeros((len(m), len(at)), bool)
+    for i in range(0, len(m), 256):
+        np.put_along_axis(out[i : i + 256], probes(m[i : i + 256], at, n), True, axis=1)
+    return out
+
+
+def _groups(sizes: Iterable[int], most: int) -> list[int]:
+    """A number for each cell: neighbours share one while they hold at most so many vectors; a larger cell has its own."""
+    out, now, total = [], -1, 0
+    for n in sizes:
+        if now < 0 or total + n > most:
+            now, total = now + 1, 0
+        total += n
+        out.append(now)
+    return out
+
+
+def _in_cells(rows: pd.DataFrame, ids: np.ndarray, m: np.ndarray, near: np.ndarray, k: int, threshold: float, exclude_self: bool, digits: int) -> pd.DataFrame:
+    """The k best of the index's vectors (rows: id, v, cell) for each query (ids, m) within the cells that are near it."""
+    rows = rows.sort_values("id", kind="stable")
+    if len(rows) == 0 or len(ids) == 0:
+        return _nearest({}, {}, k, threshold, exclude_self, digits)
+    v = np.stack(rows["v"].to_numpy())
+    return _nearest({v.shape[1]: (rows["id"].to_numpy(), v)}, {v.shape[1]: (ids, m)}, k, threshold, exclude_self, digits, near[:, rows["cell"].to_numpy()])
+
+
 class CellIndex:
     """An index under a path: `vectors` in folders by cell, `centroids` with the size of each cell."""
 
@@ -92,46 +120,54 @@ class CellIndex:
         return _best(self._of_few(few, k, threshold, exclude_self, nprobe, digits) if len(few) <= most else self._of_many(q, k, threshold, exclude_self, nprobe, digits), k)
 
     def _of_few(self, few: pd.DataFrame, k: int, threshold: float, exclude_self: bool, nprobe: int, digits: int) -> DataFrame:
-        by_cell: dict[int, dict] = {}
-        for n, (ids, m) in _units(few).items():
-            near = probes(m, self.at, nprobe)
-            for c in np.unique(near).tolist():
-                on = (near == c).any(axis=1)
-                by_cell[c] = {n: (ids[on], m[on])}
+        """The queries go to all tasks once, with a bit for each of their cells."""
+        ids, m = _units(few).get(self.at.shape[1], (np.empty(0, np.int64), np.empty((0, self.at.shape[1]))))
+        near = _near(m, self.at, nprobe)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
             top = lambda x: x.sort_values(["score", "vec_id"], ascending=[False, True]).groupby("query_id").head(k)
             for pdf in batches:
-                best = pd.concat([best, *(_nearest(_units(part), by_cell[c], k, threshold, exclude_self, digits) for c, part in pdf.groupby("cell"))])
-                if len(best) > 4 * k * len(few):
+                on = near[:, pdf["cell"].unique()].any(axis=1)
+                best = pd.concat([best, _in_cells(pdf, ids[on], m[on], near[on], k, threshold, exclude_self, digits)])
+                if len(best) > 4 * k * len(ids):
                     best = top(best)
             yield top(best)
 
-        return self.vectors.filter(F.col("cell").isin(list(by_cell))).mapInPandas(run, _HIT)
+        return small_batches(self.vectors).filter(F.col("cell").isin(np.flatnonzero(near.any(axis=0)).tolist())).mapInPandas(run, _HIT)
 
     def _of_many(self, q: DataFrame, k: int, threshold: float, exclude_self: bool, nprobe: int, digits: int) -> DataFrame:
-        """Queries go to their cells; a cell's vectors and its queries are dealt into blocks, and each pair of blocks is one task's product."""
+        """Cells are put into groups of about BLOCK vectors. A query goes to the groups that hold cells of it, once to each; a group's vectors and its queries are dealt into blocks, and each pair of blocks is one task's product."""
         at = self.at  # the index itself holds a session and stays here
+        filled, group = self.sizes > 0, np.array(_groups(self.sizes.tolist(), BLOCK))
 
         def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for ids, m in _units(pdf).values():
-                    p = probes(m, at, nprobe)
-                    yield pd.DataFrame({"id": np.repeat(ids, p.shape[1]), "v": list(np.repeat(m, p.shape[1], axis=0)), "cell": p.reshape(-1).astype(np.int32)})
-
-        asked = saved(q.mapInPandas(probed, "id long, v array<double>, cell int"), "probes")
-        n_q = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row a cell
-        blocks = self.spark.createDataFrame([(c, -(-int(self.sizes[c]) // BLOCK), -(-n // BLOCK)) for c, n in n_q.items() if self.sizes[c]], "cell int, n_v int, n_q int")
-        deal = lambda rows, mine, other, is_query: rows.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "id", "v", F.lit(is_query).alias("is_query"))
-        v = deal(self.vectors.filter(F.col("cell").isin(list(n_q))), "n_v", "n_q", False).withColumnsRenamed({"own": "vb", "other": "qb"})
-        both = v.unionByName(deal(asked, "n_q", "n_v", True).withColumnsRenamed({"own": "qb", "other": "vb"}))
+                    near = _near(m, at, nprobe)
+                    to = [np.unique(group[x & filled]).astype(np.int32) for x in near]
+                    yield pd.DataFrame({"id": ids, "v": list(m), "near": [x.tobytes() for x in np.packbits(near, axis=1)], "to": to})
+
+        asked = saved(small_batches(q).mapInPandas(probed, "id long, v array<double>, near binary, to array<int>"), "probes")
+        asked = asked.select("id", "v", "near", F.explode("to").alias("group"))
+        n_q = {r["group"]: r["count"] for r in asked.groupBy("group").count().collect()}  # a row a group
+        n_v = np.bincount(group, self.sizes)
+        cells = [(c, int(g), -(-int(n_v[g]) // BLOCK), -(-n_q[g] // BLOCK)) for c, g in enumerate(group.tolist()) if g in n_q]
+        blocks = self.spark.createDataFrame(cells, "cell int, group int, n_v int, n_q int")
+        deal = lambda rows, by, mine, other, *more: rows.join(F.broadcast(by), by.columns[0]).select("group", F.pmod(F.xxhash64("id"), F.col(mine)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "id", "v", *more)
+        none = lambda kind: F.lit(None).cast(kind)
+        v = deal(self.vectors, blocks, "n_v", "n_q", "cell", none("binary").alias("near")).withColumnsRenamed({"own": "vb", "other": "qb"})
+        both = v.unionByName(deal(asked, blocks.drop("cell").distinct(), "n_q", "n_v", none("int").alias("cell"), "near").withColumnsRenamed({"own": "qb", "other": "vb"}))
 
         def best(pdf: pd.DataFrame) -> pd.DataFrame:
-            on = pdf["is_query"].to_numpy(bool)
-            return _nearest(_units(pdf[~on]), _units(pdf[on]), k, threshold, exclude_self, digits)
-
-        return both.groupBy("cell", "vb", "qb").applyInPandas(best, _HIT)
+            on = pdf["near"].notna().to_numpy()
+            of, rows = pdf[on], pdf[~on]
+            if not on.any():
+                return _in_cells(rows, np.empty(0, np.int64), None, None, k, threshold, exclude_self, digits)
+            near = np.unpackbits(np.frombuffer(b"".join(of["near"]), np.uint8).reshape(len(of), -1), axis=1, count=len(at)).view(bool)
+            return _in_cells(rows.astype({"cell": "int32"}), of["id"].to_numpy(), np.stack(of["v"].to_numpy()), near, k, threshold, exclude_self, digits)
+
+        return both.groupBy("group", "vb", "qb").applyInPandas(best, _HIT)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -36,3 +36,17 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch that holds whole texts or vectors, and its bytes (a longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's Arrow batches to a size at which batches of texts or vectors are small in a Python worker, however long these are; lower settings stay."""
+    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows, "10000")) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if not 0 < df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(size, "64m")) <= BATCH_BYTES:
+        conf.set(size, BATCH_BYTES)
+    return df

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, small_batches
 
 BLOCK = 2048
 #: Queries that are sent to all tasks as they are (their number is counted first), and numbers that they may hold (32 MB).
@@ -37,6 +37,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     """
     # Read once, and no more of it than one block may hold: whatever makes the queries isn't asked twice.
     few = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).limit(QUERIES + 1).toPandas()
+    vectors = small_batches(vectors)
     if len(few) <= QUERIES and sum(len(x) for x in few["v"] if x is not None) <= NUMBERS:
         part = _of_few(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), few, k, threshold, exclude_self, digits)
         return _best(part, k)
@@ -68,13 +69,15 @@ def _units(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _nearest(vectors: dict, queries: dict, k: int, threshold: float, exclude_self: bool, digits: int) -> pd.DataFrame:
-    """The k best vectors (as `_units`) of each query."""
+def _nearest(vectors: dict, queries: dict, k: int, threshold: float, exclude_self: bool, digits: int, asked: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best vectors (as `_units`) of each query. asked: which vectors (columns) count for a query, if not all do; then all have one size."""
     rows: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     for n, (q_ids, q_m) in queries.items():
         ids, m = vectors.get(n, (np.empty(0, np.int64), None))
         for i in range(0, len(q_ids), 256) if len(ids) else ():
             scores = np.round(q_m[i : i + 256] @ m.T, digits)
+            if asked is not None:
+                scores[~asked[i : i + 256]] = -np.inf
             for qid, s in zip(q_ids[i : i + 256], scores, strict=True):
                 fit = np.flatnonzero((s >= threshold) & ~((ids == qid) & exclude_self))
                 fit = fit[np.argsort(-s[fit], kind="stable")][:k]

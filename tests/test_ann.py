@@ -48,3 +48,30 @@ def test_odd_vectors(spark, tmp_path):
     assert {(r.query_id, r.vec_id) for r in at.search(odd, k=2, nprobe=9).collect()} == {(1, 5), (5, 1)}
     none = ann.CellIndex.build(odd.filter("vec_id > 6"), str(tmp_path / "b"), 2)
     assert none.search(odd).count() == 0 and at.search(odd.filter("vec_id > 6")).count() == 0
+
+
+def test_a_query_is_sent_once_to_a_group_of_cells(spark, index, monkeypatch):
+    v, at = index
+    made = []
+    real = ann.saved
+    monkeypatch.setattr(ann, "saved", lambda df, name, *by: made.append((name, real(df, name, *by))) or made[-1][1])
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    q = v.filter("vec_id % 20 = 0")
+    exact = rows(vector.top_k(v, q, k=5, threshold=0.1))
+    assert rows(at.search(q, k=5, threshold=0.1, nprobe=10**6)) == exact
+    # As many rows as queries, each with its groups; a row a query and cell grew faster than the input.
+    (name, asked), = made
+    assert name == "probes" and asked.count() == q.count()
+    assert ann._groups([3, 4, 5, 0, 30, 1], 9) == [0, 0, 1, 1, 2, 3]
+
+
+def test_batches_of_vectors_are_small(spark, index):
+    v, at = index
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    assert at.search(v.filter("vec_id % 20 = 0"), threshold=0.1, nprobe=4).count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    ann.small_batches(v)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
