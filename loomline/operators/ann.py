@@ -30,8 +30,9 @@ def _learnt(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     at = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(ROUNDS):
-        fit = np.concatenate([sample[i : i + 4096] @ at.T for i in range(0, len(sample), 4096)])
-        cell, best = fit.argmax(axis=1), fit.max(axis=1)
+        # In parts: all fits at once would be SAMPLE x CELLS numbers.
+        fits = [(x.argmax(axis=1), x.max(axis=1)) for x in (sample[i : i + 4096] @ at.T for i in range(0, len(sample), 4096))]
+        cell, best = (np.concatenate(x) for x in zip(*fits, strict=True))
         sums = np.zeros_like(at)
         np.add.at(sums, cell, sample)
         length = np.linalg.norm(sums, axis=1)
@@ -41,6 +42,17 @@ def _learnt(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return at
 
 
+def _least(rows: DataFrame, n: int, most: int) -> pd.Series:
+    """v of the rows (n in all) whose ids have the least hashes. Each partition would send so many rows to the driver; so hashes that are too large for that are left out first, unless too few rows are left."""
+    least = lambda x: x.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toPandas()["v"]
+    share = 1.2 * most / max(n, 1)
+    if share < 1:
+        some = least(rows.filter(F.xxhash64("id") < int((share - 0.5) * 2**64)))
+        if len(some) == most:
+            return some
+    return least(rows)
+
+
 def probes(m: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The n centroids nearest to each row of m."""
     return np.argsort(-(m @ at.T), axis=1, kind="stable")[:, : min(n, len(at))]
@@ -94,7 +106,7 @@ class CellIndex:
         rows = rows.select("id", F.transform("v", lambda x: x / F.col("length")).alias("v"))
         n = rows.count()
         cells = max(1, min(cells or isqrt(n), CELLS, max(n, 1)))
-        some = rows.orderBy(F.xxhash64("id"), "id").limit(max(cells, min(sample, NUMBERS // dim))).select("v").toPandas()["v"]
+        some = _least(rows, n, max(cells, min(sample, NUMBERS // dim)))
         at = _learnt(np.stack(some.to_numpy()), cells) if len(some) else np.zeros((0, dim))
 
         def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +114,7 @@ class CellIndex:
                 if len(pdf):
                     yield pdf.assign(cell=(np.stack(pdf["v"].to_numpy()) @ at.T).argmax(axis=1).astype(np.int32))
 
-        placed = saved(rows.mapInPandas(put, "id long, v array<double>, cell int"), "cells")
+        placed = saved(small_batches(rows).mapInPandas(put, "id long, v array<double>, cell int"), "cells")
         # Ranges of (cell, hash) cut a crowded cell into several files and leave the others in one.
         placed.repartitionByRange("cell", F.xxhash64("id")).write.partitionBy("cell").parquet(f"{path}/vectors")
         sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}

@@ -75,3 +75,34 @@ def test_batches_of_vectors_are_small(spark, index):
     ann.small_batches(v)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_sample_is_what_has_the_least_hashes(spark):
+    r = spark.range(0, 4000, 1, 8).selectExpr("id", "array(cast(id as double)) as v")
+    h = [x.id for x in r.selectExpr("id", "xxhash64(id) as h").orderBy("h").limit(100).collect()]
+    assert [x[0] for x in ann._least(r, 4000, 100)] == h
+    # Of what each partition would send, only what may be among the least ones is sent.
+    asked = []
+    real = type(r).filter
+    type(r).filter = lambda self, c: asked.append(real(self, c)) or asked[-1]
+    try:
+        ann._least(r, 4000, 100)
+        same = spark.range(0, 4000).selectExpr("7L as id", "array(1.0D) as v")
+        assert len(ann._least(same, 4000, 100)) == 100  # one id's hash may be left out: then all are looked at
+    finally:
+        type(r).filter = real
+    assert 100 <= asked[0].count() <= 200
+
+
+def test_cells_are_learnt_in_parts():
+    import tracemalloc
+
+    import numpy as np
+
+    m = np.random.default_rng(1).normal(size=(20_000, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    tracemalloc.start()
+    at = ann._learnt(m, 512)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at.shape == (512, 8) and most < 50_000_000  # all fits at once are 82 MB
