@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import vector_id
+from .shared import small_batches
 
 CHUNK_SIZE = 1024
 #: Fixed values, in order: blank line, line, full-width stop and comma, space, code points.
@@ -51,15 +52,15 @@ def chunked(text: str, size: int = CHUNK_SIZE, separators: tuple[str, ...] = SEP
 
 
 def chunks(text: Column, size: int = CHUNK_SIZE) -> Column:
-    """Array of the chunks of a text; null has none."""
+    """Array of the chunks of a text; null has none. Marked so that no filter on the chunks makes them twice; `small_batches` of the texts keep workers small."""
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([chunked(t, size) if t else [] for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "array<string>")(text)
+    return F.pandas_udf(run, "array<string>").asNondeterministic()(text)
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """doc_id, chunk_index (from 0), content and vector_id: a row a chunk. No shuffle."""
-    out = docs.select("doc_id", chunks(F.col("text"), size).alias("chunks")).select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    out = small_batches(docs).select("doc_id", chunks(F.col("text"), size).alias("chunks")).select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
     return out.withColumn("vector_id", vector_id(F.col("doc_id"), F.col("chunk_index")))
