@@ -33,3 +33,17 @@ def test_texts_are_chunked_once(spark, name):
     df = entry.queries()[name](spark, DATA)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert int(spark.conf.get(KEYS[0])) <= 1000
+
+
+def test_long_texts_make_shorter_batches(spark):
+    texts = spark.range(0, 900, 1, 1).selectExpr("repeat('x', 100000) as text")
+    assert max(rows_of_batches(texts)) > 600  # 64 MB
+    n = rows_of_batches(small_batches(texts))
+    assert sum(n) == 900 and max(n) <= 90
+
+
+def test_lower_settings_stay(spark):
+    spark.conf.set(KEYS[0], 7)
+    spark.conf.set(KEYS[1], "1m")
+    small_batches(spark.range(1))
+    assert [spark.conf.get(k) for k in KEYS] == ["7", "1m"]
