@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import known_model, strip, vector_id, vector_size
 from .chunking import CHUNK_SIZE, chunks
+from .shared import small_batches
 from .vector import embed, hashing_embedder
 
 #: The states of a document, in order.
@@ -21,7 +22,7 @@ PENDING, PROCESSING, COMPLETED, FAILED = "pending", "processing", "completed", "
 def processed(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """docs (doc_id, text, error) with chunks, status, error_message and chunk_count."""
     text = F.when(F.col("error").isNull(), F.col("text"))
-    out = docs.withColumn("chunks", chunks(text, size))
+    out = small_batches(docs).withColumn("chunks", chunks(text, size))
     blank = F.coalesce(~F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
     message = F.when(F.col("error").isNotNull(), F.col("error")).when(blank, F.lit("document is empty")).when(F.size("chunks") == 0, F.lit("no chunks"))
     out = out.withColumn("error_message", message).withColumn("status", F.when(message.isNull(), COMPLETED).otherwise(FAILED))

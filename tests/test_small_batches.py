@@ -47,3 +47,10 @@ def test_lower_settings_stay(spark):
     spark.conf.set(KEYS[1], "1m")
     small_batches(spark.range(1))
     assert [spark.conf.get(k) for k in KEYS] == ["7", "1m"]
+
+
+@pytest.mark.parametrize("name", ["document_states", "ingest_documents", "knowledge_base_counters"])
+def test_documents_come_in_small_batches(spark, name):
+    df = entry.queries()[name](spark, DATA)
+    assert int(spark.conf.get(KEYS[0])) <= 1000
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
