@@ -131,7 +131,7 @@ def embed(df: DataFrame, text: str, embedder, dim: int) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(x) for x in v] for v in embedder(texts.fillna("").tolist())], dtype=object)
 
-    return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
+    return small_batches(df).withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
 def hashing_embedder(dim: int = 64):

@@ -54,3 +54,37 @@ def test_documents_come_in_small_batches(spark, name):
     df = entry.queries()[name](spark, DATA)
     assert int(spark.conf.get(KEYS[0])) <= 1000
     assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_an_embedder_gets_small_batches(spark, tmp_path):
+    from loomline.operators import vector
+
+    log = str(tmp_path / "log")
+
+    def embedder(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [[1.0, 0.0] for _ in texts]
+
+    df = spark.range(0, 5000, 1, 1).selectExpr("cast(id as string) as t")
+    assert vector.embed(df, "t", embedder, 2).agg({"embedding": "max"}).count() == 1
+    vector.embed(df, "t", embedder, 2).write.format("noop").mode("overwrite").save()
+    sizes = [int(x) for x in open(log)]
+    assert max(sizes) <= 1000 and sum(sizes) % 5000 == 0
+
+
+def test_levels_broadcast_nothing(spark):
+    from loomline.operators import workflow
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    before = max((x.executionId() for x in ran()), default=-1)
+    nodes = spark.range(40)
+    got = workflow.levels(nodes, nodes.selectExpr("id as src", "2 * id + 1 as dst")).collect()
+    assert {r.id: r.level for r in got} == {i: depth(i) for i in range(40)}
+    plans = [x.physicalPlanDescription() for x in ran() if x.executionId() > before]
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def depth(i):
+    return 0 if i % 2 == 0 else 1 + depth((i - 1) // 2)
