@@ -18,26 +18,27 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and level of nodes (id): 0 without an edge (src, dst) into it, else one over the highest of its sources. Nodes on a cycle or behind one are left out, and edges from or to unknown nodes don't count.
 
     A level is one job, which looks at the targets of the level before; levels that are found aren't read again but for
-    leaving out their edges.
+    leaving out their edges. Joins are merged: files of ids are far smaller than their rows, and a side that looks small
+    enough to broadcast would go through the driver in every job.
     """
     spark, path, level = nodes.sparkSession, shared_path(nodes.sparkSession, "levels"), 0
-    e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
+    e = edges.join(nodes.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").distinct()
     e = saved(e.select("src", "dst"), "edges")
     schema = nodes.select("id", F.lit(0).cast("long").alias("level")).schema
     at = lambda first, last: spark.read.schema(schema).parquet(*[f"{path}/{i}" for i in range(first, last + 1)])
-    found, tidy = nodes.select("id").distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti"), 0
+    found, tidy = nodes.select("id").distinct().join(e.select(F.col("dst").alias("id")).hint("merge"), "id", "left_anti"), 0
     while True:
         seen = Observation()
         found.select("id", F.lit(level).cast("long").alias("level")).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{level}")
         if not seen.get["n"]:
             return at(0, level)
         here = at(level, level).select(F.col("id").alias("src"))
-        left = e.join(at(tidy, level).select(F.col("id").alias("src")), "src", "left_anti")
-        reached = e.join(here, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        left = e.join(at(tidy, level).select(F.col("id").alias("src")).hint("merge"), "src", "left_anti")
+        reached = e.join(here.hint("merge"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         if level - tidy + 1 >= _TIDY:
             reached, left, tidy = saved(reached, "reached"), saved(left, "edges"), level + 1
             e = left
-        found = reached.join(left.select(F.col("dst").alias("id")), "id", "left_anti")
+        found = reached.join(left.select(F.col("dst").alias("id")).hint("merge"), "id", "left_anti")
         level += 1
 
 

@@ -140,7 +140,7 @@ def message_branches(spark, sf):
 def workflow_levels(spark, sf):
     """Documented only: topological levels of a graph of nodes; those on or behind a cycle have none."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    tree = p.select(F.col("id").alias("src"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("dst")).join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    tree = p.select(F.col("id").alias("src"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("dst")).join(p.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
     back = p.filter("p_size = 50 and id between 7 and 400").select(F.col("id").alias("src"), (F.col("id") - 7).alias("dst"))
     return workflow.levels(p.select("id"), tree.unionByName(back))
 
