@@ -88,3 +88,11 @@ def test_levels_broadcast_nothing(spark):
 
 def depth(i):
     return 0 if i % 2 == 0 else 1 + depth((i - 1) // 2)
+
+
+def test_a_base_is_chunked_and_embedded_once(spark):
+    from loomline.operators import ingest
+
+    d = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "text", "cast(null as string) as error")
+    plan = ingest.vectors(ingest.processed(d))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and int(spark.conf.get(KEYS[0])) <= 1000
