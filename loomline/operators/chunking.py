@@ -8,6 +8,8 @@ blank ones dropped. There is no overlap; lengths are in code points.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,35 +22,44 @@ CHUNK_SIZE = 1024
 SEPARATORS = ("\n\n", "\n", "。", "，", " ", "")
 
 
-def joined(pieces: list[str], separator: str, size: int) -> list[str]:
-    """Pieces put together while a chunk has room, stripped, without blanks."""
-    chunks, now = [], ""
-    for piece in pieces:
-        if not now:
-            now = piece
-        elif len(now) + len(separator) + len(piece) <= size:
-            now += separator + piece
-        else:
-            chunks.append(now)
-            now = piece
-    return [c for c in map(str.strip, [*chunks, now]) if c]
+def places(text: str, separator: str) -> Iterator[tuple[int, int]]:
+    """Where the pieces of text.split(separator) begin and end, one at a time."""
+    start = 0
+    while (end := text.find(separator, start)) >= 0:
+        yield start, end
+        start = end + len(separator)
+    yield start, len(text)
 
 
 def chunked(text: str, size: int = CHUNK_SIZE, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """The chunks of a text. A ladder that doesn't end in "" fails where nothing of it is in a long piece."""
+    """The chunks of a text. A ladder that doesn't end in "" fails where nothing of it is in a long piece.
+
+    Pieces that are joined stand beside each other in the text, so that a chunk is a slice of it and no list of words or code points is made.
+    """
     at = next((i for i, s in enumerate(separators) if s in text), None)
     if at is None:
         raise ValueError("no separator is left for a piece of the text")
     separator, rest = separators[at], separators[at + 1 :]
-    out, small = [], []
-    for piece in text.split(separator) if separator else text:
-        if len(piece) < size:
-            small.append(piece)
+    if not separator:
+        return _stripped(text[i : i + size] for i in range(0, len(text), size))
+    out, start, end = [], 0, 0
+    for a, b in places(text, separator):
+        if b - a >= size:
+            out += [*_stripped([text[start:end]]), *(chunked(text[a:b], size, rest) if rest else _stripped([text[a:b]]))]
+            start = end = b
+        elif start == end:
+            start, end = a, b
+        elif b - start <= size:
+            end = b
         else:
-            out += joined(small, separator, size)
-            small = []
-            out += chunked(piece, size, rest) if rest else [p for p in [piece.strip()] if p]
-    return out + joined(small, separator, size)
+            out += _stripped([text[start:end]])
+            start, end = a, b
+    return out + _stripped([text[start:end]])
+
+
+def _stripped(pieces: Iterable[str]) -> list[str]:
+    """Stripped, without blanks."""
+    return [c for c in map(str.strip, pieces) if c]
 
 
 def chunks(text: Column, size: int = CHUNK_SIZE) -> Column:

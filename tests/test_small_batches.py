@@ -96,3 +96,46 @@ def test_a_base_is_chunked_and_embedded_once(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "text", "cast(null as string) as error")
     plan = ingest.vectors(ingest.processed(d))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and int(spark.conf.get(KEYS[0])) <= 1000
+
+
+@pytest.mark.parametrize("text", ["字" * 1_000_000, "sieben " * 400_000, "kurze Zeile\n" * 200_000], ids=["no separator", "words", "lines"])
+def test_a_long_text_is_not_taken_apart(text):
+    import tracemalloc
+
+    from loomline.operators.chunking import chunked
+
+    tracemalloc.start()
+    try:
+        assert len(chunked(text)) > 900
+        assert tracemalloc.get_traced_memory()[1] < 3 * len(text.encode())
+    finally:
+        tracemalloc.stop()
+
+
+def split_up(text, size, separators):
+    """Chunks by lists of pieces, as plainly as can be."""
+    at = next(i for i, s in enumerate(separators) if s in text)
+    separator, rest = separators[at], separators[at + 1 :]
+    chunks, now = [], ""
+    for piece in text.split(separator) if separator else text:
+        if len(piece) >= size:
+            chunks += [now, *(split_up(piece, size, rest) if rest else [piece])]
+            now = ""
+        elif now and len(now) + len(separator) + len(piece) <= size:
+            now += separator + piece
+        else:
+            chunks.append(now)
+            now = piece
+    return [c for c in map(str.strip, [*chunks, now]) if c]
+
+
+def test_slices_are_the_pieces_joined():
+    import random
+
+    from loomline.operators.chunking import SEPARATORS, chunked
+
+    r = random.Random(7)
+    for _ in range(20_000):
+        text, size = "".join(r.choices("ab \n\n，。\tc字", k=r.randrange(40))), r.randrange(1, 13)
+        for ladder in (SEPARATORS, (" ", ""), ("ab", "a", "")):
+            assert chunked(text, size, ladder) == split_up(text, size, ladder), (text, size, ladder)
